@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import attribution, mixing, packing
+from brindle.llm import ann, attribution, minhash, mixing, packing, vectordup
 from brindle.llm.common import read_table
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents")).drop("ids")
 
@@ -16,13 +21,24 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocate(read_table(spark, sf_dir, "documents")).drop("repeats")
 
 
+def op5_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.links(read_table(spark, sf_dir, "documents"))
+
+
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordup.links(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.token_counts(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_nearest": op2_nearest,
     "op3_pack": op3_pack,
     "op4_mix": op4_mix,
+    "op5_near_documents": op5_near_documents,
+    "op6_near_vectors": op6_near_vectors,
     "op10_token_counts": op10_token_counts,
 }
 
