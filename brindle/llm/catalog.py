@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import ann, attribution, minhash, mixing, packing, vectordup
+from brindle.llm import ann, attribution, licenses, lines, minhash, mixing, packing, quality, secrets, vectordup
 from brindle.llm.common import read_table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -29,16 +33,33 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectordup.links(read_table(spark, sf_dir, "embeddings"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read_table(spark, sf_dir, "documents")))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicate(read_table(spark, sf_dir, "documents"))
+    return found.select("doc.doc_id", "n_lines", "gone_exact", "gone_near", F.md5(F.col("doc.text").cast("binary")).alias("text_md5"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.token_counts(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_nearest": op2_nearest,
     "op3_pack": op3_pack,
     "op4_mix": op4_mix,
     "op5_near_documents": op5_near_documents,
     "op6_near_vectors": op6_near_vectors,
+    "op7_secrets": op7_secrets,
+    "op8_licenses": op8_licenses,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
