@@ -34,7 +34,7 @@ TEMPLATES = (
     ("gpl-notice", "licensed under the GNU General Public License, version 3"),
     ("mit-notice", "Released under the MIT License"),
     ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by", "Licensed under CC BY 4.0"),
+    ("creative-commons", "Licensed under CC BY 4.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("mpl-notice", "This Source Code Form is subject to the terms of the Mozilla Public License"),
