@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from brindle.plans import chat_plans, index_plans, retrieval_plans, text_plans  # noqa: F401  they register themselves
+from brindle.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
