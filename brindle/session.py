@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +23,18 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_brindle_shipped", False):
+        return spark
+    home = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp()) / "brindle_package.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f"{home.name}/{f.relative_to(home)}")
+    sc.addPyFile(str(to))
+    sc._brindle_shipped = True
+    return spark
