@@ -6,30 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import lines, minhash, mixing, packing, quality
 from brindle.llm.common import read_table, stored
+from brindle.session import ship
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    ship(spark)
     return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of lines that repeat, the first stays; documents left without text go."""
+    ship(spark)
     return lines.cleaned(docs)
 
 
 def drop_near_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    ship(spark)
     return minhash.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    ship(spark)
     return mixing.mix(docs)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the packed token stream, with their ids."""
+    ship(spark)
     return packing.pack(docs)
 
 
