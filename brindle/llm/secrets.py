@@ -16,6 +16,7 @@ ignored; a text may hold any number of spans.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,9 @@ ADDED = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
 )
 
+#: Alternatives of a run of text that are followed one by one.
+MOST_STRINGS = 16
+
 #: A query is a trigram, ("and", parts), ("or", parts), or None where nothing is mandatory.
 Query = str | tuple | None
 
@@ -65,27 +69,47 @@ def trigram_query(regex: str, any_case: bool = False) -> Query:
         return [low[i : i + 3] for i in range(len(low) - 2)]
 
     def both(parts: list) -> Query:
-        parts = list(dict.fromkeys(p for p in parts if p is not None))
+        flat_parts = [q for p in parts if p is not None for q in (p[1] if p[0] == "and" and not isinstance(p, str) else [p])]
+        parts = list(dict.fromkeys(flat_parts))
         return parts[0] if len(parts) == 1 else ("and", tuple(parts)) if parts else None
 
+    def literal(items) -> str | None:
+        return "".join(chr(a) for op, a in items if str(op) == "LITERAL") if all(str(op) == "LITERAL" for op, _ in items) else None
+
+    def settled(strings: list[str]) -> Query:
+        """The query of a run of text that is one of some strings."""
+        found = [both(grams(x)) for x in strings]
+        return None if None in found else found[0] if len(found) == 1 else ("or", tuple(dict.fromkeys(found)))
+
+    def flat(items):
+        for op, arg in items:
+            if str(op) == "SUBPATTERN":
+                yield from flat(arg[-1])
+            else:
+                yield op, arg
+
     def walk(items) -> Query:
         parts: list = []
-        literal = ""
-        for op, arg in items:
-            name = str(op)
+        run = [""]  # what the text just before here can be, as far as it is known
+        for op, arg in flat(items):
+            name, more = str(op), None
             if name == "LITERAL":
-                literal += chr(arg)
-                continue
-            parts += grams(literal)
-            literal = ""
-            if name == "SUBPATTERN":
-                parts.append(walk(arg[-1]))
+                more = [chr(arg)]
+            elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
+                more = [chr(a) for _, a in arg]
             elif name == "BRANCH":
+                more = [literal(x) for x in arg[1]]
+            if more and None not in more and len(run) * len(more) <= MOST_STRINGS:
+                run = [a + b for a in run for b in more]
+                continue
+            parts.append(settled(run))
+            run = [""]
+            if name == "BRANCH":
                 found = [walk(x) for x in arg[1]]
                 parts.append(None if None in found else ("or", tuple(found)))
             elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] >= 1:
                 parts.append(walk(arg[2]))
-        return both(parts + grams(literal))
+        return both([*parts, settled(run)])
 
     return walk(parser.parse(regex))
 
@@ -158,7 +182,7 @@ def scan(docs: DataFrame, base: tuple = BASE, added: tuple = ADDED) -> DataFrame
     for i, r in enumerate(rules):
         if r in indexed:
             asked = F.coalesce(F.array_contains("kinds", r.kind), F.lit(False))
-        elif r.regex.endswith("]+") and r.group == 0:
+        elif r.group == 0 and re.fullmatch(r"\[[^\]\\]*\]\+", r.regex):
             # a single class repeated: long enough runs, or none
             asked = F.col("text").rlike(f"{r.java[:-1]}{{{r.least}}}")
         else:
