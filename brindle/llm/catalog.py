@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import ann, attribution, licenses, lines, minhash, mixing, packing, quality, secrets, vectordup
+from brindle.llm import ann, attribution, licenses, lines, minhash, mixing, oracles, packing, quality, secrets, vectordup
 from brindle.llm.common import read_table
 
 
@@ -63,4 +63,11 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+#: The others choose by a seeded hash, need a tokenizer, learn, or approximate; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op5_near_documents": oracles.NEAR_DOCUMENTS,
+    "op6_near_vectors": oracles.NEAR_VECTORS,
+    "op7_secrets": oracles.SECRETS,
+    "op8_licenses": oracles.LICENSES,
+    "op9_line_dedup": oracles.LINES,
+}
