@@ -2,13 +2,14 @@
 
 A unit vector is coded as a sum of STAGES full-dimensional codewords, one per residual codebook of
 CODEWORDS words, found by beam search; its reconstruction's norm is stored with the code. A query
-scores codes from a table of its inner products with every codeword: the sum of the looked-up
-entries over the stored norm. The SHORTLIST best of each query are then reranked by exact cosine in
-double precision on the original vectors.
+scores codes from a table of its inner products with every codeword: the sum of the looked-up entries
+over the stored norm. In each block the SHORTLIST best are then reranked by exact cosine in double
+precision on the original vectors, and so is every other row that scores within MARGIN of the k-th
+best: in a dense group, where codes hardly differ, the whole group is reranked.
 
 Codebooks are fitted on a bounded sample (SAMPLE rows with the smallest seeded hashes); every row is
-encoded. Codes and queries are packed into blocks and scored block against block; per query and code
-block only the SHORTLIST best leave a task, and a window keeps the best of those.
+encoded. Codes, with their vectors, and queries are packed into blocks that meet pairwise; per query
+and block the k best leave a task, and a window keeps the best of those.
 
 Cases: vectors that are null, empty, zero, of another length than most, or that hold null or
 non-finite components take no part, neither as query nor as candidate; rows that repeat a vec_id
@@ -30,6 +31,7 @@ BEAM = 4
 SAMPLE = 8192
 ROUNDS = 6
 SHORTLIST = 256
+MARGIN = 0.1
 QUERY_BLOCK = 256
 CODE_BLOCK = 16384
 SEED = 5
@@ -85,25 +87,25 @@ def encode(x, books, beam: int = BEAM):
 
 
 def code_blocks(v: DataFrame, books, beam: int = BEAM) -> DataFrame:
-    """The index: rows of up to CODE_BLOCK vectors (ids, codes, norms as bytes)."""
+    """The index: rows of up to CODE_BLOCK vectors (ids, codes, norms and the unit vectors as bytes)."""
     shared = v.sparkSession.sparkContext.broadcast(books)
+    names = ["ids", "codes", "norms", "vecs"]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         def block(parts):
-            ids, codes, norms = (np.concatenate(x) for x in zip(*parts, strict=True))
-            for lo in range(0, len(ids), CODE_BLOCK):
-                s = slice(lo, lo + CODE_BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[s].astype("<i8").tobytes()], pa.binary()), pa.array([codes[s].tobytes()], pa.binary()), pa.array([norms[s].astype("<f4").tobytes()], pa.binary())], names=["ids", "codes", "norms"])
+            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            for lo in range(0, len(cols[0]), CODE_BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([c[lo : lo + CODE_BLOCK].tobytes()], pa.binary()) for c in cols], names=names)
 
         parts, held = [], 0
         for batch in batches:
             if not len(batch):
                 continue
             x = units(batch.column(1).flatten().to_numpy().reshape(len(batch), -1))
-            parts.append((batch.column(0).to_numpy(), *encode(x, shared.value, beam)))
+            parts.append((batch.column(0).to_numpy().astype("<i8"), *encode(x, shared.value, beam), x.astype("<f8")))
             held += len(batch)
             if held >= CODE_BLOCK:
                 yield from block(parts)
@@ -111,7 +113,7 @@ def code_blocks(v: DataFrame, books, beam: int = BEAM) -> DataFrame:
         if parts:
             yield from block(parts)
 
-    return v.select("id", "vec").mapInArrow(run, "ids binary, codes binary, norms binary")
+    return v.select("id", "vec").mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
 
 def query_blocks(q: DataFrame, blocks: int) -> DataFrame:
@@ -120,54 +122,51 @@ def query_blocks(q: DataFrame, blocks: int) -> DataFrame:
     return dealt.groupBy("qb").agg(F.collect_list(F.struct("id", "vec")).alias("q")).select("qb", "q.id", "q.vec").toDF("qb", "q_ids", "q_vecs")
 
 
-def _scores(pairs: DataFrame, books, shortlist: int) -> DataFrame:
+def _scores(pairs: DataFrame, books, k: int, shortlist: int, margin: float) -> DataFrame:
+    """Of each pair of blocks: every query's k best, by table scores and then exact cosines."""
     shared = pairs.sparkSession.sparkContext.broadcast(books)
+    names = ["query_id", "vec_id", "score"]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        stages, k, dim = shared.value.shape
+        stages, words, dim = shared.value.shape
         flat = shared.value.reshape(-1, dim)
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], "<i8")
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), stages).astype(np.int64) + np.arange(stages) * k
-                norms = np.maximum(np.frombuffer(row["norms"], "<f4"), 1e-12)
+                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), stages).astype(np.int64) + np.arange(stages) * words
+                norms = np.maximum(np.frombuffer(row["norms"], np.float32), 1e-12)
+                vecs = np.frombuffer(row["vecs"], "<f8").reshape(len(ids), dim)
                 q_ids = np.array(row["q_ids"], np.int64)
-                tables = flat @ units(np.array(row["q_vecs"], np.float64)).astype(np.float32).T  # (stages * words, queries)
+                q = units(np.array(row["q_vecs"], np.float64))
+                tables = flat @ q.astype(np.float32).T  # (stages * words, queries)
                 found: list[list] = [[], [], []]
-                keep = min(shortlist + 1, len(ids))  # a query may meet itself
                 for qi in range(len(q_ids)):
                     t = tables[:, qi]
-                    score = t[codes[:, 0]]
+                    near = t[codes[:, 0]]
                     for s in range(1, stages):
-                        score = score + t[codes[:, s]]
-                    score = score / norms
-                    best = np.argpartition(-score, keep - 1)[:keep]
-                    best = best[ids[best] != q_ids[qi]][:shortlist]
-                    found[0].append(np.full(len(best), q_ids[qi]))
-                    found[1].append(ids[best])
-                    found[2].append(score[best].astype(np.float32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=["query_id", "vec_id", "near"])
-
-    return pairs.mapInArrow(run, "query_id long, vec_id long, near float")
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """In double precision, each vector scaled by its largest component first."""
-
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-
-    def scaled(x: Column) -> Column:
-        return F.transform(x, lambda p: p / F.array_max(F.transform(x, lambda q: F.abs(q))))
-
-    a, b = scaled(a), scaled(b)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def search(vectors: DataFrame, is_query: Column, k: int = 5, shortlist: int = SHORTLIST, sample_rows: int = SAMPLE) -> DataFrame:
+                        near = near + t[codes[:, s]]
+                    near = near / norms
+                    near[ids == q_ids[qi]] = -np.inf
+                    if len(ids) > shortlist:
+                        best = np.sort(np.partition(near, len(near) - shortlist)[-shortlist:])
+                        some = np.flatnonzero(near >= min(best[0], best[-min(k, shortlist)] - margin))
+                    else:
+                        some = np.arange(len(ids))
+                    some = some[ids[some] != q_ids[qi]]
+                    score = (vecs[some] * q[qi]).sum(axis=1)  # equal vectors give equal sums, unlike a product by blocks
+                    order = np.lexsort((ids[some], -score))[:k]
+                    found[0].append(np.full(len(order), q_ids[qi]))
+                    found[1].append(ids[some[order]])
+                    found[2].append(score[order])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=names)
+
+    return pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, shortlist: int = SHORTLIST, margin: float = MARGIN, sample_rows: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by cosine; is_query is a condition on column id."""
     v = usable(vectors)
     v = stored(v.groupBy("id").agg(F.min("vec").alias("vec")), "ann-vectors")
@@ -181,11 +180,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, shortlist: int = SH
     # a stated query set against all rows, block by block: one row per pair of blocks
     fan = codes.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = fan.join(query_blocks(v.where(is_query), blocks), "qb").drop("qb")
-    near = _scores(pairs, books, shortlist)
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    short = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= shortlist).select("query_id", "vec_id")
-    named = v.select(F.col("id").alias("vec_id"), F.col("vec").alias("v"))
-    asked = v.where(is_query).select(F.col("id").alias("query_id"), F.col("vec").alias("q"))
-    exact = short.join(named, "vec_id").join(asked, "query_id").select("query_id", "vec_id", cosine(F.col("q"), F.col("v")).alias("score"))
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = _scores(pairs, books, k, shortlist, margin).withColumn("rank", F.row_number().over(best))
+    return near.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
