@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from brindle import schemas as S
 from brindle.functions import ids, text as T
@@ -69,7 +70,7 @@ def gold(spark: SparkSession, path: str) -> DataFrame:
     if kind is None or (kind["c"] != "[" and kind["q"] is None and kind["i"] is None):
         raise ValueError("gold queries: a list, or an object with queries or items")
     body = F.col("v") if kind["c"] == "[" else F.get_json_object("v", "$.queries" if kind["q"] is not None else "$.items")
-    rows = raw.select(F.posexplode(F.from_json(body, f"array<struct<{S.GOLD.replace(' string', ':string').replace(' boolean', ':boolean').replace(' array', ':array').replace(' struct', ':struct')}>>")).alias("pos", "g"))
+    rows = raw.select(F.posexplode(F.from_json(body, ArrayType(StructType.fromDDL(S.GOLD)))).alias("pos", "g"))
     return rows.select("g.*", "pos")
 
 
