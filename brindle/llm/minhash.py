@@ -11,7 +11,7 @@ similarity), with less variance than as many independent minima.
 2. Signatures are cut into BANDS bands of ROWS values; documents that share a band meet in its bucket.
    At J = 0.85 a pair misses every bucket with probability (1 - J^4)^16 < 1e-5.
 3. Buckets are compared block by block on the 8-bit signatures. Pairs estimated at 0.2 below the
-   threshold or less are let go (more than five standard deviations); the others join a candidate group.
+   threshold or less are let go (four standard deviations or more); the others join a candidate group.
    A task returns one edge per row at most, whatever the bucket's size.
 4. Candidate groups are compared block by block on their full sets, by matrix products of the
    documents' shingle vectors, and exact links come out as a spanning forest.
@@ -221,7 +221,8 @@ def _verified(candidates: DataFrame, docs: DataFrame, percent: int) -> DataFrame
     keys = ["grp", "bi", "bj"]
     dealt = block_pairs(candidates, ["grp"], "doc_id", BLOCK_ROWS // 4)
     texts = docs.where(docs["doc_id"].isNotNull() & docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
-    held = dealt.join(texts, dealt["doc_id"] == texts["id"]).select(*keys, "blk", "doc_id", "text")
+    # one way at every size: candidates grow with the table, so they are never broadcast
+    held = dealt.hint("merge").join(texts, dealt["doc_id"] == texts["id"]).select(*keys, "blk", "doc_id", "text")
     held = held.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
 
     def run(batches):
@@ -268,7 +269,7 @@ def links(docs: DataFrame, percent: int = 85) -> DataFrame:
     Two documents are linked when 100 * intersection >= percent * union.
     """
     sig = stored(signed(docs), "signed")
-    if percent >= 0 and sig.groupBy("doc_id").count().where("count > 1").limit(1).count():
+    if sig.groupBy("doc_id").count().where("count > 1").limit(1).count():
         first = sig.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b", "n_shingles", "sig", "bands")).alias("s"))
         sig = stored(first.select("doc_id", "s.n_shingles", "s.set_a", "s.set_b", "s.sig", "s.bands"), "signed")
     some = sig.where(F.col("n_shingles") > 0)
@@ -295,4 +296,4 @@ def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
     gone = stored(gone, "gone")
     free = "".join(["gone_id", *["_" for c in docs.columns if c.startswith("gone_id")]])
     gone = gone.withColumnRenamed("gone_id", free)
-    return docs.join(gone, docs["doc_id"] == gone[free], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone[free], "left_anti")
