@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle import config as C
@@ -85,6 +85,16 @@ def to_embed(manifest: DataFrame, files: DataFrame, overwrite: bool = False) ->
     return some.join(files.select("file_path").distinct(), "file_path", "left_semi")
 
 
+def local_path(file_path: Column, root: str) -> Column:
+    """An asset's file: absolute paths and URIs as they are, others below root."""
+    return F.when(F.coalesce(file_path, F.lit("")) == "", None).when(file_path.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), file_path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), file_path))
+
+
+def upload_name(name: Column) -> Column:
+    """Whether a stored upload may be served under this name."""
+    return F.coalesce(name.rlike(C.UPLOAD_NAME), F.lit(False))
+
+
 def upload_problem(content, mime=None):
     """Why an uploaded file is refused: empty, too large or of another kind than JPEG, PNG, WebP; null if it isn't."""
     magic = F.hex(F.substring(content, 1, 12))

@@ -82,6 +82,11 @@ def page_keys(expected: DataFrame, slugs: DataFrame) -> DataFrame:
     return joined.select("qid", "page", F.when(~bad & F.col("doc_id").isNotNull(), F.concat_ws("_", F.col("doc_id").cast("string"), "no_")).alias("page_key"), F.when(bad, "malformed").when(F.col("doc_id").isNull(), "unknown_slug").alias("warning"))
 
 
+def expected_assets(expected: Column) -> Column:
+    """Assets, images and tables that a gold query expects, each once."""
+    return F.array_union(F.array_union(clean(expected["asset_ids"]), clean(expected["image_ids"])), clean(expected["table_ids"]))
+
+
 def unknown_references(expected: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Expected ids that the artifacts don't hold; must be empty for a sound gold set."""
     return expected.where(F.col(key).isNotNull()).join(known.select(key).distinct(), key, "left_anti")

@@ -79,6 +79,13 @@ def prompt(query: Column, context_: Column, history_: Column | None = None, rule
     return F.concat(F.lit(rules), past, F.lit("\nCONTEXT:\n"), context_, F.lit("\n\nQUERY:\n"), query, F.lit("\n"))
 
 
+def image_docs(hits: DataFrame) -> DataFrame:
+    """Image hits (qid, rank, asset_id, caption, title, doc_slug, page_label, score) as documents for context(), captions as content; hits without one are left out."""
+    some = hits.where(F.coalesce("caption", F.lit("")) != "")
+    none = F.lit(None)
+    return some.select("qid", "rank", F.col("caption").alias("content"), "title", "doc_slug", "page_label", none.cast("int").alias("page_number"), F.col("asset_id").alias("linked_asset_id"), F.col("asset_id").alias("chunk_id"), none.cast("double").alias("rerank_score"), none.cast("double").alias("rrf_score"), "score")
+
+
 def passes_score(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """qid, passes: whether the first document's score (zero gives way to the next kind) reaches least."""
     first = docs.where(F.col("rank") == 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle import config as C
@@ -39,6 +39,13 @@ def page_counts(elements: DataFrame, assets: DataFrame) -> DataFrame:
     return e.join(a, ["doc_id", "page_no"], "left").withColumn("n_assets", F.coalesce("n_assets", F.lit(0)))
 
 
+def page_turns(elements: DataFrame) -> DataFrame:
+    """Per document, how often the page changes along its elements, the first one counted."""
+    w = Window.partitionBy("doc_id").orderBy("page_no", "seq")
+    turned = elements.withColumn("turn", F.coalesce(F.col("page_no") != F.lag("page_no").over(w), F.lit(True)))
+    return turned.groupBy("doc_id").agg(F.count_if("turn").alias("pages"))
+
+
 def check_files(artifacts: DataFrame, assets: DataFrame, files: DataFrame, sample: int = 20) -> DataFrame:
     """One row: status FAIL where an artifact is missing, WARN where one of the first assets' files is, else PASS.
 

@@ -189,6 +189,33 @@ def desired_state(spark, d):
     return index.desired(c.unionAll(c)).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
 
 
+@plan("SELECT doc_id AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN 'p' || (doc_id % 5) END AS page_label, doc_id % 5 AS page_number, 'body' AS section, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS n_values FROM documents")
+def index_points(spark, d):
+    """Payload fields flattened, and the stored sparse vector unless it is empty."""
+    i = F.col("doc_id")
+    meta = F.struct(F.when(i % 2 == 0, F.concat(F.lit("p"), (i % 5).cast("string"))).alias("page_label"), (i % 5).alias("page_number"), F.lit("body").alias("section"), F.lit(None).cast("string").alias("linked_asset_id"))
+    own = F.when(i % 3 == 0, F.struct(F.array(F.lit(1)).alias("indices"), F.array(F.lit(0.5)).alias("values"))).otherwise(F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values")))
+    other = F.struct(F.array(F.lit(1), F.lit(2)).alias("indices"), F.array(F.lit(0.1), F.lit(0.2)).alias("values"))
+    p = index.points(table(spark, d, "documents").select(i.alias("chunk_id"), meta.alias("metadata"), own.alias("sparse_vector")))
+    return p.select("chunk_id", "page_label", "page_number", "section", F.size(index.choose_sparse(F.col("sparse_vector"), other)["values"]).alias("n_values"))
+
+
+@plan("SELECT asset_no, CASE asset_no % 3 WHEN 0 THEN '/data/a.png' WHEN 1 THEN 'root/x/a' || asset_no || '.png' END AS path, asset_no % 3 = 1 AS servable FROM (SELECT vec_id AS asset_no FROM embeddings)")
+def asset_paths(spark, d):
+    v = F.col("vec_id")
+    path = F.when(v % 3 == 0, "/data/a.png").when(v % 3 == 1, F.concat(F.lit("x/a"), v.cast("string"), F.lit(".png"))).otherwise("")
+    name = F.when(v % 3 == 1, F.concat(F.md5(v.cast("string")), F.lit(".png"))).otherwise("../x.png")
+    return table(spark, d, "embeddings").select(v.alias("asset_no"), assets.local_path(path, "root/").alias("path"), assets.upload_name(name).alias("servable"))
+
+
+@plan("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a1,i1,t1' ELSE 'a1,i1' END AS expected FROM documents")
+def expected_assets(spark, d):
+    i = F.col("doc_id")
+    one = lambda x: F.array(F.lit(x), F.lit(" a1 "), F.lit(""))
+    e = F.struct(F.array(F.lit("a1")).alias("asset_ids"), one("i1").alias("image_ids"), F.when(i % 2 == 0, F.array(F.lit("t1"))).alias("table_ids"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(evaluate.expected_assets(e), ",").alias("expected"))
+
+
 @plan("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'type' WHEN 2 THEN 'empty' ELSE NULL END AS problem FROM documents")
 def upload_check(spark, d):
     m = F.col("doc_id") % 4

@@ -227,6 +227,23 @@ def page_counts(spark, d):
     return report.page_counts(e, a)
 
 
+@plan("SELECT 'd' || (doc_id % 50) AS doc_id, count(DISTINCT doc_id // 50 % 5) AS pages FROM documents GROUP BY 1")
+def page_turns(spark, d):
+    e = table(spark, d, "documents").select(F.concat(F.lit("d"), (F.col("doc_id") % 50).cast("string")).alias("doc_id"), (F.floor(F.col("doc_id") / 50) % 5).alias("page_no"), F.col("doc_id").alias("seq"))
+    return report.page_turns(e)
+
+
+@plan(
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 WHEN doc_id % 3 = 1 THEN doc_id % 5 ELSE 1 END::INT AS page_number, CASE WHEN doc_id % 4 = 0 THEN 4.0 WHEN doc_id % 4 = 1 THEN 9.0 ELSE NULL END::DOUBLE AS l FROM documents"""
+)
+def page_and_box(spark, d):
+    """Page number and box from whichever of an item's fields is there."""
+    i = F.col("doc_id")
+    image = F.when(i % 4 == 0, F.array(*[F.lit(4.0)] * 4)).when(i % 4 == 1, F.array(F.lit(1.0)))
+    prov = F.when(i % 4 == 1, F.array(*[F.lit(9.0)] * 4))
+    return table(spark, d, "documents").select("doc_id", layout.page_number(F.when(i % 3 == 0, i % 7), F.when(i % 3 == 1, i % 5)).alias("page_number"), layout.bbox(image, prov, F.lit(None).cast("array<double>"))[0].alias("l"))
+
+
 WRAP_HEAD = T.TABLE_STYLE.replace("'", "''")
 
 
