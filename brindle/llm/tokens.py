@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -21,9 +21,7 @@ class ByteBPE:
     """ids(text) and byte spans for the vocabulary in a tokenizers file of kind byte-level BPE."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -45,6 +43,13 @@ class ByteBPE:
 
         self.own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
 
+    @cached_property
+    def whole(self):
+        """The file's own library; loaded only where a text asks for it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def raw(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit bytes."""
         if not text:
