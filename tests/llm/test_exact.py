@@ -422,3 +422,11 @@ def test_line_dedup(spark):
     clean = lines.cleaned(docs)
     assert clean.columns == docs.columns
     assert lines.deduplicate(docs_of(spark, [])).count() == 0
+
+
+def test_line_dedup_versions(spark):
+    """Rows that repeat a doc_id with different texts: both hold first lines of one number, and both are compared."""
+    one, other = "the first version of a longer line", "the other text that stands beside it"
+    rows = [(1, f"{one} a\n{other}"), (1, f"{one} b\n{other} too"), (2, f"{one} c\n{one} b"), (3, "nothing of that kind is met here")]
+    got = {(x["doc"]["doc_id"], x["doc"]["text"]): (x["gone_exact"], x["gone_near"]) for x in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {rows[0]: (0, 0), rows[1]: (0, 0), (2, ""): (1, 1), rows[3]: (0, 0)}
