@@ -74,12 +74,96 @@ def gold(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("g.*", "pos")
 
 
+_CLOSED = {f"h{i}" for i in range(1, 7)} | {"p", "figcaption"}  # end at any block tag
+_HOLDING = {"table", "header", "footer"}  # hold whatever stands inside
+_BLOCKS = _CLOSED | _HOLDING | set("html body head main article section aside nav div ul ol dl dt dd li figure blockquote pre form fieldset address hr center details summary tr td th thead tbody tfoot caption title".split())
+_SILENT = {"head", "title", "script", "style", "template", "noscript"}
+_AMP = "\ufdd0"  # stands for & while a page is parsed, so that entities stay as they are
+
+
+def html_parts(html: str) -> list[tuple[str, str]]:
+    """(tag, text) of a page's items in order; the tag is empty for text outside known tags, img for images (their alt text).
+
+    An item ends at its own end tag or at that of an element around it; headings, paragraphs and loose
+    text also at any block tag, list items at the next one and at a list inside.
+    """
+    from html.parser import HTMLParser
+
+    out: list[list] = []
+
+    class Parser(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.stack: list[str] = []
+            self.item, self.depth = None, 0  # the open item, and how many elements are open around it
+
+        def begin(self, tag):
+            self.item, self.depth = [tag, ""], len(self.stack)
+            out.append(self.item)
+
+        def handle_starttag(self, tag, attrs):
+            if self.item is not None:
+                self.item[1] += " "
+            if tag == "img":
+                out.append(["img", dict(attrs).get("alt") or ""])
+            if tag not in _BLOCKS and tag not in _SILENT:
+                return
+            if tag == "body" or (tag in _BLOCKS - {"title"} and "head" in self.stack and tag != "head"):
+                self.stack = [x for x in self.stack if x not in _SILENT]  # a head without an end tag
+            kind = self.item[0] if self.item is not None else None
+            if kind is not None and tag in _BLOCKS and ((kind in _CLOSED or not kind) or (kind == "li" and tag in ("li", "ul", "ol"))):
+                del self.stack[self.depth :]
+                self.item = None
+            silent = any(x in _SILENT for x in self.stack)
+            if self.item is None and not silent and (tag in _CLOSED or tag in _HOLDING or tag == "li"):
+                self.begin(tag)
+            if tag != "hr":
+                self.stack.append(tag)
+
+        def handle_startendtag(self, tag, attrs):
+            self.handle_starttag(tag, attrs)  # a slash doesn't close an element in HTML
+
+        def handle_endtag(self, tag):
+            if self.item is not None:
+                self.item[1] += " "
+                if tag in _BLOCKS and not self.item[0]:
+                    self.item = None
+            if tag in self.stack:
+                del self.stack[len(self.stack) - 1 - self.stack[::-1].index(tag) :]
+                if self.item is not None and len(self.stack) <= self.depth and (self.item[0] or len(self.stack) < self.depth):
+                    self.item = None
+
+        def handle_data(self, data):
+            if any(x in _SILENT for x in self.stack):
+                return
+            if self.item is None:
+                if not data.strip():
+                    return
+                self.begin("")
+            self.item[1] += data
+
+    parser = Parser()
+    parser.feed(html.replace("&", _AMP))
+    parser.close()
+    return [(tag, text.replace(_AMP, "&")) for tag, text in out]
+
+
 def html_items(pages: DataFrame) -> DataFrame:
-    """Layout items of web pages (page_id, html): one per heading, paragraph, list item, table or image, in order; boxes by place."""
-    tag = "(?is)<(h[1-6]|p|li|table|figcaption|footer|header)\\b[^>]*>(.*?)</\\1>"
-    found = pages.select(F.col("page_id").cast("string").alias("doc_id"), F.regexp_extract_all("html", F.lit(tag), F.lit(1)).alias("tags"), F.regexp_extract_all("html", F.lit(tag), F.lit(2)).alias("bodies"))
-    rows = found.select("doc_id", F.posexplode(F.arrays_zip("tags", "bodies")).alias("item_ord", "i"))
-    t = F.lower(F.col("i.tags"))
-    clean = T.normalize(F.regexp_replace(F.col("i.bodies"), "(?s)<[^>]*>", " "))
+    """Layout items of web pages (page_id, html): one per heading, paragraph, list item, table, image or text outside these, in order; boxes by place."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for doc, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = html_parts(html) if html else []
+                if parts:
+                    tags, texts = zip(*parts, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int64()), pa.array(tags, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "item_ord", "tag", "raw"])
+
+    rows = pages.select(F.col("page_id").cast("string").alias("doc_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, "doc_id string, item_ord long, tag string, raw string")
+    t = F.col("tag")
     top = F.col("item_ord").cast("double") * 20
-    return rows.select("doc_id", F.lit(1).alias("page_no"), F.col("item_ord").cast("long").alias("item_ord"), F.when(t == "table", "table").otherwise("text").alias("kind"), F.when(t.rlike("^h[1-6]$|header"), "SECTION_HEADER").when(t == "footer", "PAGE_FOOTER").otherwise("TEXT").alias("label"), clean.alias("text"), F.array(F.lit(0.0), top, F.lit(100.0), top + 15).alias("bbox"))
+    kind = F.when(t == "table", "table").when(t == "img", "image").otherwise("text")
+    label = F.when(t.rlike("^h[1-6]$|header"), "SECTION_HEADER").when(t == "footer", "PAGE_FOOTER").otherwise("TEXT")
+    return rows.select("doc_id", F.lit(1).alias("page_no"), "item_ord", kind.alias("kind"), label.alias("label"), T.normalize(F.col("raw")).alias("text"), F.array(F.lit(0.0), top, F.lit(100.0), top + 15).alias("bbox"))

@@ -66,6 +66,16 @@ def test_html_items(spark):
     assert [(r["kind"], r["text"]) for r in got] == [("text", "Top"), ("text", "One two"), ("table", "x")]
 
 
+def test_html_items_whole(spark):
+    """Unclosed paragraphs, text outside known tags and images are kept; scripts, titles and comments aren't text."""
+    html = """<html><head><title>no</title><script>var t="</p><p>no";</script></head><body>loose &amp; <i>text</i><!-- <p>no</p> -->
+<div class="ad">in a div</div><article><h1>Top</h1><p><b>first.<br><p>second<ul><li>a<li>b</ul><img src="x.png" alt="a cat"><p>last<br></article>after<table><tr><td>x<p>y</table><footer>end</footer></body></html>"""
+    pages = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "only text")], "page_id long, html string")
+    got = [(r["doc_id"], r["kind"], r["text"]) for r in readers.html_items(pages).orderBy("doc_id", "item_ord").collect()]
+    want = ["loose &amp; text", "in a div", "Top", "first.", "second", "a", "b", ("image", "a cat"), "last", "after", ("table", "x y"), "end"]
+    assert got == [("1", *(("text", w) if isinstance(w, str) else w)) for w in want] + [("4", "text", "only text")]
+
+
 def test_every_query_has_columns(spark):
     import __spark_entry__ as e
 
