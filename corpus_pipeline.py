@@ -16,9 +16,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of lines that repeat, the first stays; documents left without text go."""
+    """Of lines that repeat, whole or but for some edits (more in longer lines), the first stays; documents left without text go."""
     ship(spark)
-    return lines.cleaned(docs)
+    return lines.cleaned(docs, lines.BY_LENGTH)
 
 
 def drop_near_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -430,3 +430,41 @@ def test_line_dedup_versions(spark):
     rows = [(1, f"{one} a\n{other}"), (1, f"{one} b\n{other} too"), (2, f"{one} c\n{one} b"), (3, "nothing of that kind is met here")]
     got = {(x["doc"]["doc_id"], x["doc"]["text"]): (x["gone_exact"], x["gone_near"]) for x in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {rows[0]: (0, 0), rows[1]: (0, 0), (2, ""): (1, 1), rows[3]: (0, 0)}
+
+
+def test_banded_segments_meet():
+    """Lines within the threshold of the shorter one's length always share a key."""
+    r = random.Random(10)
+    for _ in range(3000):
+        a = "".join(r.choice("abcé日") for _ in range(r.choice([r.randrange(20, 130), 20 * r.randrange(1, 8) + r.randrange(-5, 6)])))
+        b = edited(r, a, r.randrange(int(lines.allowed(len(a))) + 1))
+        if distance(a, b) > lines.allowed(min(len(a), len(b))) or min(len(a), len(b)) < 20:
+            continue
+        points, _, _, starts, lengths = lines._cut([a + "\n" + b])
+        key, line = lines.banded_keys_of(points, starts, lengths)
+        assert set(key[line == 0].tolist()) & set(key[line == 1].tolist()), (a, b)
+
+
+def test_pipeline_drops_edited_lines(spark):
+    """The pipeline's stage links what the length allows, against brute force."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    base = ["".join(r.choice("abcdefgh é") for _ in range(r.randrange(20, 160))) for _ in range(25)]
+    texts = ["\n".join(edited(r, r.choice(base), r.choice([0, 1, 2, 3, 5, 7])) + "." for _ in range(5)) for _ in range(30)]
+    places = {}
+    for i, t in enumerate(texts):
+        for k, x in enumerate(t.split("\n")):
+            if len(x) >= 20:
+                places.setdefault(x, []).append((i, k))
+    every = sorted(places)
+    linked = [(m, n) for m, n in itertools.combinations(range(len(every)), 2) if abs(len(every[m]) - len(every[n])) <= 5 and distance(every[m], every[n]) <= min(min(len(every[m]), len(every[n])) // 20, 5)]
+    assert any(distance(every[m], every[n]) > 2 for m, n in linked)
+    cls = reach(range(len(every)), linked)
+    first = {}
+    for n, x in enumerate(every):
+        first[cls[n]] = min([first.get(cls[n], (99, 0)), *places[x]])
+    gone = {p for n, x in enumerate(every) for p in places[x] if p != first[cls[n]]}
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in enumerate(texts)}
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.drop_repeated_lines(spark, docs_of(spark, texts), "").collect()}
+    assert got == {i: t for i, t in want.items() if t.strip()}
