@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one block in block-wise comparisons; a task holds two blocks at most.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
+#: Groups of more rows may be joined by broadcast, MOST_LARGE of them at most.
+LARGE = 64
+MOST_LARGE = 10_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +51,43 @@ def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def block_pairs(df: DataFrame, keys: list[str], id_col: str, rows: int = BLOCK_ROWS) -> DataFrame:
+def join_groups(df: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of df with groups, one row per key, whose column n says how many rows of df have that key.
+
+    No key's rows meet in one task. Groups of more rows than LARGE and than a MOST_LARGE-th of total
+    (the rows of df, or more) number MOST_LARGE at most, whatever the table's size: these go to every
+    task by broadcast. The others are joined by key, and no key has more rows there than that limit.
+    """
+    limit = max(LARGE, total // MOST_LARGE)
+    large = groups.where(F.col("n") > limit)
+    hot = df.join(F.broadcast(large), keys)
+    rest = df.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(groups.where(F.col("n") <= limit).hint("merge"), keys)
+    return hot.unionByName(rest)
+
+
+def with_groups(df: DataFrame, keys: list[str], total: int, *aggregates: Column, least: int = 1) -> DataFrame:
+    """df with its group's size n and further aggregates beside each row; groups of fewer than least rows go. Reads df three times: pass a stored table."""
+    groups = df.groupBy(*keys).agg(F.count("*").alias("n"), *aggregates).where(F.col("n") >= least)
+    return join_groups(df, groups, keys, total)
+
+
+def blocked(df: DataFrame, keys: list[str], total: int, rows: int) -> DataFrame:
+    """df with n, the size of each row's group where that is more than rows, and 1 where it isn't: only block_pairs asks for it.
+
+    Groups of more than rows are few; those beyond a MOST_LARGE-th of all rows are broadcast, the others joined by key.
+    """
+    limit = max(rows, total // MOST_LARGE)
+    groups = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > rows)
+    out = df.join(F.broadcast(groups.where(F.col("n") > limit).withColumnRenamed("n", "n_large")), keys, "left")
+    if limit > rows:
+        some = groups.where(F.col("n") <= limit).withColumnRenamed("n", "n_some")
+        out = out.join(some.hint("merge"), keys, "left")
+    else:
+        out = out.withColumn("n_some", F.lit(None).cast("long"))
+    return out.withColumn("n", F.coalesce("n_large", "n_some", F.lit(1).cast("long"))).drop("n_large", "n_some")
+
+
+def block_pairs(df: DataFrame, id_col: str, rows: int = BLOCK_ROWS) -> DataFrame:
     """Deal the rows of each group into blocks and copy each row to every pair of blocks it belongs to.
 
     df carries a column n, the size of the row's group. Adds blk (the row's own block), bi and bj
@@ -56,12 +96,57 @@ def block_pairs(df: DataFrame, keys: list[str], id_col: str, rows: int = BLOCK_R
     """
     blocks = F.ceil(F.col("n") / F.lit(rows)).cast("int")
     dealt = df.withColumn("nb", F.greatest(F.lit(1), blocks)).withColumn("blk", F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.col("nb").cast("long")).cast("int"))
-    return (
-        dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .withColumn("bi", F.least("blk", "other"))
-        .withColumn("bj", F.greatest("blk", "other"))
-        .drop("other", "nb", "n")
-    )
+    return _paired(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))).drop("nb", "n")
+
+
+def _paired(df: DataFrame) -> DataFrame:
+    return df.withColumn("bi", F.least("blk", "other")).withColumn("bj", F.greatest("blk", "other")).drop("other")
+
+
+class Stars:
+    """Links within groups of rows (key, id), found in two steps.
+
+    1. Every row is compared with its group's pivot, the smallest id: pairs() gives each such pair
+       once, however many groups it is in. The work is in proportion to the rows.
+    2. Rows that aren't linked with their pivot are compared with each other and with those that
+       are, block by block: rest() deals them. Rows linked with one pivot are linked with each
+       other already, and aren't compared again.
+
+    Together this finds the connected components of all links within groups; a group of copies of
+    one text costs one comparison per row, and only rows unlike the pivot cost more.
+    """
+
+    def __init__(self, members: DataFrame, name: str):
+        """members: a stored table (key, id) of longs, each row once."""
+        self.total = members.count()
+        pivots = with_groups(members, ["key"], self.total, F.min("id").alias("pivot"), least=2)
+        self.members = stored(pivots.where(F.col("id") != F.col("pivot")).select("key", "id", "pivot"), f"{name}-stars")
+
+    def pairs(self, rows: int = BLOCK_ROWS) -> DataFrame:
+        """(pivot, blk, head, id): per pivot, blocks of the ids to compare with it, and one row (head) for the pivot itself in each."""
+        once = self.members.select("id", "pivot").distinct()
+        once = stored(once, "star-pairs")
+        blocks = F.ceil(F.col("n") / F.lit(rows)).cast("long")
+        dealt = blocked(once, ["pivot"], self.total, rows).select("pivot", F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.lit(1).cast("long"), blocks)).cast("int").alias("blk"), "id")
+        heads = dealt.select("pivot", "blk").distinct().select("pivot", "blk", F.lit(True).alias("head"), F.col("pivot").alias("id"))
+        return dealt.select("pivot", "blk", F.lit(False).alias("head"), "id").unionByName(heads)
+
+    def rest(self, near: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+        """near: a stored table (id, pivot) of the pairs that are linked. (key, bi, bj, blk, id): what is still to be compared."""
+        same = (self.members["id"] == near["id"]) & (self.members["pivot"] == near["pivot"])
+        flagged = self.members.join(near.withColumn("hit", F.lit(True)).hint("merge"), same, "left").select("key", self.members["id"], F.col("hit").isNull().alias("far"))
+        flagged = stored(flagged, "star-rest")
+        far = F.sum(F.col("far").cast("long")).alias("n_far")
+        groups = flagged.groupBy("key").agg(F.count("*").alias("n"), far).where("n >= 2 and n_far >= 1")
+        some = join_groups(flagged, groups, ["key"], self.total)
+        n_far = F.ceil(F.col("n_far") / F.lit(rows)).cast("long")
+        n_near = F.ceil((F.col("n") - F.col("n_far")) / F.lit(rows)).cast("long")
+        place = F.xxhash64("id", F.lit(7))
+        one = F.col("n") <= rows
+        blk = F.when(one, F.lit(0)).when(F.col("far"), F.pmod(place, F.col("n_f"))).otherwise(F.col("n_f") + F.pmod(place, F.greatest(F.col("n_n"), F.lit(1))))
+        top = F.when(one, F.lit(0)).when(F.col("far"), F.col("n_f") + F.col("n_n") - 1).otherwise(F.col("n_f") - 1)
+        dealt = some.withColumn("n_f", n_far).withColumn("n_n", n_near).withColumn("blk", blk.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), top.cast("int"))))
+        return _paired(dealt).select("key", "bi", "bj", "blk", "id")
 
 
 def grouped_batches(batches, keys: list[str], least_rows: int = 4096):
@@ -139,6 +224,17 @@ class Forest:
                     self.join(s, x)
 
 
+def star_components(members: DataFrame, name: str, pairs: Callable, rest: Callable, rows: int = BLOCK_ROWS) -> DataFrame:
+    """members: a stored table (key, id). Components of the links within keys' groups, as connected_components gives them.
+
+    pairs(dealt) compares what Stars.pairs deals and gives (id, pivot) of the links; rest(dealt) does so
+    for what Stars.rest deals and gives edges (a, b).
+    """
+    stars = Stars(members, name)
+    near = stored(pairs(stars.pairs(rows)).distinct(), f"{name}-near")
+    return connected_components(near.select(F.col("id").alias("a"), F.col("pivot").alias("b")).unionByName(rest(stars.rest(near, rows))))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b long): one row (node, component) per node of an edge; component is the smallest node reachable.
 
@@ -153,11 +249,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     before = state(e)
     while before[0]:
+        # the rows of a hub never meet in one task: see join_groups
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
-        low = large.groupBy(F.col("a")).agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        starred = with_groups(both, ["u"], 2 * before[0], F.min("v").alias("m")).where(F.col("v") > F.col("u"))
+        large = stored(starred.select(F.col("v").alias("a"), F.least("m", "u").alias("b")).where(F.col("a") != F.col("b")).distinct(), "edges")
+        starred = with_groups(large, ["a"], before[0], F.min("b").alias("m"))
+        small = starred.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         e = stored(small.where(F.col("a") != F.col("b")).distinct(), "edges")
         now = state(e)
         if now == before:

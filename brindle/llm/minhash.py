@@ -10,11 +10,12 @@ similarity), with less variance than as many independent minima.
    groups of copies cost one row.
 2. Signatures are cut into BANDS bands of ROWS values; documents that share a band meet in its bucket.
    At J = 0.85 a pair misses every bucket with probability (1 - J^4)^16 < 1e-5.
-3. Buckets are compared block by block on the 8-bit signatures. Pairs estimated at 0.2 below the
-   threshold or less are let go (four standard deviations or more); the others join a candidate group.
-   A task returns one edge per row at most, whatever the bucket's size.
-4. Candidate groups are compared block by block on their full sets, by matrix products of the
-   documents' shingle vectors, and exact links come out as a spanning forest.
+3. In a bucket, 8-bit signatures are compared with the pivot's (its smallest doc_id), and those unlike
+   it with all others, block by block. Pairs estimated at SLACK below the threshold or less are let go
+   (about five standard deviations); the others join a candidate group. A task returns one edge per row
+   at most, whatever the bucket's size.
+4. Candidate groups are compared in the same two steps on their full sets: exactly with the pivot's, and
+   then, where a document isn't linked with the pivot, by matrix products of the shingle vectors.
 5. Connected components of the exact links, over tables in the shared folder.
 
 Cases: null, empty and blank texts have an empty set and link with nothing; rows with a null doc_id
@@ -28,13 +29,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import BLOCK_ROWS, Forest, block_pairs, connected_components, group_bounds, grouped_batches, stored
+from brindle.llm.common import BLOCK_ROWS, Forest, group_bounds, grouped_batches, join_groups, star_components, stored
 
 SHINGLE = 5
 PERMUTATIONS = 32
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
-SLACK = 0.2
+SLACK = 0.25
 SEED = 2024
 _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"
 
@@ -130,33 +131,51 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, _SIGNED)
 
 
-def _likely(multi: DataFrame, least: float) -> DataFrame:
-    """multi (band, doc_id, sig, n): edges (a, b) that join the documents of a bucket whose signatures agree often enough."""
-    keys = ["band", "bi", "bj"]
-    dealt = block_pairs(multi, ["band"], "doc_id")
-    dealt = dealt.select(*keys, "blk", "doc_id", "sig").repartition(*keys).sortWithinPartitions(*keys)
+def _enough(least: float) -> float:
+    """Of all signature values, how many must agree: equal bytes turn up by chance once in 256."""
+    return 2 * PERMUTATIONS * (least + (1 - least) / 256)
+
+
+def _likely_pairs(dealt: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+    """(id, pivot) of the documents whose signature agrees often enough with their pivot's."""
+    keys = ["pivot", "blk"]
+    held = dealt.join(sigs.hint("merge"), dealt["id"] == sigs["doc_id"]).select(*keys, "head", "id", "sig")
+    held = held.repartition(*keys).sortWithinPartitions(*keys, F.desc("head"))
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
-        values = 2 * PERMUTATIONS
-        # equal bytes turn up by chance once in 256
-        enough = values * (least + (1 - least) / 256)
         for pdf in grouped_batches(batches, keys):
-            ids, blk = pdf["doc_id"].to_numpy(), pdf["blk"].to_numpy()
+            v = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+            lo = np.repeat(*np.array([(a, b - a) for a, b in group_bounds(pdf, keys)]).T)  # where each row's head stands
+            hit = ((v == v[lo]).sum(axis=1) >= _enough(least)) & (lo != np.arange(len(v)))
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[hit], "pivot": pdf["pivot"].to_numpy()[hit]})
+
+    return held.mapInPandas(run, "id long, pivot long")
+
+
+def _likely_rest(dealt: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) that join the documents of a bucket whose signatures agree often enough."""
+    keys = ["key", "bi", "bj"]
+    held = dealt.join(sigs.hint("merge"), dealt["id"] == sigs["doc_id"]).select(*keys, "blk", "id", "sig")
+    held = held.repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in grouped_batches(batches, keys):
+            ids, blk = pdf["id"].to_numpy(), pdf["blk"].to_numpy()
             bi, bj = pdf["bi"].to_numpy(), pdf["bj"].to_numpy()
-            sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), values)
-            bounds = group_bounds(pdf, keys)
-            two = np.array([lo for lo, hi in bounds if hi - lo == 2 and bi[lo] == bj[lo]], np.int64)
-            two = two[(sigs[two] == sigs[two + 1]).sum(axis=1) >= enough]
-            out: list[tuple[int, int]] = list(zip(ids[two].tolist(), ids[two + 1].tolist(), strict=True))
-            for lo, hi in bounds:
-                if hi - lo > 2 or (hi - lo == 2 and bi[lo] != bj[lo]):
-                    out += _linked(ids[lo:hi], blk[lo:hi], bi[lo] == bj[lo], lambda x, y, lo=lo: _agree(sigs[lo + x], sigs[lo + y]) >= enough)
+            sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+            out: list[tuple[int, int]] = []
+            for lo, hi in group_bounds(pdf, keys):
+                if hi - lo > 1:
+                    out += _linked(ids[lo:hi], blk[lo:hi], bi[lo] == bj[lo], lambda x, y, lo=lo: _agree(sigs[lo + x], sigs[lo + y]) >= _enough(least))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.mapInPandas(run, "a long, b long")
+    return held.mapInPandas(run, "a long, b long")
 
 
 def _agree(x, y):
@@ -216,21 +235,45 @@ def overlap(sets: list):
     return out
 
 
-def _verified(candidates: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """candidates (doc_id, grp, n): exact links of each group as a forest (a, b)."""
-    keys = ["grp", "bi", "bj"]
-    dealt = block_pairs(candidates, ["grp"], "doc_id", BLOCK_ROWS // 4)
-    texts = docs.where(docs["doc_id"].isNotNull() & docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
+def _verified_pairs(dealt: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(id, pivot) of the documents whose set is linked with their pivot's."""
+    keys = ["pivot", "blk"]
     # one way at every size: candidates grow with the table, so they are never broadcast
-    held = dealt.hint("merge").join(texts, dealt["doc_id"] == texts["id"]).select(*keys, "blk", "doc_id", "text")
-    held = held.repartition(*keys).sortWithinPartitions(*keys, "doc_id")
+    held = dealt.hint("merge").join(texts, dealt["id"] == texts["text_id"]).select(*keys, "head", "id", "text")
+    held = held.repartition(*keys).sortWithinPartitions(*keys, F.desc("head"), "id")
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in grouped_batches(batches, keys, 256):
+            ids, head, text, pivot = (pdf[c].to_numpy() for c in ("id", "head", "text", "pivot"))
+            out: list[tuple[int, int]] = []
+            for lo, hi in group_bounds(pdf, keys):
+                sets = [shingles(t) for t in text[lo:hi]]
+                n = int(head[lo:hi].sum())
+                first = sets[_one_per_id(ids[lo : lo + n], sets[:n])[0]]
+                for i in n + _one_per_id(ids[lo + n : hi], sets[n:]):
+                    both = len(np.intersect1d(first, sets[i], assume_unique=True))
+                    if 100 * both >= percent * (len(first) + len(sets[i]) - both):
+                        out.append((int(ids[lo + i]), int(pivot[lo])))
+            yield pd.DataFrame(out, columns=["id", "pivot"], dtype="int64")
+
+    return held.mapInPandas(run, "id long, pivot long")
+
+
+def _verified_rest(dealt: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Exact links of each pair of blocks as a forest (a, b)."""
+    keys = ["key", "bi", "bj"]
+    held = dealt.hint("merge").join(texts, dealt["id"] == texts["text_id"]).select(*keys, "blk", "id", "text")
+    held = held.repartition(*keys).sortWithinPartitions(*keys, "id")
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
         for pdf in grouped_batches(batches, keys, 256):
-            ids, blk, text = pdf["doc_id"].to_numpy(), pdf["blk"].to_numpy(), pdf["text"].to_numpy()
+            ids, blk, text = pdf["id"].to_numpy(), pdf["blk"].to_numpy(), pdf["text"].to_numpy()
             bi, bj = pdf["bi"].to_numpy(), pdf["bj"].to_numpy()
             out: list[tuple[int, int]] = []
             for lo, hi in group_bounds(pdf, keys):
@@ -273,21 +316,19 @@ def links(docs: DataFrame, percent: int = 85) -> DataFrame:
         first = sig.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b", "n_shingles", "sig", "bands")).alias("s"))
         sig = stored(first.select("doc_id", "s.n_shingles", "s.set_a", "s.set_b", "s.sig", "s.bands"), "signed")
     some = sig.where(F.col("n_shingles") > 0)
-    rep_of = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    reps = stored(some.join(rep_of.select("rep"), some["doc_id"] == F.col("rep"), "left_semi").select("doc_id", "sig", "bands"), "reps")
-    pairs = reps.select("doc_id", F.posexplode("bands").alias("no", "band"))
-    hot = pairs.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    multi = pairs.join(hot, "band").select("band", "doc_id", "n")
-    multi = multi.join(reps.select("doc_id", "sig"), "doc_id")
-    near = connected_components(_likely(multi, percent / 100 - SLACK))
-    near = stored(near, "near")
-    sized = near.join(near.groupBy("component").agg(F.count("*").alias("n")), "component").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), "n")
-    exact = connected_components(_verified(sized, docs, percent))
+    sets = stored(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "sets")
+    reps = stored(some.join(sets.select("rep"), some["doc_id"] == F.col("rep"), "left_semi").select("doc_id", "sig", "bands"), "reps")
+    members = stored(reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")), "buckets")
+    sigs, least = reps.select("doc_id", "sig"), percent / 100 - SLACK
+    near = star_components(members, "buckets", lambda d: _likely_pairs(d, sigs, least), lambda d: _likely_rest(d, sigs, least))
+    near = stored(near.select(F.col("component").alias("key"), F.col("node").alias("id")), "candidates")
+    texts = docs.where(docs["doc_id"].isNotNull() & docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("text_id"), docs["text"].cast("string").alias("text"))
+    exact = star_components(near, "candidates", lambda d: _verified_pairs(d, texts, percent), lambda d: _verified_rest(d, texts, percent), BLOCK_ROWS // 2)
     moved = exact.where(F.col("node") != F.col("component"))
-    classes = rep_of.join(moved, rep_of["rep"] == moved["node"], "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    out = sig.join(classes, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    classes = sets.join(moved, sets["rep"] == moved["node"], "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
+    out = join_groups(some, classes, ["set_a", "set_b"], sig.count()).select("doc_id", "n_shingles", "component")
+    out = out.unionByName(sig.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("component") == F.col("doc_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
