@@ -51,6 +51,11 @@ def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once per row: the optimizer doesn't copy it into body's lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def join_groups(df: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
     """Inner join of df with groups, one row per key, whose column n says how many rows of df have that key.
 
