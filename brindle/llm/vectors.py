@@ -4,29 +4,59 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
+
+#: Lengths of vectors that get codebooks, the most frequent ones; vectors of further lengths are compared exactly.
+LENGTHS = 4
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", extra: tuple = ()) -> DataFrame:
-    """Rows whose vector can be compared: (id, vec array<double>, *extra).
+    """Rows whose vector can be compared: (id, vec, dim, *extra), one per id (the first vector in order); vec keeps single precision, and anything else becomes double.
 
-    Left out: null ids, null or empty vectors, null or non-finite components, zero vectors, and
-    vectors whose length isn't the most frequent one (ties to the shorter).
+    Left out: null ids, null or empty vectors, null or non-finite components, zero vectors. Vectors of
+    different length (dim) can't be compared with each other; each length is a world of its own.
     """
-    v = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].cast("array<double>").alias("vec"), *[vectors[c].alias(c) for c in extra])
+    kind = vectors.schema[vec_col].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    v = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].cast("array<float>" if single else "array<double>").alias("vec"), *[vectors[c].alias(c) for c in extra])
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
     v = v.where(F.col("id").isNotNull() & F.col("vec").isNotNull() & F.coalesce(fine, F.lit(False)))
-    lengths = v.groupBy(F.size("vec").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").first()
-    return v.where(F.size("vec") == (lengths["length"] if lengths else 0))
+    return v.withColumn("dim", F.size("vec"))
+
+
+def dtype(v: DataFrame) -> str:
+    """How the components of a usable vector are written as bytes."""
+    return "<f4" if isinstance(v.schema["vec"].dataType.elementType, FloatType) else "<f8"
+
+
+def once(df: DataFrame, key: str, first) -> DataFrame:
+    """df as it is where no key repeats, and first(df) where one does; only the keys are shuffled to find that out."""
+    repeats = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    return first(df) if repeats.limit(1).count() else df
+
+
+def samples(v: DataFrame, rows: int, seed: int) -> dict:
+    """Per length, of the LENGTHS most frequent ones (ties to the shorter): the vectors with the smallest seeded hashes of their ids, unit length, as a float64 matrix of rows at most."""
+    import numpy as np
+
+    lengths = v.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()
+    out = {}
+    for r in lengths:
+        got = v.where(F.col("dim") == r["dim"]).select("vec", F.xxhash64("id", F.lit(seed)).alias("h"), "id").orderBy("h", "id").limit(rows).select("vec").collect()
+        out[r["dim"]] = units(np.array([r["vec"] for r in got], np.float64))
+    return out
 
 
-def sample(v: DataFrame, rows: int, seed: int):
-    """The vectors with the smallest seeded hashes of their ids, unit length, as a float64 matrix: rows at most."""
+def matrices(column):
+    """Of a list column of vectors: (row numbers, float64 matrix) per length."""
     import numpy as np
 
-    got = v.select("vec", F.xxhash64("id", F.lit(seed)).alias("h"), "id").orderBy("h", "id").limit(rows).select("vec").collect()
-    if not got:
-        return np.zeros((0, 1))
-    return units(np.array([r["vec"] for r in got], np.float64))
+    offsets = column.offsets.to_numpy()
+    values, dims = column.flatten().to_numpy(zero_copy_only=False), np.diff(offsets)
+    starts = offsets[:-1] - offsets[0]
+    for d in np.unique(dims):
+        at = np.flatnonzero(dims == d)
+        yield at, values[starts[at][:, None] + np.arange(d)].astype(np.float64)
 
 
 def units(x):
