@@ -15,6 +15,8 @@ BLOCK_ROWS = 256
 #: Groups of more rows may be joined by broadcast, MOST_LARGE of them at most.
 LARGE = 64
 MOST_LARGE = 10_000
+#: Temporary folders of local applications that were given none.
+_LOCAL: dict[str, str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    # a session can't be given the setting once it runs: the folder is kept here
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='brindle-')}")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -118,13 +119,17 @@ class Stars:
        other already, and aren't compared again.
 
     Together this finds the connected components of all links within groups; a group of copies of
-    one text costs one comparison per row, and only rows unlike the pivot cost more.
+    one text costs one comparison per row, and only rows unlike the pivot cost more. Of groups with the
+    same members (by a 128-bit hash) one is compared.
     """
 
     def __init__(self, members: DataFrame, name: str):
         """members: a stored table (key, id) of longs, each row once."""
         self.total = members.count()
-        pivots = with_groups(members, ["key"], self.total, F.min("id").alias("pivot"), least=2)
+        sums = [F.bit_xor(F.xxhash64(F.lit(k), F.col("id"))).alias(f"x{k}") for k in (1, 2)]
+        groups = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot"), *sums).where("n > 1")
+        groups = stored(groups.groupBy("n", "pivot", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n", "pivot"), f"{name}-groups")
+        pivots = join_groups(members, groups, ["key"], self.total)
         self.members = stored(pivots.where(F.col("id") != F.col("pivot")).select("key", "id", "pivot"), f"{name}-stars")
 
     def pairs(self, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -243,26 +248,26 @@ def star_components(members: DataFrame, name: str, pairs: Callable, rest: Callab
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b long): one row (node, component) per node of an edge; component is the smallest node reachable.
 
-    Alternates large-star and small-star steps until the edges stand still. Each round is written to
+    Alternates large-star and small-star steps until the edges are stars. Each round is written to
     the shared folder. Self-loops and repeated edges are allowed; nodes without an edge are not returned.
     """
     e = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
-    def state(df: DataFrame) -> tuple:
-        r = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
-        return (r["n"], r["h"])
+    def state() -> tuple[int, int]:
+        """Edges, and nodes that keep them from being stars: those with two smaller neighbours, or with a smaller one and a larger one."""
+        roles = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select(F.col("b"), F.lit(0), F.lit(1)))
+        nodes = roles.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        r = nodes.agg(F.sum("up").alias("n"), F.count(F.when((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)), 1)).alias("bad")).first()
+        return r["n"] or 0, r["bad"]
 
-    before = state(e)
-    while before[0]:
+    n, bad = state()
+    while bad:
         # the rows of a hub never meet in one task: see join_groups
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        starred = with_groups(both, ["u"], 2 * before[0], F.min("v").alias("m")).where(F.col("v") > F.col("u"))
-        large = stored(starred.select(F.col("v").alias("a"), F.least("m", "u").alias("b")).where(F.col("a") != F.col("b")).distinct(), "edges")
-        starred = with_groups(large, ["a"], before[0], F.min("b").alias("m"))
+        starred = with_groups(both, ["u"], 2 * n, F.min("v").alias("m")).where(F.col("v") > F.col("u"))
+        large = stored(starred.select(F.col("v").alias("a"), F.least("m", "u").alias("b")).where(F.col("a") != F.col("b")), "edges")
+        starred = with_groups(large, ["a"], n, F.min("b").alias("m"))
         small = starred.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         e = stored(small.where(F.col("a") != F.col("b")).distinct(), "edges")
-        now = state(e)
-        if now == before:
-            break
-        before = now
-    return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        n, bad = state()
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
