@@ -18,6 +18,11 @@ SPACE = "[\\s\\x1c-\\x1f]"
 _U = "(?dU)"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once per row: the optimizer copies an expression to each of its uses, but not into a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"{_U}^{SPACE}+|{SPACE}+$(?![\\n])", "")
 
@@ -79,24 +84,28 @@ def illegible(text: Column) -> Column:
 
 def quality(text: Column, kind: Column, ocr: Column | None = None, q: C.Quality = C.Quality()) -> Column:
     """struct<score, reasons, terms, words, density>: the rule-based chunk score and why."""
-    terms, n, d = tech_terms(text), word_count(text), density(text)
     target = kind.isin(*C.TARGET_TYPES)
-    boost = F.least(terms * q.per_term, F.lit(q.most_terms))
-    few = (n < q.min_words) & target
     bad_ocr = (kind == "ocr_text") & (F.coalesce(ocr, F.lit(1.0)) < q.min_ocr if ocr is not None else F.lit(False))
-    thin = (d < q.min_density) & target if q.min_density and q.min_density > 0 else F.lit(False)
-    murky = illegible(text)
-    score = F.lit(q.base) + F.when(terms > 0, boost).otherwise(0.0) - F.when(few, q.few_words).otherwise(0.0) - F.when(bad_ocr, q.low_ocr).otherwise(0.0) - F.when(thin, q.low_density).otherwise(0.0) - F.when(murky, q.illegible).otherwise(0.0)
-    reasons = F.array_compact(
-        F.array(
-            F.when(terms > 0, F.format_string("tech_terms_found (+%.1f)", boost)),
-            F.when(few, F.format_string("low_word_count (%d)", n)),
-            F.when(bad_ocr, F.lit("low_ocr_conf")),
-            F.when(thin, F.format_string("low_text_density (%.2f)", d)),
-            F.when(murky, F.lit("illegible_content")),
+
+    def judged(m: Column) -> Column:
+        terms, n, d, murky = m["terms"], m["words"], m["density"], m["murky"]
+        boost = F.least(terms * q.per_term, F.lit(q.most_terms))
+        few = (n < q.min_words) & target
+        thin = (d < q.min_density) & target if q.min_density and q.min_density > 0 else F.lit(False)
+        score = F.lit(q.base) + F.when(terms > 0, boost).otherwise(0.0) - F.when(few, q.few_words).otherwise(0.0) - F.when(bad_ocr, q.low_ocr).otherwise(0.0) - F.when(thin, q.low_density).otherwise(0.0) - F.when(murky, q.illegible).otherwise(0.0)
+        reasons = F.array_compact(
+            F.array(
+                F.when(terms > 0, F.format_string("tech_terms_found (+%.1f)", boost)),
+                F.when(few, F.format_string("low_word_count (%d)", n)),
+                F.when(bad_ocr, F.lit("low_ocr_conf")),
+                F.when(thin, F.format_string("low_text_density (%.2f)", d)),
+                F.when(murky, F.lit("illegible_content")),
+            )
         )
-    )
-    return F.struct(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2).alias("score"), reasons.alias("reasons"), terms.alias("terms"), n.alias("words"), d.alias("density"))
+        return F.struct(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2).alias("score"), reasons.alias("reasons"), terms.alias("terms"), n.alias("words"), d.alias("density"))
+
+    # the patterns run once, however often score and reasons ask for what they count
+    return let(F.struct(tech_terms(text).alias("terms"), word_count(text).alias("words"), density(text).alias("density"), illegible(text).alias("murky")), judged)
 
 
 def score_bucket(score: Column) -> Column:

@@ -13,23 +13,27 @@ from brindle.functions import ids, text as T
 def pack_paragraphs(text: Column, min_words: int = 30, max_chars: int = 1500) -> Column:
     """Array of chunks: paragraphs gathered until they have min_words words or max_chars characters; a longer paragraph stands alone."""
     paras = F.filter(F.transform(F.split(text, f"(?dU)\\n{T.SPACE}*\\n+"), T.strip), lambda p: p != "")
+    # each paragraph is counted once, before the fold
+    counted = F.transform(paras, lambda p: F.struct(p.alias("p"), T.word_count(p).alias("w"), F.length(p).alias("n")))
     start = F.struct(F.array().cast("array<string>").alias("chunks"), F.lit("").alias("buf"), F.lit(0).alias("w"))
 
     def flushed(acc: Column) -> Column:
         return F.when(acc["buf"] == "", acc["chunks"]).otherwise(F.concat(acc["chunks"], F.array(acc["buf"])))
 
-    def step(acc: Column, p: Column) -> Column:
-        buf = F.when(acc["buf"] == "", p).otherwise(F.concat(acc["buf"], F.lit("\n\n"), p))
-        n = acc["w"] + T.word_count(p)
-        full = (n >= min_words) | (F.length(buf) >= max_chars)
-        alone = F.length(p) > max_chars
-        return F.struct(
-            F.when(alone, F.concat(flushed(acc), F.array(p))).when(full, F.concat(acc["chunks"], F.array(buf))).otherwise(acc["chunks"]).alias("chunks"),
-            F.when(alone | full, F.lit("")).otherwise(buf).alias("buf"),
-            F.when(alone | full, F.lit(0)).otherwise(n).alias("w"),
-        )
-
-    return F.aggregate(paras, start, step, flushed)
+    def step(acc: Column, para: Column) -> Column:
+        def grown(buf: Column) -> Column:
+            n = acc["w"] + para["w"]
+            full = (n >= min_words) | (F.length(buf) >= max_chars)
+            alone = para["n"] > max_chars
+            return F.struct(
+                F.when(alone, F.concat(flushed(acc), F.array(para["p"]))).when(full, F.concat(acc["chunks"], F.array(buf))).otherwise(acc["chunks"]).alias("chunks"),
+                F.when(alone | full, F.lit("")).otherwise(buf).alias("buf"),
+                F.when(alone | full, F.lit(0)).otherwise(n).alias("w"),
+            )
+
+        return T.let(F.when(acc["buf"] == "", para["p"]).otherwise(F.concat(acc["buf"], F.lit("\n\n"), para["p"])), grown)
+
+    return F.aggregate(counted, start, step, flushed)
 
 
 def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> list[str]:

@@ -20,15 +20,30 @@ def choose_sparse(own, fallback):
     return F.when(missing, fallback).otherwise(own)
 
 
+def last_by_key(new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row per key: the last by order; without an order, and among equals, the one whose content hashes highest, so that any plan picks the same."""
+    content = F.xxhash64(F.to_json(F.struct(*[c for c in new.columns if c not in keys]))) if set(new.columns) - set(keys) else F.lit(0)
+    w = Window.partitionBy(*keys).orderBy(*([F.desc(order)] if order else []), F.desc(content))
+    return new.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+
+
 def upsert(current: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """New rows replace those with equal keys; of new rows that share keys the last by order counts."""
-    fresh = new
-    if order:
-        w = Window.partitionBy(*keys).orderBy(F.desc(order))
-        fresh = new.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    """New rows replace those with equal keys; of new rows that share keys one counts (see last_by_key)."""
+    fresh = last_by_key(new, keys, order)
     return current.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+def upsert_counts(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: upserted (distinct new keys), inserted, replaced."""
+    known = new.select(*keys).distinct().join(current.select(*keys).distinct().withColumn("was", F.lit(1)), keys, "left")
+    return known.agg(F.count("*").alias("upserted"), F.count_if(F.col("was").isNull()).alias("inserted"), F.count("was").alias("replaced"))
+
+
+def prune_counts(existing: DataFrame, chunks: DataFrame, full_sync: bool = False) -> DataFrame:
+    """One row: removed, the rows that prune takes away."""
+    return stale(existing, chunks, full_sync).agg(F.count("*").alias("removed"))
+
+
 def delete(current: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
     return current.join(ids.select(*keys), keys, "left_anti")
 

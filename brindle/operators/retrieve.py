@@ -26,18 +26,63 @@ def top(scored: DataFrame, k: int, by: str = "qid", score: str = "score", tie: s
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _packed(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df (key, vec array<double>): rows of up to so many vectors of one length: dim, ids (an array), m (their bytes)."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def block(dim, held):
+            x = np.array([v for _, v in held], np.float64)
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([[i for i, _ in held]], pa.list_(ids)), pa.array([x.tobytes()], pa.binary())], names=["dim", "ids", "m"])
+
+        waiting: dict[int, list] = {}
+        ids = None
+        for batch in batches:
+            ids = batch.schema.field(0).type
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held = waiting.setdefault(len(v), [])
+                held.append((i, v))
+                if len(held) == rows:
+                    yield block(len(v), waiting.pop(len(v)))
+        for dim, held in waiting.items():
+            yield block(dim, held)
+
+    return df.select(key, "vec").where("vec is not null").mapInArrow(run, f"dim int, ids array<{kind}>, m binary")
+
+
 def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
-    """corpus (id, vec), queries (qid, vec): qid, id, score (cosine to ten places), rank.
+    """corpus (id, vec), queries (qid, vec), ids of any type: qid, id, score (cosine to ten places), rank.
 
-    Queries are packed into blocks, and a block meets each row of the corpus once; the limit per query
-    acts before the shuffle. Norms are taken once per side.
+    Both sides are packed into blocks; blocks of the corpus are dealt into as many groups as there are
+    shuffle partitions, and the queries' blocks, the smaller side, are sent to each. A task multiplies
+    two blocks at a time and keeps what can be among a query's k best, so no pair of a query and a row
+    becomes a row of a table. Vectors of different length don't meet; norms are taken once per side.
     """
-    q = queries.select("qid", unit(F.col("vec")).alias("q"))
-    blocks = q.groupBy(F.floor(F.col("qid") / QUERY_BLOCK).alias("qb")).agg(F.collect_list(F.struct("qid", "q")).alias("qs"))
-    d = corpus.select("id", unit(F.col("vec")).alias("v"))
-    pairs = d.join(blocks.select("qs")).select("id", "v", F.explode("qs").alias("s"))
-    scored = pairs.select(F.col("s.qid").alias("qid"), "id", F.round(dot(F.col("s.q"), F.col("v")), 10).alias("score"))
-    return top(scored, k)
+    groups = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = _packed(corpus.select("id", unit(F.col("vec")).alias("vec")), "id", 4 * QUERY_BLOCK).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
+    q = _packed(queries.select("qid", unit(F.col("vec")).alias("vec")), "qid", QUERY_BLOCK).toDF("dim", "qids", "qm")
+    pairs = d.join(q.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))), ["g", "dim"])
+    kinds = corpus.schema["id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            names = ["dim", "ids", "m", "qids", "qm"]
+            ids_type, qids_type = (batch.schema.field(c).type.value_type for c in ("ids", "qids"))
+            for dim, ids, m, qids, qm in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
+                s = np.frombuffer(qm).reshape(-1, dim) @ np.frombuffer(m).reshape(-1, dim).T
+                # ties are told apart after rounding: all that may round to the k-th best go on
+                last = np.partition(s, s.shape[1] - k, axis=1)[:, -k] - 1e-9 if s.shape[1] > k else np.full(len(s), -np.inf)
+                i, j = np.nonzero(s >= last[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(qids, qids_type).take(pa.array(i)), pa.array(ids, ids_type).take(pa.array(j)), pa.array(s[i, j])], names=["qid", "id", "score"])
+
+    scored = pairs.select("dim", "ids", "m", "qids", "qm").mapInArrow(run, f"qid {kinds[1]}, id {kinds[0]}, score double")
+    return top(scored.withColumn("score", F.round("score", 10)), k)
 
 
 def tokens(text: Column) -> Column:
@@ -55,18 +100,55 @@ def inverse_frequency(postings: DataFrame, n_docs: int) -> DataFrame:
     return df.select("term", F.floor(F.log(F.lit(float(n_docs + 1)) / (F.col("df") + 1)) * 1000 + 1000).cast("long").alias("idf"))
 
 
-def sparse_top_k(corpus: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
+def sparse_encode(text: Column, terms: int = 2**31 - 1) -> Column:
+    """The offline sparse encoder: struct<indices, values> of a text's terms (hashed into 0 .. terms - 1, sorted) and their counts; both arrays empty for an empty text."""
+    at = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(terms)).cast("int"))
+
+    def counted(run: Column) -> Column:
+        # in a sorted array, a run of equal indices ends where the next one begins
+        last = F.filter(F.sequence(F.lit(1), F.size(run)), lambda i: (i == F.size(run)) | (F.get(run, i) != F.get(run, i - 1)))
+        here = F.when(F.size(run) > 0, last).otherwise(F.array().cast("array<int>"))
+        return F.struct(F.transform(here, lambda i: F.get(run, i - 1)).alias("indices"), F.transform(here, lambda i, n: (i - F.coalesce(F.when(n > 0, F.get(here, n - 1)), F.lit(0))).cast("float")).alias("values"))
+
+    return F.transform(F.array(F.array_sort(at)), counted)[0]
+
+
+def sparse_postings(vectors: DataFrame, id_col: str = "id", col: str = "sparse") -> DataFrame:
+    """Stored sparse vectors (id, struct<indices, values>) as the rows of an inverted index: term, id, value."""
+    return vectors.select(F.col(id_col).alias("id"), F.explode(F.arrays_zip(F.col(f"{col}.indices").alias("term"), F.col(f"{col}.values").alias("value"))).alias("e")).select(F.col("e.term").alias("term"), "id", F.col("e.value").cast("double").alias("value"))
+
+
+def sparse_vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
+    """corpus (id, sparse), queries (qid, sparse): qid, id, score (dot product to ten places), rank; rows that share no index never appear."""
+    weighted = sparse_postings(queries, "qid").select(F.col("id").alias("qid"), "term", F.col("value").alias("w"))
+    scored = _meet(sparse_postings(corpus), weighted).groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * F.col("value")), 10).alias("score"))
+    return top(scored, k)
+
+
+def _meet(postings: DataFrame, weighted: DataFrame, salts: int = 16) -> DataFrame:
+    """Join on term; the postings of one term, a stop word's too, are dealt to several tasks, and the queries' rows, the smaller side, to each of them."""
+    salted = postings.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    return salted.join(weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["term", "salt"]).drop("salt")
+
+
+def sparse_top_k(corpus: DataFrame, queries: DataFrame, k: int = 50, postings: DataFrame | None = None) -> DataFrame:
     """corpus (id, text), queries (qid, text): qid, id, score (sum of tf * tf * idf over shared terms), rank.
 
-    Only terms that a query holds leave the scan of the corpus; documents that share none never appear.
+    postings (term, id, tf): the index of the corpus, if term_counts has been stored; else its texts are
+    read, and only terms that a query holds leave the scan. Documents that share no term never appear.
     """
     asked = term_counts(queries.withColumnRenamed("qid", "id")).withColumnsRenamed({"id": "qid", "tf": "qtf"})
     vocabulary = asked.select("term").distinct()
-    postings = corpus.select("id", F.explode(tokens(F.col("text"))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"))
-    idf = inverse_frequency(postings, corpus.count())
-    weighted = asked.join(idf, "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    scored = postings.join(weighted, "term").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("tf")).alias("score"))
-    return top(scored, k)
+    if postings is None:
+        held = corpus.select("id", F.explode(tokens(F.col("text"))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"))
+    else:
+        held = postings.join(vocabulary, "term", "left_semi")
+    # the corpus is counted within the plan: one row, sent to every task
+    size = corpus.agg(F.count("*").alias("n_docs")).withColumn("one", F.lit(1))
+    counted = held.groupBy("term").agg(F.count("*").alias("df")).withColumn("one", F.lit(1)).join(F.broadcast(size), "one")
+    idf = F.floor(F.log((F.col("n_docs") + 1).cast("double") / (F.col("df") + 1)) * 1000 + 1000).cast("long")
+    weighted = asked.join(counted.select("term", idf.alias("idf")), "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    return top(_meet(held, weighted).groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("tf")).alias("score")), k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, rrf_k: int = 60, k: int = 50) -> DataFrame:
