@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.functions.text import let
+
 #: Queries that meet the corpus at once; a block of them is one row of the join.
 QUERY_BLOCK = 256
 
@@ -15,9 +17,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """In double precision; zero vectors stay as they are."""
-    d = v.cast("array<double>")
-    n = F.sqrt(dot(d, d))
-    return F.transform(d, lambda x: x / F.when(n > 0, n).otherwise(1.0))
+    return let(v.cast("array<double>"), lambda d: let(F.sqrt(dot(d, d)), lambda n: F.transform(d, lambda x: x / F.when(n > 0, n).otherwise(1.0))))
 
 
 def top(scored: DataFrame, k: int, by: str = "qid", score: str = "score", tie: str = "id") -> DataFrame:

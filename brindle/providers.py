@@ -10,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brindle import config as C
-from brindle.operators.retrieve import overlap_score, tokens
+from brindle.functions.text import let
+from brindle.operators.retrieve import overlap_score, sparse_encode, tokens, unit
 
 Embed = Callable[[Column], Column]
 
@@ -19,9 +20,8 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Signed feature hashing of terms, unit length: the offline dense encoder."""
     terms = tokens(F.coalesce(text, F.lit("")))
     slots = F.transform(terms, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dim)).cast("int").alias("i"), F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.aggregate(F.filter(slots, lambda x: x["i"] == j), F.lit(0.0), lambda a, x: a + x["s"]))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(raw, lambda x: (x / F.when(norm > 0, norm).otherwise(1.0)).cast("float"))
+    raw = let(slots, lambda held: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.aggregate(F.filter(held, lambda x: x["i"] == j), F.lit(0.0), lambda a, x: a + x["s"])))
+    return F.transform(unit(raw), lambda x: x.cast("float"))
 
 
 def encoder(load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Embed:

@@ -10,8 +10,16 @@ from brindle import schemas as S
 from brindle.functions import ids, text as T
 
 
+#: A table of fewer bytes than SPREAD per core may stand in a single row group, which one task reads; under LEAST it isn't worth a shuffle.
+SPREAD, LEAST = 16 * 2**20, 4 * 2**20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table's rows; a small one is dealt to all cores (SPREAD bytes a core are shuffled at most), a large one is read as it lies."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if LEAST <= size < SPREAD * cores else rows
 
 
 def raw_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
