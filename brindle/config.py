@@ -51,8 +51,6 @@ class Settings:
     quality: Quality = field(default_factory=Quality)
     retrieval: Retrieval = field(default_factory=Retrieval)
     paragraph_gap: float = 32.0
-    batch: int = 64
-    save_every: int = 500
 
 
 # Kinds, buckets, words and patterns that results depend on.
@@ -69,6 +67,7 @@ IMAGE_SUFFIX = "(?i)\\.(png|jpg|jpeg|webp)$"
 UPLOAD_NAME = "^[a-f0-9]{32}\\.(jpg|png|webp)$"
 MOST_QUERY_CHARS = 4000
 MOST_UPLOAD_BYTES = 10 * 1024 * 1024
+MOST_PIXELS = 40_000_000
 NO_ANSWER = "I don't know."
 
 

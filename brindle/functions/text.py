@@ -150,6 +150,18 @@ def shorten_prompt(text: Column, most: int = 12000) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, most), F.lit("\n\n...[truncated]")))
 
 
+def safe_set(values: Column) -> Column:
+    """Distinct trimmed texts of an array's members, whatever their type; nulls and empty ones go."""
+    texts = F.transform(F.coalesce(values, F.array()), lambda x: strip(x.cast("string")))
+    return F.array_distinct(F.filter(texts, lambda x: F.coalesce(x, F.lit("")) != ""))
+
+
+def events(answer_id: Column, answer: Column, size: int = 60) -> Column:
+    """What a client of an answer's stream gets, in order: array of struct<type, content>, a start, its slices as tokens, and the whole as final."""
+    one = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("content"))
+    return F.concat(F.array(one("start", answer_id.cast("string"))), F.transform(slices(answer, size), lambda x: one("token", x)), F.array(one("final", answer)))
+
+
 def wants_visuals(query: Column) -> Column:
     low = F.lower(query)
     return reduce(lambda a, b: a | b, [low.contains(w) for w in C.VISUAL_WORDS])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,3 +101,56 @@ def upload_problem(content, mime=None):
     magic = F.hex(F.substring(content, 1, 12))
     known = magic.startswith("FFD8FF") | magic.startswith("89504E470D0A1A0A") | (magic.startswith("52494646") & magic.endswith("57454250"))
     return F.when(F.octet_length(content) == 0, "empty").when(F.octet_length(content) > C.MOST_UPLOAD_BYTES, "too_large").when(~known, "type")
+
+
+def image_size(content: Column) -> Column:
+    """struct<width, height> from the head of a PNG, JPEG or WebP file; null where it can't be read."""
+
+    @F.pandas_udf("struct<width:int,height:int>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_image_size(bytes(x)) if x is not None else (None, None) for x in s], columns=["width", "height"]).astype("Int32")
+
+    return run(content)
+
+
+def _image_size(b: bytes) -> tuple[int | None, int | None]:
+    def big(at: int, n: int) -> int:
+        return int.from_bytes(b[at : at + n], "big")
+
+    def little(at: int, n: int) -> int:
+        return int.from_bytes(b[at : at + n], "little")
+
+    if b.startswith(b"\x89PNG\r\n\x1a\n") and b[12:16] == b"IHDR" and len(b) >= 24:
+        return big(16, 4), big(20, 4)
+    if b.startswith(b"\xff\xd8"):
+        at = 2
+        while at + 9 <= len(b) and b[at] == 0xFF:
+            mark = b[at + 1]
+            # frame headers, but for the tables among their numbers
+            if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+                return big(at + 7, 2), big(at + 5, 2)
+            at += 2 if mark in (0x01, 0xFF) or 0xD0 <= mark <= 0xD8 else 2 + big(at + 2, 2)
+    if b[:4] == b"RIFF" and b[8:12] == b"WEBP" and len(b) >= 30:
+        kind = b[12:16]
+        if kind == b"VP8X":
+            return little(24, 3) + 1, little(27, 3) + 1
+        if kind == b"VP8L":
+            bits = little(21, 4)
+            return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+        if kind == b"VP8 ":
+            return little(26, 2) & 0x3FFF, little(28, 2) & 0x3FFF
+    return None, None
+
+
+def image_problem(content: Column) -> Column:
+    """Why an uploaded image is refused: what upload_problem says, then undecodable or too_many_pixels; null if it isn't."""
+    size = image_size(content)
+    pixels = size["width"].cast("long") * size["height"]
+    return F.coalesce(upload_problem(content), F.when(F.coalesce(pixels, F.lit(0)) <= 0, "undecodable").when(pixels > C.MOST_PIXELS, "too_many_pixels"))
+
+
+def backfill(manifest: DataFrame, files: DataFrame, encode, overwrite: bool = False) -> DataFrame:
+    """The whole manifest, with embeddings by encode(file_path) where to_embed asks for them."""
+    todo = to_embed(manifest, files, overwrite).select("asset_id").distinct().withColumn("_todo", F.lit(True))
+    joined = manifest.join(todo, "asset_id", "left")
+    return joined.withColumn("embedding", F.when(F.col("_todo"), encode(F.col("file_path"))).otherwise(F.col("embedding"))).drop("_todo")

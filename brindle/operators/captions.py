@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +21,31 @@ def unfenced(answer: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(t, "(?s)(\\{.*\\})", 1), F.lit("")), F.trim(t))
 
 
+def first_json(answer: Column) -> Column:
+    """The first whole JSON object or array that stands in a text, as text; null where there is none. A decoder has to run from each opening bracket, so this is an Arrow function."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        decode = json.JSONDecoder().raw_decode
+
+        def one(t: str | None) -> str | None:
+            for m in re.finditer(r"[\[{]", t or ""):
+                try:
+                    return t[m.start() : decode(t, m.start())[1]]
+                except ValueError:
+                    continue
+            return None
+
+        return s.map(one)
+
+    return run(answer)
+
+
+def parse_first(answer: Column) -> Column:
+    """The caption struct of the first JSON object in an answer, whatever stands around it; where that is none, what parse finds."""
+    return F.coalesce(F.from_json(first_json(answer), SCHEMA, {"mode": "PERMISSIVE"}), parse(answer))
+
+
 def parse(answer: Column) -> Column:
     """The caption struct; a second try drops trailing commas and straightens quotes. Null if both fail."""
     s = unfenced(answer)

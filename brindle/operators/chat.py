@@ -39,3 +39,15 @@ def split_attachments(messages: DataFrame) -> DataFrame:
     """The first attachment and the rest."""
     a = F.col("attachments")
     return messages.withColumn("primary", F.when(F.size(a) > 0, F.element_at(a, 1))).withColumn("secondary", F.when(F.size(a) > 1, F.slice(a, F.lit(2), F.size(a))).otherwise(F.slice(a, 1, 0)))
+
+
+def message_view(messages: DataFrame) -> DataFrame:
+    """Messages as a client gets them: id, chat_id, role, content, created_at, and the parsed arrays of sources and attachments (empty where there are none)."""
+    none = F.array().cast("array<string>")
+    parsed = [F.coalesce(F.from_json(F.col(f"{c}_json"), "array<string>"), none).alias(c) for c in ("sources", "attachments")]
+    return messages.select(F.col("message_id").alias("id"), "chat_id", "role", "content", "created_at", *parsed)
+
+
+def chat_view(chats: DataFrame) -> DataFrame:
+    """Chats as a client gets them."""
+    return chats.select(F.col("chat_id").alias("id"), "title", "created_at", "updated_at")

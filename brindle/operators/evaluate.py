@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.text import nonzero, present
+
 from brindle.operators.assets import first_by
 
 
@@ -90,3 +92,21 @@ def expected_assets(expected: Column) -> Column:
 def unknown_references(expected: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Expected ids that the artifacts don't hold; must be empty for a sound gold set."""
     return expected.where(F.col(key).isNotNull()).join(known.select(key).distinct(), key, "left_anti")
+
+
+#: Keys that each gold record must have.
+GOLD_KEYS = ("id", "query", "intent", "requires_image", "difficulty", "tags", "expected_pages", "expected_retrieval", "gold_answer", "gold_citations")
+
+
+def missing_keys(record: Column, required: tuple[str, ...] = GOLD_KEYS) -> Column:
+    """Sorted keys that a JSON record lacks; all of them where it is no object."""
+    held = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    return F.array_sort(F.array_except(F.array(*map(F.lit, required)), held))
+
+
+def result_pages(docs: DataFrame, slugs: DataFrame) -> DataFrame:
+    """docs (doc_id, doc_slug, title, page_label, page_number, ...) with page_key, in the form of page maps; without a doc_id the slug (or else the title) is looked up in slugs (slug, slug_doc). Null where either half is missing."""
+    name = F.coalesce(present(F.col("doc_slug")), present(F.col("title")))
+    found = docs.withColumn("_name", name).join(slugs, F.col("_name") == slugs["slug"], "left")
+    doc, page = F.coalesce("doc_id", "slug_doc"), F.coalesce(present(F.col("page_label")), nonzero(F.col("page_number")).cast("string"))
+    return found.withColumn("page_key", F.when(doc.isNotNull() & page.isNotNull(), F.concat_ws("_", doc, page))).select(*docs.columns, "page_key")

@@ -113,3 +113,11 @@ def chunk_elements(element_map: DataFrame) -> DataFrame:
 def dimension(vectors: DataFrame, col: str = "embedding") -> DataFrame:
     """dim: the length of the first vector that isn't empty, by id."""
     return vectors.where(F.coalesce(F.size(col), F.lit(0)) > 0).agg(F.min(F.struct("id", F.size(col).alias("d"))).alias("f")).select(F.col("f.d").alias("dim"))
+
+
+def meta(docs: DataFrame, key: str):
+    """A payload value: the flat column where the table has it, even if it is null there, else the field of metadata, else null."""
+    if key in docs.columns:
+        return docs[key]
+    nested = docs.schema["metadata"].dataType if "metadata" in docs.columns else None
+    return docs["metadata"][key] if nested is not None and key in nested.fieldNames() else F.lit(None).cast("string")

@@ -23,6 +23,16 @@ def bbox(image_rect: Column, prov: Column, item: Column) -> Column:
     return F.when(F.size(image_rect) == 4, image_rect).otherwise(F.coalesce(prov, item))
 
 
+def edges(box: Column) -> Column:
+    """struct<l, t, r, b> as an array; a missing edge is 0, a missing box null."""
+    return F.when(box.isNotNull(), F.array(*[F.coalesce(box[e], F.lit(0)).cast("double") for e in "ltrb"]))
+
+
+def item_counts(items: DataFrame) -> DataFrame:
+    """Per document: n_text, n_table, n_image, the items that a parser found."""
+    return items.groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("text", "table", "image")])
+
+
 def paragraphs(items: DataFrame, gap: float = 32.0) -> DataFrame:
     """items (doc_id, page_no, item_ord, kind, label, text, bbox): one row per element, numbered within its page.
 

@@ -79,6 +79,37 @@ def prompt(query: Column, context_: Column, history_: Column | None = None, rule
     return F.concat(F.lit(rules), past, F.lit("\nCONTEXT:\n"), context_, F.lit("\n\nQUERY:\n"), query, F.lit("\n"))
 
 
+CHAIN_RULES = (
+    "Use the context below and nothing else.\n"
+    f'If it does not answer the question, say "{C.NO_ANSWER}"\n'
+    "Name the visual aids that the context mentions.\n"
+)
+IMAGE_RULES = (
+    "The context holds captions of images that resemble the query's image.\n"
+    "1. Describe what the captions support, and cite them as [S#].\n"
+    f'2. If no caption fits, say "{C.NO_ANSWER}"\n'
+)
+
+
+def chain_prompt(query: Column, context_: Column) -> Column:
+    """For one question without a history, over unlabelled sources."""
+    return prompt(query, context_, None, CHAIN_RULES)
+
+
+def image_prompt(query: Column, context_: Column) -> Column:
+    """For answers from image hits; an empty query asks what the image shows."""
+    return prompt(F.coalesce(present(strip(query)), F.lit("What does the image show?")), context_, None, IMAGE_RULES)
+
+
+def answer_images(hits: DataFrame, queries: DataFrame, generate, conf: C.Retrieval = C.Retrieval()) -> DataFrame:
+    """Answers from image hits (see image_docs) by their captions: context, prompt, generate, gates. Queries without a captioned hit get the refusal."""
+    docs = image_docs(hits)
+    q = queries.join(context(docs, conf.context_chars), "qid", "left")
+    asked = q.withColumn("context", F.coalesce("context", F.lit(""))).withColumn("prompt", image_prompt(F.col("query"), F.col("context")))
+    said = asked.withColumn("answer", generate(F.col("prompt"), F.col("context")))
+    return gate(said.join(passes_score(docs, conf.min_top_score), "qid", "left"), conf)
+
+
 def image_docs(hits: DataFrame) -> DataFrame:
     """Image hits (qid, rank, asset_id, caption, title, doc_slug, page_label, score) as documents for context(), captions as content; hits without one are left out."""
     some = hits.where(F.coalesce("caption", F.lit("")) != "")

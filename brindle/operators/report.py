@@ -47,12 +47,13 @@ def page_turns(elements: DataFrame) -> DataFrame:
 
 
 def check_files(artifacts: DataFrame, assets: DataFrame, files: DataFrame, sample: int = 20) -> DataFrame:
-    """One row: status FAIL where an artifact is missing, WARN where one of the first assets' files is, else PASS.
+    """One row: status FAIL where an artifact is missing, ERROR where the manifest can't be used (an asset among the first without a path), WARN where one of the first assets' files is missing, else PASS.
 
     artifacts (name, present), assets (pos, file_path), files (file_path).
     """
     first = assets.orderBy("pos").limit(sample)
     lost = first.join(files.select("file_path").distinct(), "file_path", "left_anti").agg(F.count("*").alias("missing_files"))
+    broken = first.agg(F.count_if(F.col("file_path").isNull()).alias("broken_assets"))
     gone = artifacts.agg(F.count_if(~F.col("present")).alias("missing_artifacts"))
-    both = gone.join(lost)
-    return both.withColumn("status", F.when(F.col("missing_artifacts") > 0, "FAIL").when(F.col("missing_files") > 0, "WARN").otherwise("PASS"))
+    both = gone.join(lost).join(broken)
+    return both.withColumn("status", F.when(F.col("missing_artifacts") > 0, "FAIL").when(F.col("broken_assets") > 0, "ERROR").when(F.col("missing_files") > 0, "WARN").otherwise("PASS")).drop("broken_assets")

@@ -193,3 +193,8 @@ def image_search(assets: DataFrame, queries: DataFrame, k: int = 8, min_score: f
     """Cosine top-k over asset vectors; rows below min_score go (none of them, if it is None)."""
     found = dense_top_k(assets, queries, k)
     return found if min_score is None else found.where(F.col("score") >= min_score)
+
+
+def search_images(assets: DataFrame, queries: DataFrame, encode, col: str, k: int = 8, min_score: float | None = 0.0) -> DataFrame:
+    """queries (qid, col) by text or by image: encode(col) puts them into the assets' space; a query that can't be encoded finds nothing."""
+    return image_search(assets, queries.select("qid", encode(F.col(col)).alias("vec")).where("vec is not null"), k, min_score)

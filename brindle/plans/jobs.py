@@ -49,7 +49,7 @@ def ingest(spark: SparkSession, raw: str, out: str, parser: Callable, settings:
         return sinks.current(spark, f"{out}/{name}")
 
     chunks = merge(chunks, "chunks", ["chunk_id"])
-    manifest = merge(manifest.withColumn("pos", F.xxhash64("pos")), "assets", ["asset_id"])
+    manifest = merge(manifest.withColumn("pos", F.col("pos.page_number").cast("long") * 2**32 + F.col("pos.seq")), "assets", ["asset_id"])
     merge(index.element_chunks(chunks), "element_to_chunks", ["element_id"])
     merge(index.page_assets(manifest), "page_to_assets", ["page_key"])
     merge(docs, "documents", ["doc_id"])
@@ -78,6 +78,17 @@ def search(spark: SparkSession, root: str, queries: DataFrame, encode: Callable
     return retrieve.rerank(found, conf.rerank_n, providers.rerank_score(F.col("query"), F.col("content")))
 
 
+def smoke(spark: SparkSession, root: str, text: str = "figure", limit: int = 5, encode: Callable = providers.hashed_embedding) -> DataFrame:
+    """After indexing: one row per branch (dense, sparse) with the rows that a search for a text finds, limit at most; ok is false for an index that answers nothing."""
+    points = sinks.current(spark, root)
+    q = spark.createDataFrame([(0, text)], "qid int, text string")
+    dense = retrieve.dense_top_k(points.select(F.col("chunk_id").alias("id"), F.col("dense").alias("vec")), q.select("qid", encode(F.col("text")).alias("vec")), limit)
+    corpus = points.select(F.col("chunk_id").alias("id"), providers.sparse_encode(F.col("content")).alias("sparse"))
+    sparse = retrieve.sparse_vector_top_k(corpus, q.select("qid", providers.sparse_encode(F.col("text")).alias("sparse")), limit)
+    counts = [df.agg(F.lit(name).alias("branch"), F.count("*").alias("n")) for name, df in (("dense", dense), ("sparse", sparse))]
+    return counts[0].unionByName(counts[1]).withColumn("ok", F.col("n") > 0)
+
+
 def index_assets(spark: SparkSession, manifest: DataFrame, docs: DataFrame, chunks: DataFrame, root: str, recreate: bool = False) -> int:
     """Asset points, upserted by point_id; returns how many the index holds."""
     points = assets.asset_points(manifest, docs, chunks)

@@ -53,6 +53,49 @@ def captioner(ask: Callable[[bytes], str], tries: int = 3, wait_s: float = 5.0)
     return run
 
 
+def generator(*asks: Callable[[str], str], failed: str = "The answer service failed: {error}", none: str = "No answer service is configured.") -> Callable[[Column, Column], Column]:
+    """Answers by the first of some services that answers; where all fail, a text with the last error; none where there is no service."""
+
+    def one(prompt: str | None) -> str:
+        said = none
+        for ask in asks:
+            try:
+                return ask(prompt or "") or ""
+            except Exception as x:  # noqa: BLE001  any failure of a service calls the next one
+                said = failed.format(error=x)
+        return said
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return lambda prompt, context: run(prompt)
+
+
+def image_embedding(content: Column, dim: int = 64) -> Column:
+    """The offline image encoder: signed hashing of a file's 16-byte pieces, unit length; null for null and empty files."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(content) - 1) / 16).cast("int")), lambda i: F.hex(F.substring(content, i * 16 + 1, F.lit(16))))
+    return F.when(F.octet_length(content) > 0, hashed_embedding(F.array_join(pieces, " "), dim))
+
+
+def image_encoder(load: Callable[[], Callable[[list[bytes]], list[list[float]]]]) -> Embed:
+    """An image encoder from a model: load() runs once per worker and gives encode(files); an encoder of texts into the same space comes from encoder(). Null where a batch fails."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = load()
+        for s in batches:
+            there = s.notna()
+            out = pd.Series([None] * len(s), dtype=object)
+            try:
+                out[there.to_numpy()] = [list(map(float, v)) for v in encode([bytes(x) for x in s[there]])]
+            except Exception:  # noqa: BLE001  a query whose image can't be read finds nothing
+                pass
+            yield out
+
+    return run
+
+
 def extractive_answer(prompt: Column, context: Column) -> Column:
     """The offline answer: the first source's first sentence, with its citation; the refusal without context."""
     body = F.regexp_extract(context, "(?s)---\\n(?:\\[Contains visual aid: [^\\]]*\\]\\n)?(.*?)(?:[.!?]|\\n|$)", 1)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -30,25 +32,87 @@ def raw_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataF
     return out.withColumn("title", T.title_of(F.col("doc_slug")))
 
 
-def parsed(files: DataFrame, parser) -> DataFrame:
-    """Layout items from files by a provider: parser(path, content) yields (page_no, item_ord, kind, label, text, bbox). A file that fails gives no rows."""
+def resolve_raw(name: str, folder: str) -> str:
+    """A raw file's path: absolute paths and URIs as they are, others below folder."""
+    return name if re.match("^(/|[A-Za-z][A-Za-z0-9+.-]*:)", name) else f"{folder.rstrip('/')}/{name}"
+
+
+def in_order(files: DataFrame) -> DataFrame:
+    """The paths of files and their places (from 0) in order of path; contents are not moved."""
+    return files.select("path").distinct().withColumn("place", F.row_number().over(Window.orderBy("path")) - 1)
+
+
+PARSED = f"path string, error string, {S.LAYOUT_ITEM}"
+
+
+def parse_files(files: DataFrame, parser) -> DataFrame:
+    """Layout items from files by a provider: parser(path, content) yields (page_no, item_ord, kind, label, text, bbox). A file that fails gives one row with its error."""
 
     def run(batches):
         import pandas as pd
 
+        names = [c.split()[0] for c in PARSED.split(", ")]
         for pdf in batches:
             for path, content, doc in zip(pdf["path"], pdf["content"], pdf["doc_id"], strict=True):
                 try:
-                    rows = [(doc, *r) for r in parser(path, content)]
-                except Exception:  # noqa: BLE001  a broken file must not stop the others
-                    continue
-                yield pd.DataFrame(rows, columns=["doc_id", "page_no", "item_ord", "kind", "label", "text", "bbox"])
+                    rows = [(path, None, doc, *r) for r in parser(path, bytes(content))]
+                except Exception as x:  # noqa: BLE001  a broken file must not stop the others
+                    rows = [(path, f"{type(x).__name__}: {x}", doc, None, None, None, None, None, None)]
+                yield pd.DataFrame(rows, columns=names).astype({"page_no": "Int32", "item_ord": "Int64"})
+
+    return files.select("path", "content", "doc_id").mapInPandas(run, PARSED)
+
+
+def parsed(files: DataFrame, parser) -> DataFrame:
+    """The layout items of files that a parser reads."""
+    return items_of(parse_files(files, parser))
+
+
+def items_of(tried: DataFrame) -> DataFrame:
+    return tried.where("error is null").drop("path", "error")
+
+
+def failures_of(tried: DataFrame) -> DataFrame:
+    """path, doc_id, error of the files that could not be read."""
+    return tried.where("error is not null").select("path", "doc_id", "error")
+
+
+def plain_parser(path: str, content: bytes):
+    """Items of text, Markdown and HTML files; other kinds need a parser of their own and are an error here."""
+    kind = path.rpartition(".")[2].lower()
+    if kind not in ("txt", "md", "html", "htm"):
+        raise ValueError(f"no parser for .{kind} files")
+    text = content.decode("utf-8", "replace")
+    if kind in ("html", "htm"):
+        parts = [(tag, body) for tag, body in html_parts(text)]
+    else:
+        blocks = [x.strip() for x in re.split(r"\n\s*\n", text.replace("\r\n", "\n"))]
+        parts = [("h1" if kind == "md" and x.startswith("#") else "table" if kind == "md" and x.startswith("|") else "p", x.lstrip("# ") if kind == "md" and x.startswith("#") else x) for x in blocks if x]
+    for i, (tag, body) in enumerate(parts):
+        what = "table" if tag == "table" else "image" if tag == "img" else "text"
+        label = "SECTION_HEADER" if re.match("h[1-6]$|header", tag) else "PAGE_FOOTER" if tag == "footer" else "TEXT"
+        yield 1, i, what, label, " ".join(body.split()) if what == "text" else body, [0.0, 20.0 * i, 100.0, 20.0 * i + 15]
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 0 within its file), value; however the files are split, by offset of the split and order within it."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = raw.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select(F.col("file").alias("f"), F.col("block").alias("b"), "first", before.alias("before"))
+    return raw.join(starts, (raw["file"] == starts["f"]) & (raw["block"] == starts["b"])).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
+
 
-    return files.select("path", "content", "doc_id").mapInPandas(run, S.LAYOUT_ITEM)
+def json_lines(spark: SparkSession, path: str, schema: str, skip: int = 0) -> DataFrame:
+    """Records of JSON lines with file and line; the first skip lines of each file and blank lines are passed over, a broken line is an error."""
+    lines = numbered_lines(spark, path).where((F.col("line") >= skip) & (F.trim("value") != ""))
+    return lines.select("file", "line", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*", "file", "line")
 
 
-def chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunk records; a broken line is an error."""
+def chunks(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
+    """Chunk records, after the first skip lines of each file; a broken line is an error."""
+    if skip:
+        return json_lines(spark, path, S.CHUNK, skip).drop("file", "line")
     return spark.read.schema(S.CHUNK).option("mode", "FAILFAST").json(path)
 
 
@@ -58,7 +122,7 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Assets of a JSON array, numbered by place in it."""
+    """Assets of a JSON array in one file, which one task reads, numbered by place in it."""
     rows = spark.read.schema(S.ASSET).option("multiLine", True).option("mode", "FAILFAST").json(path)
     return rows.withColumn("pos", F.monotonically_increasing_id())
 
@@ -72,7 +136,8 @@ def array_map(spark: SparkSession, path: str, key: str, value: str) -> DataFrame
 def gold(spark: SparkSession, path: str) -> DataFrame:
     """Gold queries from JSON lines, a list, or an object with queries or items."""
     if path.endswith(".jsonl"):
-        return spark.read.schema(S.GOLD).option("mode", "FAILFAST").json(path).withColumn("pos", F.monotonically_increasing_id())
+        rows = json_lines(spark, path, S.GOLD)
+        return rows.withColumn("pos", F.row_number().over(Window.orderBy("file", "line")) - 1).drop("file", "line")
     raw = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("v"))
     kind = raw.select(F.substring("v", 1, 1).alias("c"), F.get_json_object("v", "$.queries").alias("q"), F.get_json_object("v", "$.items").alias("i")).first()
     if kind is None or (kind["c"] != "[" and kind["q"] is None and kind["i"] is None):

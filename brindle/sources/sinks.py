@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,33 +23,140 @@ def _fs(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def current(spark: SparkSession, root: str) -> DataFrame | None:
-    """The version of a table that its pointer names."""
-    at, fs = _fs(spark, f"{root}/CURRENT")
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the pointer files of a table, falling."""
+    at, fs = _fs(spark, root)
     if not fs.exists(at):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(at)]
+    return sorted((int(n.removeprefix("CURRENT-")) for n in names if n.startswith("CURRENT-")), reverse=True)
+
+
+def _pointed(spark: SparkSession, root: str) -> dict[str, str] | None:
+    """What the newest pointer says: the folder of each bucket, or one folder under the empty name."""
+    found = _pointers(spark, root)
+    if not found:
         return None
-    name = spark.read.text(f"{root}/CURRENT").first()[0]
-    return spark.read.parquet(f"{root}/{name}")
+    at, fs = _fs(spark, f"{root}/CURRENT-{found[0]}")
+    size = fs.getFileStatus(at).getLen()
+    stream = fs.open(at)
+    try:
+        raw = bytes(x & 0xFF for x in (stream.readByte() for _ in range(size)))
+    finally:
+        stream.close()
+    return json.loads(raw)
+
+
+def _point(spark: SparkSession, root: str, to: dict[str, str]) -> None:
+    """A new pointer file beside the old ones: written under another name and renamed, so that a reader sees all of it or the one before."""
+    number = max(_pointers(spark, root), default=0) + 1
+    made, fs = _fs(spark, f"{root}/_CURRENT-{number}-{uuid.uuid4().hex}")
+    out = fs.create(made, True)
+    out.write(bytearray(json.dumps(to).encode()))
+    out.close()
+    final, _ = _fs(spark, f"{root}/CURRENT-{number}")
+    if fs.exists(final) or not fs.rename(made, final):
+        raise RuntimeError(f"another writer made {final.toString()} first")
+
+
+def current(spark: SparkSession, root: str, doc_ids: list[str] | None = None) -> DataFrame | None:
+    """The version of a table that its newest pointer names; of a bucketed one, only the buckets that can hold doc_ids are read, and only their rows returned."""
+    to = _pointed(spark, root)
+    if to is None:
+        return None
+    if "" in to:
+        rows = spark.read.parquet(f"{root}/{to['']}")
+    else:
+        n = int(to["buckets"])
+        wanted = {str(r[0]) for r in spark.createDataFrame([(d,) for d in doc_ids], "d string").select(_bucket(F.col("d"), n)).collect()} if doc_ids is not None else set(to)
+        paths = [f"{root}/{v}" for k, v in to.items() if k not in ("buckets", "any") and k in wanted]
+        rows = spark.read.parquet(*paths) if paths else spark.read.parquet(f"{root}/{to['any']}").limit(0)
+    return rows if doc_ids is None else rows.where(F.col("doc_id").isin(*doc_ids))
 
 
 def swap(df: DataFrame, root: str) -> str:
-    """Write df as a new version, then point to it; a reader sees the old one or the new one, never a part."""
-    spark = df.sparkSession
+    """Write df as a new version, then point to it; a reader sees the old one or the new one, never a part, and a writer that fails leaves the old one."""
     name = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{name}")
-    at, fs = _fs(spark, f"{root}/CURRENT.new")
-    out = fs.create(at, True)
-    out.write(bytearray(name.encode()))
-    out.close()
-    final, _ = _fs(spark, f"{root}/CURRENT")
-    if fs.exists(final):
-        fs.delete(final, False)
-    fs.rename(at, final)
+    _point(df.sparkSession, root, {"": name})
     return name
 
 
-def report(stats: DataFrame, path: str) -> None:
-    """One JSON record."""
+def _bucket(key, n: int):
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
+def swap_buckets(df: DataFrame, root: str, merge=None, buckets: int = 256, by: str = "doc_id") -> list[int]:
+    """Rewrite only the buckets (hash of by) that df has rows in: merge(old rows there or None, df) gives their new rows. Returns the buckets.
+
+    The first write fixes the number of buckets. A bucket is one folder; the pointer lists them all.
+    """
+    spark = df.sparkSession
+    to = _pointed(spark, root) or {"buckets": str(buckets)}
+    n = int(to["buckets"])
+    dealt = df.withColumn("_bucket", _bucket(F.col(by), n))
+    touched = sorted(r[0] for r in dealt.select("_bucket").distinct().collect())  # one row per bucket at most
+    if not touched and "any" in to:
+        return []
+    old = [f"{root}/{to[str(b)]}" for b in touched if str(b) in to]
+    rows = df if merge is None else merge(spark.read.parquet(*old) if old else None, df)
+    name = f"v-{uuid.uuid4().hex}"
+    rows.withColumn("_bucket", _bucket(F.col(by), n)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{root}/{name}")
+    rows.limit(0).write.parquet(f"{root}/{name}-any")
+    held = _fs(spark, f"{root}/{name}")[1]
+    for b in touched:
+        to.pop(str(b), None)
+        if held.exists(_fs(spark, f"{root}/{name}/_bucket={b}")[0]):
+            to[str(b)] = f"{name}/_bucket={b}"
+    _point(spark, root, to | {"any": f"{name}-any"})
+    return touched
+
+
+def ensure(spark: SparkSession, root: str, schema: str, recreate: bool = False) -> bool:
+    """An empty table where there is none, or in place of what is there; whether it was made."""
+    if not recreate and _pointers(spark, root):
+        return False
+    swap(spark.createDataFrame([], schema), root)
+    return True
+
+
+def write_blobs(rows: DataFrame, root: str) -> DataFrame:
+    """rows (asset_id, file_path, blob): write each blob below root, and return asset_id, file_path, n_bytes, error (null where it was written).
+
+    Executors write; root is a folder or URI that all of them see. A blob is written under another name
+    and renamed, so that a task that runs again replaces the same file.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            out = []
+            for asset, path, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                error, to = None, f"{base}/{path}"
+                try:
+                    files.create_dir(to.rpartition("/")[0], recursive=True)
+                    made = f"{to}.{uuid.uuid4().hex}.part"
+                    with files.open_output_stream(made) as f:
+                        f.write(blob or b"")
+                    files.move(made, to)
+                except OSError as x:
+                    error = str(x)
+                out.append((asset, path, len(blob or b""), error))
+            cols = list(zip(*out, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["asset_id", "file_path", "n_bytes", "error"])
+
+    return rows.select("asset_id", "file_path", F.col("blob").cast("binary").alias("blob")).mapInArrow(run, "asset_id string, file_path string, n_bytes long, error string")
+
+
+def report(stats: DataFrame, path: str, validation: DataFrame | None = None, run_id: str | None = None) -> None:
+    """One JSON record; with the one row of a validation under its name, and the run's id."""
+    if validation is not None:
+        stats = stats.join(F.broadcast(validation.select(F.struct(*validation.columns).alias("validation"))))
+    if run_id is not None:
+        stats = stats.withColumn("run_id", F.lit(run_id))
     stats.coalesce(1).write.mode("overwrite").json(path)
 
 

@@ -16,13 +16,21 @@ def new_documents(stream: DataFrame, key: str = "doc_id") -> DataFrame:
     return stream.dropDuplicates([key])
 
 
-def index_stream(stream: DataFrame, root: str, checkpoint: str, keys: list[str], order: str | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None):
-    """Upsert each micro-batch into the table at root; runs what is there and ends. A batch that is run again changes nothing."""
+def index_stream(stream: DataFrame, root: str, checkpoint: str, keys: list[str], order: str | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None, by: str | None = None, buckets: int = 256):
+    """Upsert each micro-batch into the table at root; runs what is there and ends. A batch that is run again changes nothing.
+
+    With by, a column among the keys, the table lies in buckets of its hash, and a batch rewrites only those it has rows in.
+    """
+
+    def merge(now: DataFrame | None, rows: DataFrame) -> DataFrame:
+        return index.last_by_key(rows, keys, order) if now is None else index.upsert(now, rows, keys, order)
 
     def write(batch: DataFrame, _: int) -> None:
         rows = prepare(batch) if prepare else batch
-        now = sinks.current(rows.sparkSession, root)
-        sinks.swap(rows if now is None else index.upsert(now, rows, keys, order), root)
+        if by is not None:
+            sinks.swap_buckets(rows, root, merge, buckets, by)
+        else:
+            sinks.swap(merge(sinks.current(rows.sparkSession, root), rows), root)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
