@@ -108,9 +108,9 @@ def sparse_encode(text: Column, terms: int = 2**31 - 1) -> Column:
         # in a sorted array, a run of equal indices ends where the next one begins
         last = F.filter(F.sequence(F.lit(1), F.size(run)), lambda i: (i == F.size(run)) | (F.get(run, i) != F.get(run, i - 1)))
         here = F.when(F.size(run) > 0, last).otherwise(F.array().cast("array<int>"))
-        return F.struct(F.transform(here, lambda i: F.get(run, i - 1)).alias("indices"), F.transform(here, lambda i, n: (i - F.coalesce(F.when(n > 0, F.get(here, n - 1)), F.lit(0))).cast("float")).alias("values"))
+        return let(here, lambda ends: F.struct(F.transform(ends, lambda i: F.get(run, i - 1)).alias("indices"), F.transform(ends, lambda i, n: (i - F.coalesce(F.get(ends, n - 1), F.lit(0))).cast("float")).alias("values")))
 
-    return F.transform(F.array(F.array_sort(at)), counted)[0]
+    return let(F.array_sort(at), counted)
 
 
 def sparse_postings(vectors: DataFrame, id_col: str = "id", col: str = "sparse") -> DataFrame:

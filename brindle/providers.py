@@ -85,12 +85,12 @@ def image_encoder(load: Callable[[], Callable[[list[bytes]], list[list[float]]]]
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = load()
         for s in batches:
-            there = s.notna()
-            out = pd.Series([None] * len(s), dtype=object)
+            there = [bytes(x) for x in s if x is not None]
             try:
-                out[there.to_numpy()] = [list(map(float, v)) for v in encode([bytes(x) for x in s[there]])]
+                vectors = iter([list(map(float, v)) for v in encode(there)])
+                out = pd.Series([None if x is None else next(vectors) for x in s], dtype=object)
             except Exception:  # noqa: BLE001  a query whose image can't be read finds nothing
-                pass
+                out = pd.Series([None] * len(s), dtype=object)
             yield out
 
     return run
