@@ -1,11 +1,18 @@
 """License scan by exact set-similarity join, in DataFrame functions alone.
 
-A block is a line of a text; its set holds its distinct words. Every block that contains at least
-THRESHOLD of a template's distinct words is found. Words are ordered by the number of documents that
-hold them, rarest first, over the whole table. A block that has need = ceil(THRESHOLD * |template|)
-words of a template must hold one of the template's first |template| - need + 1 words (prefix
-filter); it must have at least need words (length filter); and from the first shared prefix word on,
-both sets must have enough words left (positional filter). What remains is counted exactly.
+A block is a line of a text, or a run of up to MOST_LINES adjacent lines that have MOST_WORDS words
+at most together, since notices are wrapped; comment leaders are no words. Its set holds its distinct
+words. Every block that contains at least THRESHOLD of a template's distinct words is found. Words are
+ordered by the number of documents that hold them, rarest first, over the whole table. A block that
+has need = ceil(THRESHOLD * |template|) words of a template must hold one of the template's first
+|template| - need + 1 words (prefix filter); it must have at least need words (length filter); and
+from the first shared prefix word on, both sets must have enough words left (positional filter). What
+remains is counted exactly. Of a longer run, only one that begins and ends with a line that adds a
+word of some template is looked at: any other has the words of a shorter one.
+
+labels lists each template that is met; one whose words are all among another's (the general notice
+of a family and its variants) is met wherever the other is. specific leaves it out where, in the same
+block, a wider one is met at least as fully.
 
 Beside the join, phrases stand where their words follow one another, whatever lies between words.
 
@@ -22,9 +29,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import stored
+from brindle.llm.common import let, stored
 
 THRESHOLD = 0.9
+#: Lines and words of a run of lines.
+MOST_LINES, MOST_WORDS = 6, 96
 #: Fixed phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Notices as their licenses word them, and the labels that a block containing them gets.
@@ -38,6 +47,14 @@ TEMPLATES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("mpl-notice", "This Source Code Form is subject to the terms of the Mozilla Public License"),
+    ("mit-condition", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit-warranty", "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement"),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("apache-terms", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("gpl-grant", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl-warranty", "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("bsd-disclaimer", "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("no-reuse", "All rights reserved. No part of this publication may be reproduced"),
 )
 #: Characters outside words, before lower-casing.
@@ -70,7 +87,7 @@ def prefixes(frequency: dict[str, int], templates=TEMPLATES, threshold: float =
 
 
 def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per block and template that meets the threshold: doc_id, block, label, containment."""
+    """One row per block and template that meets the threshold: doc_id, block (its first line), n_lines, label, containment, specific."""
     vocabulary = sorted({w for _, t in templates for w in tokens(t)})
     frequency = word_frequencies(docs, vocabulary)
     plans = prefixes(frequency, templates, threshold)
@@ -78,22 +95,55 @@ def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     starts = sorted({w for p in plans for w in p["prefix"]})
     low = docs.select(docs["doc_id"].alias("doc_id"), F.lower(docs["text"]).alias("low"))
     # a text without any prefix word has no matching block
-    some = low.where(F.col("low").rlike("|".join(map(re.escape, starts))))
-    blocks = some.select("doc_id", F.posexplode(F.split("low", "\n")).alias("block", "line")).where(F.col("line").rlike("|".join(map(re.escape, starts))))
-    # a block's words of the vocabulary, rarest first: words outside it never add to an overlap
-    blocks = blocks.select("doc_id", "block", F.array_intersect(F.lit(in_order), F.split("line", GAP)).alias("words"))
-    blocks = blocks.where(F.size("words") >= min(p["need"] for p in plans))
+    edge = GAP[:-1]
+    some = low.where(F.col("low").rlike(f"(?:^|{edge})(?:{'|'.join(map(re.escape, starts))})(?:$|{edge})"))
+
+    def words(line: Column) -> Column:
+        # the words of a line that some template has: others never add to an overlap
+        return let(F.filter(F.split(line, GAP), lambda w: w != ""), lambda all_: F.struct(F.array_intersect(F.lit(in_order), all_).alias("w"), F.size(all_).alias("n")))
+
+    def runs(lines: Column) -> Column:
+        def at(i: Column) -> Column:
+            spans = F.sequence(F.lit(1), F.least(F.lit(MOST_LINES), F.size(lines) - i))
+            return F.transform(spans, lambda k: let(F.slice(lines, i + 1, k), lambda part: F.struct(i.alias("block"), k.alias("n_lines"), (k == 1) | (F.aggregate(part, F.lit(0), lambda n, x: n + x["n"]) <= MOST_WORDS), F.array_distinct(F.flatten(F.transform(part, lambda x: x["w"]))).alias("w"), F.element_at(part, -1)["w"].alias("last"))))
+
+        from_here = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.size(F.get(lines, i)["w"]) > 0)
+        return F.flatten(F.transform(from_here, at))
+
+    least = min(p["need"] for p in plans)
+    found = some.select("doc_id", F.explode(let(F.transform(F.split("low", "\n"), words), runs)).alias("r")).select("doc_id", "r.*").toDF("doc_id", "block", "n_lines", "short", "w", "last")
+    blocks = found.where(F.col("short") & (F.size("last") > 0) & (F.size("w") >= least) & F.arrays_overlap("w", F.lit(starts)))
+    # rarest first
+    blocks = blocks.select("doc_id", "block", "n_lines", F.array_intersect(F.lit(in_order), F.col("w")).alias("words"))
     spark = docs.sparkSession
     # the inverted index over the templates' prefixes: its size is fixed by the templates
     index = spark.createDataFrame([(w, i, p["label"], p["words"], p["need"]) for p in plans for i, w in enumerate(p["prefix"])], "word string, place int, label string, template array<string>, need int")
-    probe = blocks.select("doc_id", "block", "words", F.posexplode("words").alias("at", "probe"))
+    probe = blocks.select("doc_id", "block", "n_lines", "words", F.posexplode("words").alias("at", "probe"))
     met = probe.join(F.broadcast(index), F.col("probe") == F.col("word"))
     # length filter, and for the first shared word the positional one: enough must be left on both sides
     met = met.where((F.size("words") >= F.col("need")) & (F.size("words") - F.col("at") >= F.col("need")) & (F.size("template") - F.col("place") >= F.col("need")))
     left = F.size(F.array_intersect("words", F.slice("template", F.col("place") + 1, F.size("template"))))
-    first = met.groupBy("doc_id", "block", "label", "template", "need", "words").agg(F.min("place").alias("place"))
+    first = met.groupBy("doc_id", "block", "n_lines", "label", "template", "need", "words").agg(F.min("place").alias("place"))
     shared = first.withColumn("shared", left).where(F.col("shared") >= F.col("need"))
-    return shared.select("doc_id", "block", "label", (F.col("shared") / F.size("template")).alias("containment"))
+    hits = shared.groupBy("doc_id", "block", "n_lines").agg(F.collect_list(F.struct("label", (F.col("shared") / F.size("template")).alias("containment"))).alias("hits"))
+    wider = wider_than(templates)
+
+    def general(h: Column, all_: Column) -> Column:
+        out = F.lit(False)
+        for label, more in wider.items():
+            at_least = F.filter(all_, lambda o: o["containment"] >= h["containment"])
+            out = out | ((h["label"] == label) & F.arrays_overlap(F.transform(at_least, lambda o: o["label"]), F.lit(more)))
+        return out
+
+    told = F.transform("hits", lambda h: F.struct(h["label"].alias("label"), h["containment"].alias("containment"), (~general(h, F.col("hits"))).alias("specific")))
+    return hits.select("doc_id", "block", "n_lines", F.explode(told).alias("h")).select("doc_id", "block", "n_lines", "h.*")
+
+
+def wider_than(templates=TEMPLATES) -> dict[str, list[str]]:
+    """Of each template whose distinct words are all among others': the labels of those."""
+    sets = [(label, set(tokens(t))) for label, t in templates]
+    found = {label: [other for other, more in sets if own < more] for label, own in sets}
+    return {label: more for label, more in found.items() if more}
 
 
 def phrase_places(text: Column, phrases=PHRASES) -> Column:
@@ -116,12 +166,12 @@ def phrase_places(text: Column, phrases=PHRASES) -> Column:
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every document.
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, specific for every document.
 
     score is the largest containment of a template in a block of the document, 1 where a phrase
     stands, else 0.
     """
-    found = matches(docs, templates, threshold).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    found = matches(docs, templates, threshold).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.collect_set(F.when(F.col("specific"), F.col("label"))).alias("narrow"), F.max("containment").alias("best"))
     found = stored(found.withColumnRenamed("doc_id", "match_id"), "license-matches")
     own = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     base = own.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), phrase_places(F.col("text")).alias("places"))
@@ -138,4 +188,5 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         F.array_join(F.array_sort(F.array_distinct(base_labels)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base_labels, F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),
         F.greatest(F.when(n > 0, 1.0).otherwise(0.0), F.coalesce("best", F.lit(0.0))).alias("score"),
+        F.array_join(F.array_sort(F.array_union(base_labels, F.coalesce("narrow", F.array().cast("array<string>")))), ",").alias("specific"),
     )

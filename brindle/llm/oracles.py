@@ -52,12 +52,15 @@ LICENSES = f"""
 WITH d AS (SELECT doc_id, {_WORDS.format(_ASCII_LOW)} AS w FROM documents),
   b AS (SELECT doc_id, len(w) AS n_words, flatten([{_PLACES}]) AS p FROM d),
   t(label, need) AS (VALUES {_TEMPLATES}),
-  l AS (SELECT doc_id, {_WORDS.format("lower(line)")} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
-  m AS (SELECT doc_id, list(DISTINCT label) AS more, max(len(list_intersect(need, w))::DOUBLE / len(need)) AS best FROM l JOIN t ON len(list_intersect(need, w)) >= {licenses.THRESHOLD} * len(need) - 1e-9 GROUP BY 1)
+  s AS (SELECT doc_id, list_transform(string_split(lower(text), chr(10)), lambda line: {_WORDS.format("line")}) AS ls FROM documents),
+  l AS (SELECT doc_id, i, k, flatten(ls[i + 1:i + k]) AS w FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM s), range(1, {licenses.MOST_LINES} + 1) ks(k) WHERE i + k <= len(ls) AND (k = 1 OR len(flatten(ls[i + 1:i + k])) <= {licenses.MOST_WORDS})),
+  h AS (SELECT doc_id, i, k, label, need, len(list_intersect(need, w))::DOUBLE / len(need) AS c FROM l JOIN t ON len(list_intersect(need, w)) >= {licenses.THRESHOLD} * len(need) - 1e-9),
+  m AS (SELECT doc_id, list(DISTINCT label) AS more, list(DISTINCT label) FILTER (NOT EXISTS (SELECT 1 FROM h o WHERE o.doc_id = h.doc_id AND o.i = h.i AND o.k = h.k AND o.c >= h.c AND len(o.need) > len(h.need) AND list_has_all(o.need, h.need))) AS narrow, max(c) AS best FROM h GROUP BY 1)
 SELECT doc_id, n_words, len(p) AS n_base, list_min(list_transform(p, lambda z: z.i)) AS first_word, list_max(list_transform(p, lambda z: z.i)) AS last_word,
   array_to_string(list_sort(list_distinct(list_transform(p, lambda z: z.l))), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda z: z.l), coalesce(more, [])))), ',') AS labels,
-  greatest(CASE WHEN len(p) > 0 THEN 1.0 ELSE 0.0 END, coalesce(best, 0.0))::DOUBLE AS score FROM b LEFT JOIN m USING (doc_id)"""
+  greatest(CASE WHEN len(p) > 0 THEN 1.0 ELSE 0.0 END, coalesce(best, 0.0))::DOUBLE AS score,
+  array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda z: z.l), coalesce(narrow, [])))), ',') AS specific FROM b LEFT JOIN m USING (doc_id)"""
 
 # one edit leaves the first or the second half of a line whole
 LINES = f"""
