@@ -3,7 +3,10 @@
 Trusted positives are rows of the labels table with quality 1; unlabelled text is any document. The
 non-negative risk  pi E_p[l(g)] + max(0, E_u[l(-g)] - pi E_p[l(-g)])  is minimised by gradient steps
 with the logistic loss; where the second part turns negative its gradient is reversed, as published
-with the estimator. The class prior pi is the share of quality 1 among the labelled training rows.
+with the estimator. The class prior pi is estimated from positives and unlabelled text alone, as the
+share of unlabelled text that the positives can account for: a classifier of positives against
+unlabelled rows is fitted on half of the sample, and on the other half the best bin of its scores
+bounds the share from above (see mixture_share). No row of quality 0 is read.
 
 A text is described by statistics of its whole length (character classes, words, lines,
 repetition), each cut into quantile bins; the score is a logistic function of a weight per bin.
@@ -11,12 +14,14 @@ Training reads at most SAMPLE positives and SAMPLE unlabelled rows, those with t
 hashes; everything is scored. Rows with crc32(doc_id as text) mod 3 = 1 are held out of training.
 
 Cases: null text counts as empty; an empty text is scored like any other; without positives or
-documents to learn from every score is the prior (0.5 without labels); rows that repeat a doc_id are
-each scored; null doc_ids are scored and count as trained on nothing; further columns are ignored.
+documents to learn from every score is 0.5; rows that repeat a doc_id are
+each scored; null doc_ids are scored and learned from by none; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,44 +129,38 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
 
 
-def fit(positive, unlabelled, prior: float, steps: int = STEPS) -> Model:
-    """Minimises the non-negative risk by full-batch Adam steps."""
+def _binned(positive, unlabelled) -> tuple[Model, object, object]:
+    """A model without weights, and the places of each row's bins among all weights."""
     import numpy as np
 
-    prior = float(np.clip(prior, 0.01, 0.99))
-    if not len(positive) or not len(unlabelled):
-        return Model(None, None, float(np.log(prior / (1 - prior))))
     both = np.concatenate([positive, unlabelled])
     qs = np.linspace(0, 1, BINS + 1)[1:-1]
     # rare values lie at the ends: finer bins there
     qs = np.unique(np.concatenate([qs, [0.005, 0.01, 0.02, 0.04, 0.96, 0.98, 0.99, 0.995]]))
     edges = [np.unique(np.quantile(both[:, j], qs)) for j in range(both.shape[1])]
     f, width = both.shape[1], max(len(e) for e in edges) + 1
-    model = Model(edges, np.zeros((f, width)), float(np.log(prior / (1 - prior))))
+    model = Model(edges, np.zeros((f, width)), 0.0)
     at = model.binned(both) + np.arange(f) * width
-    p, u = at[: len(positive)], at[len(positive) :]
+    return model, at[: len(positive)], at[len(positive) :]
+
+
+def _minimise(model: Model, p, u, bias: float, steps: int, slopes: Callable) -> Model:
+    """Full-batch Adam steps; slopes(positives' scores, unlabelled ones', spread) gives a gradient."""
+    import numpy as np
+
+    f, width = model.weights.shape
     w = np.zeros(f * width + 1)
-    w[-1] = model.bias
+    w[-1] = bias
     m, v = np.zeros_like(w), np.zeros_like(w)
 
-    def raw(rows):
-        return w[rows].sum(axis=1) + w[-1]
-
     def spread(rows, slope):
         out = np.bincount(rows.ravel(), weights=np.repeat(slope, f), minlength=f * width + 1)
         out[-1] = slope.sum()
         return out
 
     for step in range(1, steps + 1):
-        sp, su = 1 / (1 + np.exp(-raw(p))), 1 / (1 + np.exp(-raw(u)))
-        loss_u = -np.log(np.maximum(1 - su, 1e-12)).mean()
-        loss_p_as_n = -np.log(np.maximum(1 - sp, 1e-12)).mean()
-        negative = loss_u - prior * loss_p_as_n
-        grad_negative = spread(u, su / len(u)) - prior * spread(p, sp / len(p))
-        if negative >= 0:
-            grad = prior * spread(p, (sp - 1) / len(p)) + grad_negative
-        else:
-            grad = -grad_negative
+        sp, su = (1 / (1 + np.exp(-(w[rows].sum(axis=1) + w[-1]))) for rows in (p, u))
+        grad = slopes(sp, su, spread)
         grad[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -169,6 +168,49 @@ def fit(positive, unlabelled, prior: float, steps: int = STEPS) -> Model:
     return model
 
 
+def fit(positive, unlabelled, prior: float, steps: int = STEPS) -> Model:
+    """Minimises the non-negative risk."""
+    import numpy as np
+
+    prior = float(np.clip(prior, 0.01, 0.99))
+    start = float(np.log(prior / (1 - prior)))
+    if not len(positive) or not len(unlabelled):
+        return Model(None, None, start)
+    model, p, u = _binned(positive, unlabelled)
+
+    def slopes(sp, su, spread):
+        loss_u = -np.log(np.maximum(1 - su, 1e-12)).mean()
+        loss_p_as_n = -np.log(np.maximum(1 - sp, 1e-12)).mean()
+        grad_negative = spread(u, su / len(u)) - prior * spread(p, sp / len(p))
+        if loss_u - prior * loss_p_as_n >= 0:
+            return prior * spread(p, (sp - 1) / len(p)) + grad_negative
+        return -grad_negative
+
+    return _minimise(model, p, u, start, steps, slopes)
+
+
+def mixture_share(positive, unlabelled, steps: int = 300, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The share of positives among unlabelled rows, by best-bin estimation.
+
+    Of unlabelled rows, at least pi q_p(t) score t or more, where q_p(t) is the share of positives that
+    do: so q_u(t) / q_p(t) bounds pi from above at every t. The bound is taken where it is smallest
+    once sampling errors (at confidence 1 - delta) are added, on rows that the scores weren't fitted on.
+    """
+    import numpy as np
+
+    (pa, pb), (ua, ub) = ((x[::2], x[1::2]) for x in (positive, unlabelled))
+    if not len(pb) or not len(ub):
+        return 0.5
+    model, p, u = _binned(pa, ua)
+    model = _minimise(model, p, u, 0.0, steps, lambda sp, su, spread: spread(p, (sp - 1) / len(p)) + spread(u, su / len(u)))
+    sp, su = np.sort(model.score(pb)), np.sort(model.score(ub))
+    cuts = np.unique(sp)
+    q_p, q_u = 1 - np.searchsorted(sp, cuts) / len(sp), 1 - np.searchsorted(su, cuts) / len(su)
+    error = (1 + gamma) * (np.sqrt(np.log(4 / delta) / (2 * len(su))) + np.sqrt(np.log(4 / delta) / (2 * len(sp))))
+    best = int(((q_u + error) / q_p).argmin())
+    return float(min(1.0, q_u[best] / q_p[best]))
+
+
 def _featured(df: DataFrame) -> DataFrame:
     """df (kind, text): their features."""
 
@@ -189,9 +231,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Mode
     import numpy as np
 
     known = labels.where((fold(labels["doc_id"]) != 1) & labels["quality"].isNotNull()).select(labels["doc_id"].alias("doc_id"), labels["quality"].alias("quality"))
-    share = known.agg(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0)).alias("p")).first()["p"]
-    if share is None:
-        return Model(None, None, 0.0)
     at = F.xxhash64("doc_id", F.lit(SEED))
     p = known.where("quality = 1").select("doc_id").distinct().orderBy(at, "doc_id").limit(sample_rows).select("doc_id", F.lit(1).alias("kind"))
     u = docs.where(fold(docs["doc_id"]) != 1).select(docs["doc_id"].alias("doc_id")).orderBy(at, "doc_id").limit(sample_rows).distinct().select("doc_id", F.lit(0).alias("kind"))
@@ -202,7 +241,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> Mode
     texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"))
     rows = _featured(texts.join(F.broadcast(ids), texts["doc_id"] == ids["id"])).collect()
     x = {k: np.array([r["x"] for r in rows if r["kind"] == k]) for k in (0, 1)}
-    return fit(x[1], x[0], share)
+    if not len(x[1]) or not len(x[0]):
+        return Model(None, None, 0.0)
+    return fit(x[1], x[0], mixture_share(x[1], x[0]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> DataFrame:
