@@ -19,8 +19,14 @@ def touch(chats: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def listed(chats: DataFrame) -> DataFrame:
-    """Chats from the latest on, ties by id; adds place."""
-    return chats.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "chat_id")))
+    """Chats from the latest on, ties by id; adds place. Chats are ranked within their hour, and each hour starts after the chats of later ones, so one task orders hours, not chats."""
+    hour = F.substring(F.col("updated_at").cast("string"), 1, 13)
+    dealt = chats.withColumn("_hour", hour)
+    later = Window.orderBy(F.desc("_from")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(F.col("_hour").alias("_from")).agg(F.count("*").alias("_n")).select("_from", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_hour").orderBy(F.desc("updated_at"), "chat_id")
+    placed = dealt.withColumn("_nth", F.row_number().over(within)).join(starts, F.col("_hour").eqNullSafe(F.col("_from")))
+    return placed.withColumn("place", (F.col("_before") + F.col("_nth")).cast("int")).drop("_hour", "_from", "_n", "_before", "_nth")
 
 
 def previous_question(messages: DataFrame) -> DataFrame:

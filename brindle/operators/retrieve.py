@@ -9,6 +9,10 @@ from brindle.functions.text import let
 
 #: Queries that meet the corpus at once; a block of them is one row of the join.
 QUERY_BLOCK = 256
+#: Words in a row by which a text and a passage inside it are brought together.
+ANCHOR = 3
+#: Passages without an anchor that are compared with every text by broadcast.
+SHORT_PASSAGES = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -171,6 +175,41 @@ def hybrid(corpus: DataFrame, vectors: DataFrame, queries: DataFrame, query_vect
     return fuse(dense_top_k(vectors, query_vectors, k), sparse_top_k(corpus, queries, k), rrf_k, k)
 
 
+def _runs(words: Column, body) -> Column:
+    """body(i) for the first place i of each run of ANCHOR words."""
+    return F.when(F.size(words) >= ANCHOR, F.transform(F.sequence(F.lit(0), F.size(words) - ANCHOR), body)).otherwise(F.transform(F.slice(F.array(F.lit(0)), 1, 0), body))
+
+
+def _run_hash(words: Column, i: Column) -> Column:
+    return F.xxhash64(*[F.get(words, i + n) for n in range(ANCHOR)])
+
+
+def holding(corpus: DataFrame, passages: DataFrame) -> DataFrame:
+    """corpus (id, text), passages (qid, passage): each pair (qid, id) whose text holds the passage, letter for letter.
+
+    All words of a passage but its first and last stand whole in any text that holds it. Its longest run
+    of ANCHOR such words is its anchor; texts meet passages by the hashes of their own runs, and pairs
+    that meet are compared in full. Passages of fewer inner words are compared with every text. Null
+    texts and passages hold nothing; an empty passage stands in every text.
+    """
+
+    def anchored(w: Column) -> Column:
+        longest = _runs(w, lambda i: F.struct(sum((F.length(F.get(w, i + n)) for n in range(1, ANCHOR)), F.length(F.get(w, i))).alias("chars"), _run_hash(w, i).alias("anchor")))
+        return F.array_max(longest)["anchor"]
+
+    def inner(w: Column) -> Column:
+        return F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0)))
+
+    asked = passages.select("qid", "passage", let(F.split("passage", "\\s+"), lambda w: let(inner(w), anchored)).alias("anchor")).where("passage is not null")
+    runs = let(F.split("text", "\\s+"), lambda w: F.array_distinct(_runs(w, lambda i: _run_hash(w, i))))
+    met = corpus.select("id", F.explode(runs).alias("anchor")).join(asked.where("anchor is not null"), "anchor").select("qid", "passage", "id").distinct()
+    by_anchor = met.join(corpus.select("id", "text"), "id").where(F.contains("text", F.col("passage"))).select("qid", "id")
+    short = asked.where("anchor is null").select("qid", "passage")
+    short = F.broadcast(short) if short.limit(SHORT_PASSAGES + 1).count() <= SHORT_PASSAGES else short
+    by_text = corpus.join(short, F.contains("text", F.col("passage"))).select("qid", "id")
+    return by_anchor.unionByName(by_text).distinct()
+
+
 def overlap_score(query: Column, text: Column) -> Column:
     """The offline reranker: share of the query's distinct terms that the text holds."""
     q = F.array_distinct(tokens(query))

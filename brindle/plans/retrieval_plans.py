@@ -120,9 +120,8 @@ METRICS = "SELECT k, round(avg(recall), 6) AS recall, round(avg(prec), 6) AS pre
 
 
 def _gold(spark, d):
-    b, docs = _queries(spark, d).withColumnRenamed("text", "passage"), _corpus(spark, d)
-    # few passages meet every text; a passage isn't a key, so the join is by condition
-    return docs.join(F.broadcast(b) if b.count() <= 10_000 else b, F.contains("text", F.col("passage"))).select("qid", F.col("id").cast("string").alias("v"))
+    passages = _queries(spark, d).withColumnRenamed("text", "passage")
+    return retrieve.holding(_corpus(spark, d), passages).select("qid", F.col("id").cast("string").alias("v"))
 
 
 def _lists(rows, name, order=None):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from brindle import config as C, providers
 from brindle.functions.ids import asset_id
-from brindle.operators import captions, chunking, evaluate, index, layout, rag, report, retrieve
+from brindle.operators import captions, chat, chunking, evaluate, index, layout, rag, report, retrieve
 from brindle.operators.assets import attachments, resolve
 
 
@@ -146,3 +146,18 @@ def test_reports_fill_empty_buckets(spark):
 def test_offline_embedding(spark):
     df = spark.createDataFrame([("alpha beta",), ("",)], "t string").select(providers.hashed_embedding(F.col("t"), 16).alias("v")).collect()
     assert abs(sum(x * x for x in df[0]["v"]) - 1) < 1e-6 and sum(map(abs, df[1]["v"])) == 0
+
+
+def test_texts_that_hold_a_passage(spark):
+    texts = [(1, "a red  fox runs over the old\nbridge at dawn"), (2, "fox runs over the"), (3, "the red fox runs over them"), (4, ""), (5, None), (6, "a red  fox runs over the old\nbridge at dawn")]
+    passages = [("whole", "a red  fox runs over the old\nbridge at dawn"), ("cut words", "d  fox runs over the old\nbri"), ("one space", "red fox runs over the"), ("short", "x runs"), ("space first", " runs over the"), ("empty", ""), ("null", None), ("nowhere", "one two three four five six"), ("again", "red  fox runs over the old")]
+    corpus, asked = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(passages, "qid string, passage string")
+    got = sorted(map(tuple, retrieve.holding(corpus, asked).collect()))
+    assert got == sorted((q, i) for i, t in texts for q, p in passages if t is not None and p is not None and p in t)
+
+
+def test_chats_are_placed_across_hours(spark):
+    rows = [(i, f"2024-01-0{1 + i % 3}T{i % 5:02d}:{i % 7:02d}:00Z" if i % 11 else None) for i in range(60)]
+    got = {r["chat_id"]: r["place"] for r in chat.listed(spark.createDataFrame(rows, "chat_id long, updated_at string")).collect()}
+    order = sorted(sorted(rows), key=lambda r: r[1] or "", reverse=True)
+    assert got == {r[0]: n for n, r in enumerate(order, 1)}
