@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,8 @@ LARGE = 64
 MOST_LARGE = 10_000
 #: Temporary folders of local applications that were given none.
 _LOCAL: dict[str, str] = {}
+#: Lists that gather the paths of what stored() writes, one per open written().
+_GATHERING: ContextVar[tuple[list[str], ...]] = ContextVar("gathering", default=())
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and outlives lost executors.
 
-    The files go when the application ends.
+    The files go when the application ends, or once their reader is done: see written and discard.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
@@ -45,9 +49,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    for paths in _GATHERING.get():
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def written() -> Iterator[list[str]]:
+    """The paths of what stored() writes inside, in order."""
+    paths: list[str] = []
+    before = _GATHERING.set((*_GATHERING.get(), paths))
+    try:
+        yield paths
+    finally:
+        _GATHERING.reset(before)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more: all that follows was written itself."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
@@ -249,9 +273,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b long): one row (node, component) per node of an edge; component is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edges are stars. Each round is written to
-    the shared folder. Self-loops and repeated edges are allowed; nodes without an edge are not returned.
+    the shared folder, in place of the one before. Self-loops and repeated edges are allowed; nodes without an edge are not returned.
     """
-    e = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    with written() as older:
+        e = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
     def state() -> tuple[int, int]:
         """Edges, and nodes that keep them from being stars: those with two smaller neighbours, or with a smaller one and a larger one."""
@@ -262,12 +287,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     n, bad = state()
     while bad:
-        # the rows of a hub never meet in one task: see join_groups
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        starred = with_groups(both, ["u"], 2 * n, F.min("v").alias("m")).where(F.col("v") > F.col("u"))
-        large = stored(starred.select(F.col("v").alias("a"), F.least("m", "u").alias("b")).where(F.col("a") != F.col("b")), "edges")
-        starred = with_groups(large, ["a"], n, F.min("b").alias("m"))
-        small = starred.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        e = stored(small.where(F.col("a") != F.col("b")).distinct(), "edges")
+        with written() as newer:
+            # the rows of a hub never meet in one task: see join_groups
+            both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+            starred = with_groups(both, ["u"], 2 * n, F.min("v").alias("m")).where(F.col("v") > F.col("u"))
+            large = stored(starred.select(F.col("v").alias("a"), F.least("m", "u").alias("b")).where(F.col("a") != F.col("b")), "edges")
+            starred = with_groups(large, ["a"], n, F.min("b").alias("m"))
+            small = starred.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+            e = stored(small.where(F.col("a") != F.col("b")).distinct(), "edges")
+        discard(e.sparkSession, [*older, *newer[:-1]])
+        older = newer[-1:]
         n, bad = state()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -51,6 +52,21 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_component_rounds_replace_each_other(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(80)], "a long, b long")
+    with common.written() as paths:
+        got = common.connected_components(chain)
+    assert len(paths) > 3 and [os.path.exists(p.removeprefix("file://")) for p in paths] == [False] * (len(paths) - 1) + [True]
+    assert {r["component"] for r in got.collect()} == {0}
+    with common.written() as outer:
+        with common.written() as inner:
+            one = common.stored(spark.range(3), "one")
+        two = common.stored(one, "two")
+    assert outer[:1] == inner and len(outer) == 2
+    common.discard(spark, inner)
+    assert two.count() == 3
+
+
 def test_tokens():
     t = tokens.tokenizer(tokens.default_path())
     odd = ["", " ", "a", "it's we'll  \n\n x  ", "<|endoftext|>hi", "\x1c\x1d a\x85b", "日本語 テスト", "é́ ² ½", "_a_ 12_3", "x" * 5000, "  lead", "tail  \n"]

@@ -1,5 +1,7 @@
 """The pipeline's stages, one after the other, on the smallest tables."""
 
+import os
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -28,3 +30,14 @@ def test_empty(spark):
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         docs = stored(stage(spark, docs, FOLDER), f"empty-{i}")
     assert docs.count() == 0
+
+
+def test_run_keeps_only_what_is_read(spark):
+    from brindle.llm.common import written
+
+    with written() as paths:
+        packed = corpus_pipeline.run(spark, FOLDER)
+    left = [os.path.basename(p).rsplit("-", 1)[0] for p in paths if os.path.exists(p.removeprefix("file://"))]
+    last = len(corpus_pipeline.STAGES) - 2
+    assert f"stage-{last}" in left and not {f"stage-{i}" for i in range(last)} & set(left)
+    assert packed.agg({"length": "sum"}).first()[0] > 0
