@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import lines, minhash, mixing, packing, quality
-from brindle.llm.common import read_table, stored
+from brindle.llm.common import discard, read_table, stored, written
 from brindle.session import ship
 
 
@@ -52,10 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; what each returns is written and read again as the next one's docs."""
-    docs = read_table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{i}")
-    return docs
+    """Applies the stages to documents; what each returns is written and read again as the next one's docs. Once it is written, what the stage read and wrote on its way goes."""
+    docs, older = read_table(spark, sf_dir, "documents"), []
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with written() as newer:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{i}")
+        discard(spark, [*older, *newer[:-1]])
+        older = newer[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)
