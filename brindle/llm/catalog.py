@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import ann, attribution, licenses, lines, minhash, mixing, oracles, packing, quality, secrets, vectordup
+from brindle.llm import ann, asof, attribution, licenses, lines, minhash, mixing, oracles, packing, quality, resample, secrets, tokenfiles, vectordup
 from brindle.llm.common import read_table
 
 
@@ -50,6 +50,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op11_last_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.last_orders(read_table(spark, sf_dir, "clicks"), read_table(spark, sf_dir, "sales"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(read_table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_nearest": op2_nearest,
@@ -61,6 +73,9 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_last_order": op11_last_order,
+    "op12_token_files": op12_token_files,
+    "op13_resample": op13_resample,
 }
 
 #: The others choose by a seeded hash, need a tokenizer, learn, or approximate; tests hold them against brute force.
@@ -70,4 +85,6 @@ ORACLES: dict[str, str] = {
     "op7_secrets": oracles.SECRETS,
     "op8_licenses": oracles.LICENSES,
     "op9_line_dedup": oracles.LINES,
+    "op11_last_order": oracles.LAST_ORDERS,
+    "op13_resample": oracles.RESAMPLE,
 }

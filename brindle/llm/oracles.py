@@ -74,3 +74,44 @@ WITH RECURSIVE o AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, un
   s AS (SELECT c.c, min(u.f) AS stay FROM u JOIN c USING (n) GROUP BY 1),
   k AS (SELECT o.doc_id, o.i, o.x, u.f, s.stay, u.f IS NOT NULL AND s.stay <> {{'d': o.doc_id, 'i': o.i}} AS gone FROM o LEFT JOIN u ON u.x = o.x LEFT JOIN c USING (n) LEFT JOIN s ON s.c = c.c)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone AND f = stay) AS gone_exact, count(*) FILTER (gone AND f <> stay) AS gone_near, md5(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS text_md5 FROM k GROUP BY 1"""
+
+
+# CRC-32 of a text's UTF-8 bytes, by its table of 256, which the rule of its polynomial makes
+_CRC_TABLE = "SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))"
+
+
+def _crc(text: str) -> str:
+    """Over a row that holds the table as t."""
+    bytes_ = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i::INT + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {bytes_}), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"
+
+
+_DAY = 86_400_000_000
+LAST_ORDERS = f"""
+WITH crc AS ({_CRC_TABLE}),
+  k AS (SELECT click_id, client_id, CASE WHEN {_crc("click_id::VARCHAR")} % 2 = 1 THEN m - (m % {_DAY} + {_DAY}) % {_DAY} ELSE m END AS ts_us
+    FROM (SELECT click_id, client_id, epoch_us(ts) AS m FROM clicks WHERE click_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY ts IS NULL OR client_id IS NULL, ts, client_id) = 1), crc),
+  s AS (SELECT *, CASE WHEN h % 2 = 1 THEN m - (m % {_DAY} + {_DAY}) % {_DAY} ELSE m END AS o_us FROM (SELECT sale_id, client_id, priority, floor(100 * total + 0.5)::BIGINT AS cents, epoch_us(sold_at) AS m, {_crc("sale_id::VARCHAR")} AS h FROM sales, crc)),
+  o AS (SELECT client_id, o_us, sale_id, priority, cents FROM s UNION ALL SELECT client_id, o_us, -1 - sale_id, 6 - priority, cents FROM s WHERE h % 3 <> 0),
+  j AS (SELECT k.click_id, o.*, max(o.o_us) OVER (PARTITION BY k.click_id) AS last FROM k JOIN o ON o.client_id = k.client_id AND o.o_us <= k.ts_us AND o.o_us >= k.ts_us - 3 * {_DAY}),
+  m AS (SELECT *, count(*) OVER (PARTITION BY click_id) AS n_tied, row_number() OVER (PARTITION BY click_id ORDER BY priority DESC NULLS LAST, sale_id NULLS LAST, cents DESC NULLS LAST) AS nth FROM j WHERE o_us = last)
+SELECT k.click_id, k.client_id, k.ts_us, m.sale_id, k.ts_us - m.o_us AS lag_us, m.cents AS total_cents, coalesce(m.n_tied, 0) AS n_tied FROM k LEFT JOIN m ON m.click_id = k.click_id AND m.nth = 1"""
+
+
+def _features(table: str, id_: str) -> str:
+    runs = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"SELECT {id_} AS id, len(w) AS n_words, {runs} AS f FROM (SELECT {id_}, {_WORDS.format(_ASCII_LOW)} AS w FROM {table})"
+
+
+RESAMPLE = f"""
+WITH crc AS ({_CRC_TABLE}),
+  d AS ({_features("documents", "doc_id")}), e AS ({_features("benchmark", "item_id")}),
+  dc AS (SELECT id, f, count(*) AS n FROM (SELECT id, unnest(f) AS f FROM d) GROUP BY 1, 2), ec AS (SELECT f, count(*) AS n FROM (SELECT unnest(f) AS f FROM e) GROUP BY 1),
+  b AS (SELECT f, {_crc("f")} % 10000 AS b FROM (SELECT f FROM dc UNION SELECT f FROM ec), crc),
+  s AS (SELECT b, sum(n) AS s FROM dc JOIN b USING (f) GROUP BY 1), t AS (SELECT b, sum(n) AS t FROM ec JOIN b USING (f) GROUP BY 1),
+  g AS (SELECT b, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (coalesce((SELECT sum(s) FROM s), 0)::DOUBLE + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (coalesce((SELECT sum(t) FROM t), 0)::DOUBLE + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (b)),
+  w AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM dc JOIN b USING (f) JOIN g USING (b) GROUP BY 1),
+  r AS (SELECT doc_id, n_words, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM (SELECT d.id AS doc_id, n_words, coalesce(n_features, 0) AS n_features,
+    coalesce((total - (total % n_features + n_features) % n_features) // n_features, 0) AS weight, ('0x' || substr(sha256('7:' || d.id), 1, 8))::BIGINT::DOUBLE AS h FROM d LEFT JOIN w USING (id))),
+  p AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS nth FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN nth <= (SELECT count(*) FROM r WHERE n_words >= 20) * 25 // 100 THEN nth END AS rank FROM p"""
