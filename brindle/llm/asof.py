@@ -2,13 +2,13 @@
 
 Events of one key at one time become one moment. A moment is valid from its time until the next moment
 of its key (lead over distinct times), or until the tolerance has passed. Time is cut into buckets;
-a bucket that holds more than a thousandth of all moments is cut into slices of equal width, so that
+a bucket that holds more than a 10,000th of all moments (and LARGE) is cut into slices of equal width, so that
 no window partition follows the size of a key. The last moment of a slice finds its follower among
 the first moments of later slices and of the buckets within the tolerance. Validity intervals are
 copied to the slices that they touch; points join them by equality of key, bucket and slice, and the
-one interval that contains the point is its match. Slices that hold more than a thousandth of all points
+one interval that contains the point is its match. Slices that hold more than a 10,000th of all points
 are salted: their points are dealt out and their intervals copied. The two tables of dense and of
-crowded slices have a thousand rows at most each, whatever the input's size; only they are broadcast.
+crowded slices have MOST_LARGE rows at most each, whatever the input's size; only they are broadcast.
 
 Cases: points and events with a null key or time never match; copies of a point's row are matched
 each; extra columns of the inputs are not read; an empty side gives points without a match, or no rows.
@@ -19,12 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import LARGE, all_of, stored
+from brindle.llm.common import LARGE, MOST_LARGE, all_of, stored
 
 DAY = 86_400_000_000
 TOLERANCE = 3 * DAY
-#: A slice with more than a SHARE-th of all rows is split; there are fewer than SHARE such slices.
-SHARE = 1000
 _SLICE = ["key", "bucket", "slice"]
 
 
@@ -47,8 +45,8 @@ def _place(at: Column, width: int) -> Column:
 
 
 def _beyond(counts: DataFrame, total: int, name: str) -> DataFrame:
-    """Groups with more than a SHARE-th of total rows, and into how many parts each is split; fewer than SHARE rows."""
-    limit = max(LARGE, total // SHARE)
+    """Groups with more than a MOST_LARGE-th of total rows, and into how many parts each is split; MOST_LARGE rows at most."""
+    limit = max(LARGE, total // MOST_LARGE)
     return counts.where(F.col("n") > limit).withColumn(name, F.ceil(F.col("n") / limit).cast("int")).drop("n")
 
 
