@@ -1,7 +1,7 @@
 """Importance resampling towards a target's distribution of hashed n-grams.
 
 Each text becomes a row of a sparse document-by-bucket count matrix, written once as CSR blocks
-(parquet rows of some hundred documents: starts, buckets, counts). The column sums of the corpus' and
+(parquet rows of some dozen documents: starts, buckets and counts as little-endian integers). The column sums of the corpus' and
 the target's blocks are the two distributions; the gains of the buckets, one number each, are sent to
 all tasks, and the sparse matrix-vector product of the blocks with them gives each document's weight.
 Gumbel noise from a seeded hash of doc_id turns the weights into a draw without replacement: the
@@ -32,8 +32,8 @@ SEED = 7
 LEAST_WORDS = 20
 PERCENT = 25
 #: Texts of so many bytes together, or one longer text, become one block.
-BLOCK_BYTES = 1 << 20
-_BLOCKS = "doc_ids array<long>, n_words array<long>, starts array<long>, buckets array<int>, counts array<int>"
+BLOCK_BYTES = 1 << 18
+_BLOCKS = "doc_ids array<long>, n_words array<long>, starts binary, buckets binary, counts binary"
 #: Bytes of words: lower-case letters, digits and all beyond ASCII; everything else parts words.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -101,7 +101,7 @@ def count_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         def block(held):
             n, starts, cells, counts = block_of([t for _, t in held], buckets, runs)
-            cols = [pa.array([[i for i, _ in held]], pa.list_(pa.int64())), *(pa.array([x], pa.list_(pa.int64())) for x in (n, starts)), *(pa.array([x], pa.list_(pa.int32())) for x in (cells, counts))]
+            cols = [pa.array([[i for i, _ in held]], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (starts, cells, counts))]
             return pa.RecordBatch.from_arrays(cols, names=["doc_ids", "n_words", "starts", "buckets", "counts"])
 
         held, size = [], 0
@@ -119,6 +119,11 @@ def count_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, _BLOCKS)
 
 
+def _ints(cell, kind: str) -> np.ndarray:
+    """A binary cell's integers, where they lie."""
+    return np.frombuffer(cell.as_buffer(), kind)
+
+
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """bucket, n: features of the whole matrix by bucket. A task sums its blocks first and sends a row per bucket."""
 
@@ -127,8 +132,8 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
         n = np.zeros(buckets, np.int64)
         for batch in batches:
-            cells, counts = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
-            np.add.at(n, cells, counts)
+            for cells, counts in zip(batch.column(0), batch.column(1), strict=True):
+                n += np.bincount(_ints(cells, "<i4"), _ints(counts, "<i4"), buckets).astype(np.int64)
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["bucket", "n"])
 
@@ -153,12 +158,12 @@ def weights(matrix: DataFrame, gain: np.ndarray) -> DataFrame:
 
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, n, starts, cells, counts = (batch.column(c)[k].values for c in range(5))
-                n, starts, cells, counts = (x.to_numpy(zero_copy_only=False) for x in (n, starts, cells, counts))
+                ids, n = batch.column(0)[k].values, batch.column(1)[k].values
+                starts, cells, counts = (_ints(batch.column(c)[k], kind) for c, kind in ((2, "<i8"), (3, "<i4"), (4, "<i4")))
                 counts = counts.astype(np.int64)
                 sums = [np.concatenate([[0], np.cumsum(x)]) for x in (counts * shared.value[cells], counts)]
                 total, features = (x[starts[1:]] - x[starts[:-1]] for x in sums)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(features), pa.array(total // np.maximum(features, 1))], names=["doc_id", "n_words", "n_features", "weight"])
+                yield pa.RecordBatch.from_arrays([ids, n, pa.array(features), pa.array(total // np.maximum(features, 1))], names=["doc_id", "n_words", "n_features", "weight"])
 
     return matrix.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 
@@ -197,7 +202,7 @@ def resample(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, runs: i
     matrix = stored(count_matrix(docs, buckets=buckets, runs=runs), "counts")
     wanted = count_matrix(target, target_id, buckets=buckets, runs=runs)
     gain = gains(column_sums(matrix, buckets), column_sums(wanted, buckets), buckets)
-    rows = scored(weights(matrix, gain), seed)
+    rows = stored(scored(weights(matrix, gain), seed), "scores")
     able = (F.col("n_words") >= least_words) & F.col("score").isNotNull()
     places, n = ranked(rows.where(able), [F.desc("score"), F.col("doc_id")], "ranks")
     drawn = places.withColumn("rank", F.when(F.col("rank") <= percent * n // 100, F.col("rank")))
