@@ -149,88 +149,6 @@ def _columns(texts: list[str], sizes, before: int, after: int, fill: int):
     return held.T.copy()
 
 
-def _chunk_within(longer, shorter, m, n, edits: int):
-    """Pairs with longer texts of m > edits and shorter ones of n >= m - edits code points, n falling."""
-    import numpy as np
-
-    width = 2 * edits + 2
-    mask = np.int32((1 << width) - 1)
-    a = _columns(longer, m, edits, width + 1, 0xFFFFFFFF)
-    b = _columns(shorter, n, 0, 0, 0xFFFFFFFE)
-    out = np.zeros(len(m), bool)
-    alive = np.arange(len(m))
-    vp = np.full(len(m), mask ^ ((1 << edits) - 1), np.int32)
-    vn = np.zeros(len(m), np.int32)
-    score = np.full(len(m), edits, np.int32)
-    last = m.astype(np.int32) - 1
-    ends = n.copy()
-    out[n == 0] = m[n == 0] <= edits
-    shift = 0  # rows cut from a and b
-    for j in range(int(n.max(initial=0))):
-        live = int(np.searchsorted(-ends, -j, side="left"))  # those with more than j columns stand first
-        if live < len(alive) or (j % 16 == 15 and (score > 3 * edits).sum() * 4 > live):
-            out[alive[live:]] |= score[live:] <= edits
-            # all that is left of a pair is at least its score less the band's height
-            keep = np.flatnonzero(score[:live] <= 3 * edits)
-            if not len(keep):
-                return out
-            alive, vp, vn, score, last, ends = (x[keep] for x in (alive, vp, vn, score, last, ends))
-            a, b, shift = a[j - shift :, keep], b[j - shift :, keep], j
-        at = j - shift
-        bits = np.packbits(a[at : at + width] == b[at], axis=0, bitorder="little")
-        eq = bits[0].astype(np.int32) if width <= 8 else bits[0] | bits[1].astype(np.int32) << 8
-        d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & mask
-        hp = (vn | ~(d0 | vp)) & mask
-        hn = d0 & vp
-        row = min(j + edits, m - 1)
-        bit = row - (j - edits)
-        if j + edits <= m - 1:
-            score += 0 if d0 >> bit & 1 else 1
-        else:
-            score += (hp >> bit & 1) - (hn >> bit & 1)
-        vp = (hn | ~((d0 >> 1) | hp)) & mask
-        vn = (d0 >> 1) & hp
-        if score > edits + abs(m - n) + 2 * edits:
-            return False
-    return score <= edits
-
-
-def within_many(a: list[str], b: list[str], edits):
-    """within for many pairs at once (edits: one number for all, or one per pair): the same recurrence, a step for all pairs at a time."""
-    import numpy as np
-
-    edits = np.broadcast_to(edits, len(a))
-    out = np.zeros(len(a), bool)
-    size = np.array([[len(x) for x in a], [len(y) for y in b]]).reshape(2, -1)
-    m, n = size.max(axis=0), size.min(axis=0)
-    out[(m <= edits)] = True  # as many substitutions and insertions do
-    left = (m > edits) & (m - n <= edits)
-    for k in np.unique(edits[left]).tolist():
-        at = np.flatnonzero(left & (edits == k))
-        if 2 * k + 2 > 16 or len(at) < 32:  # wide bands, and few pairs
-            out[at] = [within(a[i], b[i], k) for i in at]
-            continue
-        at = at[np.argsort(-n[at], kind="stable")]
-        while len(at):
-            step = max(1, min(4096, 2**20 // int(m[at[0]] + k + 1)))
-            some, at = at[:step], at[step:]
-            longer = [a[i] if len(a[i]) >= len(b[i]) else b[i] for i in some]
-            shorter = [b[i] if len(a[i]) >= len(b[i]) else a[i] for i in some]
-            out[some] = _chunk_within(longer, shorter, m[some], n[some], k)
-    return out
-
-
-def _columns(texts: list[str], sizes, before: int, after: int, fill: int):
-    """Code points of some texts, a column each, between rows of a filler."""
-    import numpy as np
-
-    width = int(sizes.max(initial=0))
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    held = np.full((len(texts), before + width + after), fill, np.uint32)
-    held[:, before : before + width][np.arange(width) < sizes[:, None]] = points
-    return held.T.copy()
-
-
 def _chunk_within(longer, shorter, m, n, edits: int):
     """Pairs with longer texts of m > edits and shorter ones of n >= m - edits code points, n falling."""
     import numpy as np
