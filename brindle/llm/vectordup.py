@@ -29,7 +29,7 @@ no rows; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import block_pairs, blocked, connected_components, group_bounds, grouped_batches, join_groups, stored
@@ -61,7 +61,7 @@ def fit(x, lists: int, parts: int = PARTS, words: int = WORDS):
 def listed(v: DataFrame, models: dict, radius: float) -> DataFrame:
     """v (id, label, copies, vec): one row per list a vector is in or visits, with home (whether it is its own list) and vec as bytes."""
     shared = v.sparkSession.sparkContext.broadcast({dim: coarse for dim, (coarse, _) in models.items()})
-    kind = dtype(v)
+    kind, label = dtype(v), v.schema["label"].dataType.simpleString()
 
     def run(batches):
         import numpy as np
@@ -94,7 +94,7 @@ def listed(v: DataFrame, models: dict, radius: float) -> DataFrame:
                     took = b.take(pa.array(at[row]))
                     yield pa.RecordBatch.from_arrays([*(took.column(i) for i in range(3)), vecs, pa.array(np.full(len(row), raw.shape[1], np.int32)), pa.array(lst.astype(np.int32)), pa.array(home)], names=["id", "label", "copies", "vec", "dim", "list", "home"])
 
-    return v.select("id", "label", "copies", "vec").mapInArrow(run, "id long, label long, copies long, vec binary, dim int, list int, home boolean")
+    return v.select("id", "label", "copies", "vec").mapInArrow(run, f"id long, label {label}, copies long, vec binary, dim int, list int, home boolean")
 
 
 class Codes:
@@ -214,11 +214,23 @@ def _pairs(dealt: DataFrame, models: dict, kind: str, threshold: float) -> DataF
     return held.mapInPandas(run, "id long, n long, other long")
 
 
+def label_key(vectors: DataFrame, name: str = "label") -> Column:
+    """A label in a form that is equal where labels are: whole numbers stay numbers, other types become text that tells all their values apart (zeros of either sign are one)."""
+    kind, label = vectors.schema[name].dataType.typeName(), vectors[name]
+    if kind in ("byte", "short", "integer", "long"):
+        return label.cast("long")
+    if kind in ("float", "double"):
+        return (label.cast("double") + F.lit(0.0)).cast("string")
+    if kind == "binary":
+        return F.hex(label)
+    return F.when(label.isNotNull(), F.to_json(F.struct(label.alias("l")), {"ignoreNullFields": "false"})) if kind in ("struct", "array", "map") else label.cast("string")
+
+
 def links(vectors: DataFrame, threshold: float = 0.98, sample_rows: int = SAMPLE) -> DataFrame:
     """One row per id: vec_id, n_links, component_id (smallest id reachable by links), kept."""
     import numpy as np
 
-    every = vectors.where(vectors["vec_id"].isNotNull()).select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["label"].cast("long").alias("label"), vectors["embedding"].alias("embedding"))
+    every = vectors.where(vectors["vec_id"].isNotNull()).select(vectors["vec_id"].cast("long").alias("vec_id"), label_key(vectors).alias("label"), vectors["embedding"].alias("embedding"))
     every = once(every, "vec_id", lambda df: df.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.label", "v.embedding"))
     v = usable(every, extra=("label",)).where(F.col("label").isNotNull())
     element = v.schema["vec"].dataType.elementType
