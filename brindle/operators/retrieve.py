@@ -30,46 +30,41 @@ def top(scored: DataFrame, k: int, by: str = "qid", score: str = "score", tie: s
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _packed(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """df (key, vec array<double>): rows of up to so many vectors of one length: dim, ids (an array), m (their bytes)."""
+def packed(df: DataFrame, key: str, rows: int = 4 * QUERY_BLOCK, by: str | None = None) -> DataFrame:
+    """df (key, vec array<double>): rows of up to so many vectors of one length (and one value of by, a whole number): dim, ids (an array), m (their bytes), and by."""
     kind = df.schema[key].dataType.simpleString()
+    names = ["dim", "ids", "m", *([by] if by else [])]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def block(dim, held):
+        def block(at, held):
             x = np.array([v for _, v in held], np.float64)
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([[i for i, _ in held]], pa.list_(ids)), pa.array([x.tobytes()], pa.binary())], names=["dim", "ids", "m"])
+            cols = [pa.array([at[0]], pa.int32()), pa.array([[i for i, _ in held]], pa.list_(ids)), pa.array([x.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays([*cols, *([pa.array([at[1]], pa.int32())] if by else [])], names=names)
 
-        waiting: dict[int, list] = {}
+        waiting: dict[tuple, list] = {}
         ids = None
         for batch in batches:
             ids = batch.schema.field(0).type
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = waiting.setdefault(len(v), [])
+            groups = batch.column(2).to_pylist() if by else [0] * batch.num_rows
+            for i, v, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), groups, strict=True):
+                at = len(v), g
+                held = waiting.setdefault(at, [])
                 held.append((i, v))
                 if len(held) == rows:
-                    yield block(len(v), waiting.pop(len(v)))
-        for dim, held in waiting.items():
-            yield block(dim, held)
+                    yield block(at, waiting.pop(at))
+        for at, held in waiting.items():
+            yield block(at, held)
 
-    return df.select(key, "vec").where("vec is not null").mapInArrow(run, f"dim int, ids array<{kind}>, m binary")
+    columns = [key, "vec", *([F.col(by).cast("int")] if by else [])]
+    return df.select(*columns).where("vec is not null").mapInArrow(run, f"dim int, ids array<{kind}>, m binary" + (f", {by} int" if by else ""))
 
 
-def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
-    """corpus (id, vec), queries (qid, vec), ids of any type: qid, id, score (cosine to ten places), rank.
-
-    Both sides are packed into blocks; blocks of the corpus are dealt into as many groups as there are
-    shuffle partitions, and the queries' blocks, the smaller side, are sent to each. A task multiplies
-    two blocks at a time and keeps what can be among a query's k best, so no pair of a query and a row
-    becomes a row of a table. Vectors of different length don't meet; norms are taken once per side.
-    """
-    groups = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = _packed(corpus.select("id", unit(F.col("vec")).alias("vec")), "id", 4 * QUERY_BLOCK).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
-    q = _packed(queries.select("qid", unit(F.col("vec")).alias("vec")), "qid", QUERY_BLOCK).toDF("dim", "qids", "qm")
-    pairs = d.join(q.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))), ["g", "dim"])
-    kinds = corpus.schema["id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+def blocks_top_k(pairs: DataFrame, k: int) -> DataFrame:
+    """pairs of a block of rows (dim, ids, m) and one of queries (qids, qm): qid, id, score of what can be among a query's k best. Scores are rounded to ten places."""
+    kinds = [pairs.schema[c].dataType.elementType.simpleString() for c in ("qids", "ids")]
 
     def run(batches):
         import numpy as np
@@ -85,8 +80,23 @@ def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame
                 i, j = np.nonzero(s >= last[:, None])
                 yield pa.RecordBatch.from_arrays([pa.array(qids, qids_type).take(pa.array(i)), pa.array(ids, ids_type).take(pa.array(j)), pa.array(s[i, j])], names=["qid", "id", "score"])
 
-    scored = pairs.select("dim", "ids", "m", "qids", "qm").mapInArrow(run, f"qid {kinds[1]}, id {kinds[0]}, score double")
-    return top(scored.withColumn("score", F.round("score", 10)), k)
+    scored = pairs.select("dim", "ids", "m", "qids", "qm").mapInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, score double")
+    return scored.withColumn("score", F.round("score", 10))
+
+
+def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
+    """corpus (id, vec), queries (qid, vec), ids of any type: qid, id, score (cosine to ten places), rank.
+
+    Both sides are packed into blocks; blocks of the corpus are dealt into as many groups as there are
+    shuffle partitions, and the queries' blocks, the smaller side, are sent to each. A task multiplies
+    two blocks at a time and keeps what can be among a query's k best, so no pair of a query and a row
+    becomes a row of a table. Vectors of different length don't meet; norms are taken once per side.
+    """
+    groups = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = packed(corpus.select("id", unit(F.col("vec")).alias("vec")), "id").withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
+    q = packed(queries.select("qid", unit(F.col("vec")).alias("vec")), "qid", QUERY_BLOCK).toDF("dim", "qids", "qm")
+    pairs = d.join(q.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))), ["g", "dim"])
+    return top(blocks_top_k(pairs, k), k)
 
 
 def tokens(text: Column) -> Column:

@@ -46,7 +46,7 @@ PARSED = f"path string, error string, {S.LAYOUT_ITEM}"
 
 
 def parse_files(files: DataFrame, parser) -> DataFrame:
-    """Layout items from files by a provider: parser(path, content) yields (page_no, item_ord, kind, label, text, bbox). A file that fails gives one row with its error."""
+    """Layout items from files by a provider: parser(path, content) yields (page_no, item_ord, kind, label, text, bbox). A file that fails gives one row with its error, and none of what it gave before; a file without items one row without a kind."""
 
     def run(batches):
         import pandas as pd
@@ -55,7 +55,7 @@ def parse_files(files: DataFrame, parser) -> DataFrame:
         for pdf in batches:
             for path, content, doc in zip(pdf["path"], pdf["content"], pdf["doc_id"], strict=True):
                 try:
-                    rows = [(path, None, doc, *r) for r in parser(path, bytes(content))]
+                    rows = [(path, None, doc, *r) for r in parser(path, bytes(content))] or [(path, None, doc, None, None, None, None, None, None)]
                 except Exception as x:  # noqa: BLE001  a broken file must not stop the others
                     rows = [(path, f"{type(x).__name__}: {x}", doc, None, None, None, None, None, None)]
                 yield pd.DataFrame(rows, columns=names).astype({"page_no": "Int32", "item_ord": "Int64"})
@@ -69,7 +69,7 @@ def parsed(files: DataFrame, parser) -> DataFrame:
 
 
 def items_of(tried: DataFrame) -> DataFrame:
-    return tried.where("error is null").drop("path", "error")
+    return tried.where("error is null and kind is not null").drop("path", "error")
 
 
 def failures_of(tried: DataFrame) -> DataFrame:

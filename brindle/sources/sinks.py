@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.operators.index import last_by_key
+from brindle.sources import files
+from brindle.sources.store import Store
+
 
 def append(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("append").format(fmt).save(path)
@@ -18,18 +22,7 @@ def reset(df: DataFrame, path: str, fmt: str = "json", keep: bool = False) -> No
     df.limit(0).write.mode("ignore" if keep else "overwrite").format(fmt).save(path)
 
 
-def _fs(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _pointers(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the pointer files of a table, falling."""
-    at, fs = _fs(spark, root)
-    if not fs.exists(at):
-        return []
-    names = [x.getPath().getName() for x in fs.listStatus(at)]
-    return sorted((int(n.removeprefix("CURRENT-")) for n in names if n.startswith("CURRENT-")), reverse=True)
+_fs, _pointers = files.at, files.pointers
 
 
 def _pointed(spark: SparkSession, root: str) -> dict[str, str] | None:
@@ -37,14 +30,7 @@ def _pointed(spark: SparkSession, root: str) -> dict[str, str] | None:
     found = _pointers(spark, root)
     if not found:
         return None
-    at, fs = _fs(spark, f"{root}/CURRENT-{found[0]}")
-    size = fs.getFileStatus(at).getLen()
-    stream = fs.open(at)
-    try:
-        raw = bytes(x & 0xFF for x in (stream.readByte() for _ in range(size)))
-    finally:
-        stream.close()
-    return json.loads(raw)
+    return json.loads(files.text(spark, f"{root}/CURRENT-{found[0]}"))
 
 
 def _point(spark: SparkSession, root: str, to: dict[str, str]) -> None:
@@ -62,8 +48,10 @@ def _point(spark: SparkSession, root: str, to: dict[str, str]) -> None:
 def current(spark: SparkSession, root: str, doc_ids: list[str] | None = None) -> DataFrame | None:
     """The version of a table that its newest pointer names; of a bucketed one, only the buckets that can hold doc_ids are read, and only their rows returned."""
     to = _pointed(spark, root)
-    if to is None:
-        return None
+    if to is None or "tables" in to:  # a store: its points, or the table of it that root names
+        above, _, name = root.rstrip("/").rpartition("/")
+        held, name = (Store(spark, root), "points") if to else (Store(spark, above), name)
+        return held.read(name, None if doc_ids is None else spark.createDataFrame([(d,) for d in doc_ids], "doc_id string"))
     if "" in to:
         rows = spark.read.parquet(f"{root}/{to['']}")
     else:
@@ -151,6 +139,69 @@ def write_blobs(rows: DataFrame, root: str) -> DataFrame:
     return rows.select("asset_id", "file_path", F.col("blob").cast("binary").alias("blob")).mapInArrow(run, "asset_id string, file_path string, n_bytes long, error string")
 
 
+def expire(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Delete the pointers of a swapped table but for the newest `keep`, and the folders that none of these names; returns how many folders."""
+    found = _pointers(spark, root)
+    stay = found[: max(1, keep)]
+    used = {v.split("/")[0] for p in stay for k, v in json.loads(files.text(spark, f"{root}/CURRENT-{p}")).items() if k != "buckets"}
+    for p in found[len(stay) :]:
+        files.delete(spark, f"{root}/CURRENT-{p}")
+    gone = [n for n in files.names(spark, root, folders=True) if n.startswith("v-") and n not in used]
+    for n in gone:
+        files.delete(spark, f"{root}/{n}")
+    return len(gone)
+
+
+def save_blobs(rows: DataFrame, root: str) -> DataFrame:
+    """rows (asset_id, file_path, blob) as files below root, in two steps; returns asset_id, file_path, n_bytes, as written beside them.
+
+    First all blobs are written to a folder of this call; a call that fails there deletes it and leaves no
+    file. Then each is renamed into place, in tasks again; that step may be repeated. root is a folder or
+    URI that all executors see. Of rows that share a file_path one is written, the same in any plan.
+    """
+    spark, job = rows.sparkSession, uuid.uuid4().hex
+    stage = f"{root}/.staged-{job}"
+    once = last_by_key(rows.select("asset_id", "file_path", F.col("blob").cast("binary").alias("blob")), ["file_path"])
+
+    def steps(batches, put):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        where = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(3)]
+            for path, x in zip(cols[1], cols[2], strict=True):
+                put(*where, path, x)
+            size = cols[2] if batch.schema.field(2).name == "n_bytes" else [len(b or b"") for b in cols[2]]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(size, pa.int64())], names=["asset_id", "file_path", "n_bytes"])
+
+    def staged(fs_, base, path, blob):
+        to = f"{base}/.staged-{job}/files/{path}"
+        fs_.create_dir(to.rpartition("/")[0], recursive=True)
+        made = f"{to}.{uuid.uuid4().hex}.part"  # a task that runs again writes beside the first one
+        with fs_.open_output_stream(made) as f:
+            f.write(blob or b"")
+        fs_.move(made, to)
+
+    def placed(fs_, base, path, _):
+        from pyarrow import fs as kinds
+
+        made, to = f"{base}/.staged-{job}/files/{path}", f"{base}/{path}"
+        if fs_.get_file_info(made).type == kinds.FileType.NotFound:
+            return  # moved by this task's first run
+        fs_.create_dir(to.rpartition("/")[0], recursive=True)
+        fs_.move(made, to)
+
+    schema = "asset_id string, file_path string, n_bytes long"
+    try:
+        once.mapInArrow(lambda b: steps(b, staged), schema).write.parquet(f"{stage}/list")
+        listed = spark.read.schema(schema).parquet(f"{stage}/list")
+        listed.mapInArrow(lambda b: steps(b, placed), schema).write.parquet(f"{root}/_blobs/{job}")
+    finally:
+        files.delete(spark, stage)
+    return spark.read.schema(schema).parquet(f"{root}/_blobs/{job}")
+
+
 def report(stats: DataFrame, path: str, validation: DataFrame | None = None, run_id: str | None = None) -> None:
     """One JSON record; with the one row of a validation under its name, and the run's id."""
     if validation is not None:
