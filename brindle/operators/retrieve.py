@@ -117,14 +117,19 @@ def inverse_frequency(postings: DataFrame, n_docs: int) -> DataFrame:
 def sparse_encode(text: Column, terms: int = 2**31 - 1) -> Column:
     """The offline sparse encoder: struct<indices, values> of a text's terms (hashed into 0 .. terms - 1, sorted) and their counts; both arrays empty for an empty text."""
     at = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(terms)).cast("int"))
+    return let(F.array_sort(at), _counted)
 
-    def counted(run: Column) -> Column:
-        # in a sorted array, a run of equal indices ends where the next one begins
-        last = F.filter(F.sequence(F.lit(1), F.size(run)), lambda i: (i == F.size(run)) | (F.get(run, i) != F.get(run, i - 1)))
-        here = F.when(F.size(run) > 0, last).otherwise(F.array().cast("array<int>"))
-        return let(here, lambda ends: F.struct(F.transform(ends, lambda i: F.get(run, i - 1)).alias("indices"), F.transform(ends, lambda i, n: (i - F.coalesce(F.get(ends, n - 1), F.lit(0))).cast("float")).alias("values")))
 
-    return let(F.array_sort(at), counted)
+def _counted(run: Column) -> Column:
+    """A sorted array's distinct items and their counts; a run of equal items ends where the next one begins."""
+    last = F.filter(F.sequence(F.lit(1), F.size(run)), lambda i: (i == F.size(run)) | (F.get(run, i) != F.get(run, i - 1)))
+    here = F.when(F.size(run) > 0, last).otherwise(F.array().cast("array<int>"))
+    return let(here, lambda ends: F.struct(F.transform(ends, lambda i: F.get(run, i - 1)).alias("indices"), F.transform(ends, lambda i, n: (i - F.coalesce(F.get(ends, n - 1), F.lit(0))).cast("float")).alias("values")))
+
+
+def term_vector(text: Column) -> Column:
+    """struct<indices, values> of a text's terms themselves and their counts, for an index of words."""
+    return let(F.array_sort(tokens(F.coalesce(text, F.lit("")))), _counted)
 
 
 def sparse_postings(vectors: DataFrame, id_col: str = "id", col: str = "sparse") -> DataFrame:
@@ -226,6 +231,11 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(text))) / F.size(q)).otherwise(0.0)
 
 
+def overlap_of_terms(query: Column, terms: Column) -> Column:
+    """overlap_score of a query against a text's stored distinct terms."""
+    return let(F.array_distinct(tokens(query)), lambda q: F.when(F.size(q) > 0, F.size(F.array_intersect(q, terms)) / F.size(q)).otherwise(0.0))
+
+
 def rerank(candidates: DataFrame, n: int = 5, score: Column | None = None) -> DataFrame:
     """candidates (qid, id, query, text, rank, ...): the n best by rerank_score, ties by earlier rank.
 

@@ -12,7 +12,7 @@ change writes follows the change. All tables of an index are in one store, besid
 one commit: vectors (id, shard, terms, values), postings, terms (term, df; changes that add up, with
 the number of rows under a null term) and dead (id, shard).
 
-Values and weights must not be negative.
+Values must be more than 0, weights not less.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from brindle.sources.store import Change, Store
 
 #: Rows of a shard, about; shards that are scored before there is a threshold.
 SHARD, FIRST = 128, 4
+#: Queries of a block, about.
+QUERIES = 256
 
 
 def add(store: Store, change: Change, rows: DataFrame) -> int:
@@ -87,37 +89,83 @@ def weighted(store: Store, asked: DataFrame) -> DataFrame:
     return found.select("qid", "term", (F.col("tf") * idf).cast("double").alias("w"))
 
 
-def _scored(weights: DataFrame, postings: DataFrame, shards: DataFrame, dead: DataFrame | None) -> DataFrame:
-    """The rows of some shards (qid, shard) with their whole scores."""
-    opened = weights.join(shards, "qid").join(postings, ["term", "shard"])
-    rows = opened.select("qid", "shard", "w", F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("values").alias("value"))).alias("e"))
-    sums = rows.groupBy("qid", "shard", F.col("e.id").alias("id")).agg(F.round(F.sum(F.col("w") * F.col("e.value")), 10).alias("score"))
+def _asked(weights: DataFrame) -> DataFrame:
+    """weights by term, in blocks of some QUERIES queries: term, block, qids, ws."""
+    n = weights.select("qid").distinct().count()
+    block = F.pmod(F.xxhash64("qid"), F.lit(-(-n // QUERIES) or 1)).alias("block")
+    return weights.groupBy("term", block).agg(F.collect_list("qid").alias("qids"), F.collect_list("w").alias("ws"))
+
+
+def _scored(asked: DataFrame, postings: DataFrame, shards: DataFrame, dead: DataFrame | None, k: int) -> DataFrame:
+    """The rows of some shards (qid, block, shard) with their whole scores: a shard's postings of a block's terms are one product of two small matrices. Where no row is dead, only what can be among a query's k best is returned."""
+    kinds = [asked.schema["qids"].dataType.elementType.simpleString(), postings.schema["ids"].dataType.elementType.simpleString()]
+    most = k if dead is None else None
+
+    def product(rows, wanted):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def cells(name):
+            lists = rows.column(name).combine_chunks()
+            return lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+
+        qids = wanted.column("qid").combine_chunks()
+        (q, q_row), (w, _), (v, v_row) = cells("qids"), cells("ws"), cells("values")
+        ids = cells("ids")[0].dictionary_encode()
+        at = pc.index_in(q, value_set=qids)
+        some = at.is_valid().to_numpy(zero_copy_only=False)
+        left, right = np.zeros((len(qids), rows.num_rows)), np.zeros((rows.num_rows, len(ids.dictionary)))
+        left[at.drop_null().to_numpy(), q_row[some]] = w.to_numpy()[some]
+        right[v_row, ids.indices.to_numpy()] = v.to_numpy()
+        met = np.zeros_like(left, np.float32)
+        met[at.drop_null().to_numpy(), q_row[some]] = 1
+        score = np.where(met @ (right > 0) > 0, np.round(left @ right, 10), -np.inf)
+        least = np.full(len(score), -np.inf)
+        if most is not None and score.shape[1] > most and len(score):
+            least = np.partition(score, score.shape[1] - most, axis=1)[:, -most]
+        i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        n = pa.scalar(rows.column("shard")[0].as_py() if rows.num_rows else 0, pa.int64())
+        cols = [qids.take(pa.array(i)), pa.repeat(n, len(i)), ids.dictionary.take(pa.array(j)), pa.array(score[i, j])]
+        return pa.table(cols, names=["qid", "shard", "id", "score"])
+
+    opened = asked.join(postings.select("term", "shard", "ids", "values"), "term").join(shards.select("shard", "block").distinct(), ["shard", "block"], "left_semi")
+    new = [F.col(c).alias(f"_{c}") for c in ("shard", "block")]  # both sides come from one table: names of their own
+    both = opened.withColumns({"_shard": F.col("shard"), "_block": F.col("block")}).groupBy("_shard", "_block").cogroup(shards.select("qid", *new).groupBy("_shard", "_block"))
+    sums = both.applyInArrow(product, f"qid {kinds[0]}, shard long, id {kinds[1]}, score double")
     return sums if dead is None else sums.join(dead, ["id", "shard"], "left_anti")
 
 
+def _bounds(asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """qid, block, shard, bound (no row of the shard scores more), blocks (of postings that the query's terms have there)."""
+    met = asked.join(postings.select("term", "shard", "most"), "term").select("block", "shard", "most", F.explode(F.arrays_zip("qids", "ws")).alias("e"))
+    return met.groupBy(F.col("e.qids").alias("qid"), "block", "shard").agg(F.sum(F.col("e.ws") * F.col("most")).alias("bound"), F.count("*").alias("blocks"))
+
+
 def top_k(store: Store, weights: DataFrame, k: int = 50, scope: bool = False, first: int = FIRST) -> DataFrame:
     """weights (qid, term, w; a term at most once per query): qid, id, score (dot product), rank; rows that share no term never appear.
 
     With scope, only the buckets of postings that can hold the queries' terms are opened: for few queries.
     """
     postings, dead = store.read("postings", weights.select("term") if scope else None, exact=False), store.read("dead")
-    bounds = weights.join(postings.select("term", "shard", "most"), "term").groupBy("qid", "shard").agg(F.sum(F.col("w") * F.col("most")).alias("bound"))
-    begun = top(bounds, first, "qid", "bound", "shard").select("qid", "shard")
-    early = _scored(weights, postings, begun, dead)
+    asked = _asked(weights)
+    bounds = _bounds(asked, postings)
+    begun = top(bounds, first, "qid", "bound", "shard").select("qid", "block", "shard")
+    early = _scored(asked, postings, begun, dead, k)
     enough = top(early, k).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
     # bounds are sums in another order: a little more than rounding can take is allowed
     left = bounds.join(enough, "qid", "left").where(F.col("least").isNull() | (F.col("bound") * (1 + 1e-9) >= F.col("least")))
-    late = _scored(weights, postings, left.select("qid", "shard").join(begun, ["qid", "shard"], "left_anti"), dead)
+    late = _scored(asked, postings, left.select("qid", "block", "shard").join(begun, ["qid", "shard"], "left_anti"), dead, k)
     return top(early.unionByName(late).drop("shard"), k)
 
 
 def opened(store: Store, weights: DataFrame, k: int = 50, first: int = FIRST) -> DataFrame:
     """One row: blocks of postings that the queries' terms have, and those that top_k opens; what the maxima spare."""
     postings = store.read("postings")
-    met = weights.join(postings.select("term", "shard", "most"), "term").withColumn("part", F.col("w") * F.col("most"))
-    bounds = met.groupBy("qid", "shard").agg(F.sum("part").alias("bound"), F.count("*").alias("blocks"))
-    begun = top(bounds, first, "qid", "bound", "shard").select("qid", "shard", F.lit(True).alias("early"))
-    enough = top(_scored(weights, postings, begun.drop("early"), store.read("dead")), k).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
-    told = bounds.join(begun, ["qid", "shard"], "left").join(enough, "qid", "left")
+    asked = _asked(weights)
+    bounds = _bounds(asked, postings)
+    begun = top(bounds, first, "qid", "bound", "shard").select("qid", "block", "shard", F.lit(True).alias("early"))
+    enough = top(_scored(asked, postings, begun.drop("early"), store.read("dead"), k), k).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
+    told = bounds.join(begun.drop("block"), ["qid", "shard"], "left").join(enough, "qid", "left")
     reached = F.col("early") | F.col("least").isNull() | (F.col("bound") * (1 + 1e-9) >= F.col("least"))
     return told.agg(F.sum("blocks").alias("blocks"), F.sum(F.when(reached, F.col("blocks")).otherwise(0)).alias("opened"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
-from brindle.operators import evaluate, rag, retrieve
+from brindle.operators import evaluate, rag, retrieve, sparse_index
+from brindle.plans.corpus import corpus_index, kept
 from brindle.plans.registry import plan
 from brindle.sources.readers import table
 
@@ -58,17 +59,22 @@ def _corpus(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def _fused(spark, d):
-    return retrieve.hybrid(_corpus(spark, d), _vectors(spark, d), _queries(spark, d), _query_vectors(spark, d))
+def _sparse(spark, d):
+    """The best by shared terms, from the stored index of the documents."""
+    store = corpus_index(spark, d)
+    asked = retrieve.term_counts(_queries(spark, d), "qid").withColumnRenamed("id", "qid")
+    return sparse_index.top_k(store, sparse_index.weighted(store, asked)).withColumn("score", F.col("score").cast("long"))
 
 
-def _candidates(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang")
-    return _fused(spark, d).join(docs, "id").join(_queries(spark, d).withColumnRenamed("text", "query"), "qid")
+def _fused(spark, d):
+    return retrieve.fuse(retrieve.dense_top_k(_vectors(spark, d), _query_vectors(spark, d)), _sparse(spark, d))
 
 
 def _reranked(spark, d):
-    return retrieve.rerank(_candidates(spark, d), 5, retrieve.overlap_score(F.col("query"), F.col("content")))
+    """Candidates meet their stored terms; no text is read."""
+    terms = corpus_index(spark, d).read("vectors").select("id", "terms")
+    found = _fused(spark, d).join(terms, "id").join(_queries(spark, d).withColumnRenamed("text", "query"), "qid")
+    return retrieve.rerank(found, 5, retrieve.overlap_of_terms(F.col("query"), F.col("terms")))
 
 
 @plan(f"WITH {DENSE} SELECT qid, id, rank, round(score, 6) AS score FROM dense")
@@ -78,7 +84,7 @@ def dense_topk(spark, d):
 
 @plan(f"WITH {SPARSE} SELECT qid, id, rank, score FROM sparse")
 def sparse_topk(spark, d):
-    return retrieve.sparse_top_k(_corpus(spark, d), _queries(spark, d)).select("qid", "id", "rank", "score")
+    return _sparse(spark, d).select("qid", "id", "rank", "score")
 
 
 @plan(f"WITH {FUSED} SELECT qid, id, rank, round(rrf_score, 9) AS rrf_score, round(dense_score, 6) AS dense_score, round(coalesce(dense_score, sparse_score), 6) AS compat_dense_score FROM fused")
@@ -215,8 +221,10 @@ CONTEXT_DOCS = f"""{RERANKED}, cd AS (SELECT qid, id, rank, rerank_score, rrf_sc
 
 
 def _context_docs(spark, d):
+    """The reranked rows with their texts, retrieved once whatever uses them, however often."""
     i = F.col("id")
-    return _reranked(spark, d).select(
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return kept(_reranked(spark, d).join(texts, "id"), "context").select(
         "qid", "id", "rank", "rerank_score", "rrf_score", F.lit(None).cast("double").alias("score"), "content", i.cast("string").alias("chunk_id"), F.lit("text").alias("type"),
         F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("Manual "), i.cast("string"))).alias("title"), F.concat(F.lit("doc"), i.cast("string")).alias("doc_slug"),
         F.when(i % 3 != 0, (i % 7).cast("string")).alias("page_label"), (i % 9).alias("page_number"), F.when(i % 5 == 0, F.concat(F.lit("asset_"), i.cast("string"))).alias("linked_asset_id"),
