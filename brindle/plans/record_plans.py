@@ -31,23 +31,32 @@ def iso_times(spark, d):
     return table(spark, d, "orders").select("o_orderkey", ids.iso_seconds(F.col("o_orderdate").cast("timestamp")).alias("at"))
 
 
-@plan("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 7 ELSE doc_id % 10 END::INT AS first_index, CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 2.0 END AS first_value FROM documents")
+@plan(
+    """WITH v AS (SELECT vec_id, list_filter(range(len(embedding)), lambda i: embedding[i + 1] > 0.28) AS own, list_filter(range(len(embedding)), lambda i: embedding[i + 1] < -0.2) AS other, embedding FROM embeddings)
+  SELECT vec_id, array_to_string(CASE WHEN len(own) > 0 THEN own ELSE other END, ',') AS indices, round(coalesce(list_sum(list_transform(CASE WHEN len(own) > 0 THEN own ELSE other END, lambda i: embedding[i + 1]::DOUBLE)), 0), 6) AS total FROM v"""
+)
 def sparse_choice(spark, d):
-    """A stored sparse vector counts unless both of its arrays are empty or missing; every third one is."""
-    kind = "struct<indices:array<int>,values:array<float>>"
-    k = F.col("doc_id")
-    own = F.struct(F.when(k % 3 != 0, F.array((k % 10).cast("int"))).alias("indices"), F.when(k % 3 != 0, F.array(F.lit(2.0).cast("float"))).otherwise(F.array().cast("array<float>")).alias("values")).cast(kind)
-    other = F.struct(F.array(F.lit(7)).alias("indices"), F.array(F.lit(1.0).cast("float")).alias("values")).cast(kind)
-    chosen = _documents(spark, d).select("doc_id", index.choose_sparse(own, other).alias("s"))
-    return chosen.select("doc_id", F.col("s.indices")[0].alias("first_index"), F.col("s.values")[0].cast("double").alias("first_value"))
+    """A stored sparse vector (large components) counts unless both of its arrays are empty; then the other one (small components) does."""
+    e = table(spark, d, "embeddings")
+    cells = F.transform("embedding", lambda x, i: F.struct(i.cast("int").alias("i"), x.alias("x")))
+
+    def sparse(keep):
+        some = F.filter(cells, lambda c: keep(c["x"].cast("double")))
+        return F.struct(F.transform(some, lambda c: c["i"]).alias("indices"), F.transform(some, lambda c: c["x"]).alias("values"))
+
+    chosen = e.select("vec_id", index.choose_sparse(sparse(lambda x: x > 0.28), sparse(lambda x: x < -0.2)).alias("s"))
+    return chosen.select("vec_id", F.array_join("s.indices", ",").alias("indices"), F.round(F.aggregate("s.values", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@plan("SELECT doc_id, list_distinct_sorted AS members FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '0' || ',p' ELSE (doc_id % 5)::VARCHAR || ',p' || (doc_id % 5) END AS list_distinct_sorted FROM documents)")
+@plan(
+    """WITH m AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, ' '), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS m FROM conversations)
+  SELECT conv_id, turn, array_to_string(list_transform(list_filter(range(1, len(m) + 1), lambda i: list_position(m, m[i]) = i), lambda i: m[i]), ',') AS members FROM m"""
+)
 def safe_set(spark, d):
-    """Texts of mixed members, trimmed, without empty ones and repeats."""
-    n = (F.col("doc_id") % 5).cast("string")
-    members = F.array(F.concat(F.lit(" "), n), F.lit(None).cast("string"), F.lit(""), n, F.concat(F.lit("p"), F.when(F.col("doc_id") % 5 != 0, n).otherwise(F.lit(""))), F.lit("  "))
-    return _documents(spark, d).select("doc_id", F.array_join(T.safe_set(members), ",").alias("members"))
+    """The words of a message as members, with white space around some and nulls between: trimmed, in order, without empty ones and repeats."""
+    padded = F.transform(F.split("text", " "), lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("\t "), x)).when(i % 3 == 1, F.concat(x, F.lit("  "))).otherwise(x))
+    members = F.concat(padded, F.array(F.lit(None).cast("string"), F.lit(" ")))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.safe_set(members), ",").alias("members"))
 
 
 @plan(
@@ -111,11 +120,12 @@ def prune_counts(spark, d):
     return index.prune_counts(rows, rows.where("n % 7 <> 0 AND n % 40 < 30"))
 
 
-@plan("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'flat' END AS page_label, 'body' AS section, NULL::VARCHAR AS absent FROM documents")
+@plan("SELECT change_id, city AS page_label, segment AS section, NULL::VARCHAR AS absent FROM client_changes")
 def flat_or_nested(spark, d):
-    """A flat column counts even where it is null; without one the nested field does."""
-    rows = _documents(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, "flat").alias("page_label"), F.struct(F.lit("nested").alias("page_label"), F.lit("body").alias("section")).alias("metadata"))
-    return rows.select("doc_id", *[index.meta(rows, k).alias(k) for k in ("page_label", "section", "absent")])
+    """A flat column counts even where it is null; without one the nested field does, and without both null."""
+    c = table(spark, d, "client_changes")
+    rows = c.select("change_id", F.col("city").alias("page_label"), F.struct(F.col("source").alias("page_label"), F.col("segment").alias("section")).alias("metadata"))
+    return rows.select("change_id", *[index.meta(rows, k).alias(k) for k in ("page_label", "section", "absent")])
 
 
 @plan("SELECT conv_id::VARCHAR || '-' || turn AS id, conv_id::VARCHAR AS chat_id, role, text AS content, CASE WHEN turn % 2 = 0 THEN 2 ELSE 0 END AS n_sources FROM conversations")
@@ -127,11 +137,12 @@ def message_views(spark, d):
     return chat.message_view(rows).select("id", "chat_id", "role", "content", F.size("sources").alias("n_sources"))
 
 
-@plan("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'c,d' WHEN 1 THEN '' ELSE 'a,b,c,d' END AS missing FROM documents")
+@plan(
+    """SELECT click_id, array_to_string(list_filter(['device', 'items', 'k', 'other', 'tags'], lambda x: NOT list_contains(CASE WHEN json_valid(props) AND json_type(props) = 'OBJECT' THEN json_keys(props) ELSE [] END, x)), ',') AS missing FROM clicks"""
+)
 def gold_missing_keys(spark, d):
-    k = F.col("doc_id") % 3
-    record = F.when(k == 0, F.lit('{"a": 1, "b": null}')).when(k == 1, F.lit('{"d": 1, "c": {}, "b": [], "a": 0, "e": 2}')).otherwise(F.lit("[1]"))
-    return _documents(spark, d).select("doc_id", F.array_join(evaluate.missing_keys(record, ("a", "b", "c", "d")), ",").alias("missing"))
+    """Records of all shapes, broken and null ones too; the keys that each lacks, in order."""
+    return table(spark, d, "clicks").select("click_id", F.array_join(evaluate.missing_keys(F.col("props"), ("k", "device", "tags", "items", "other")), ",").alias("missing"))
 
 
 @plan(
@@ -169,11 +180,16 @@ def sparse_encoded(spark, d):
     return s.select("doc_id", F.size("s.indices").cast("long").alias("n_terms"), F.aggregate("s.values", F.lit(0.0), lambda a, x: a + x).alias("n_words"))
 
 
-@plan("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'undecodable' WHEN (doc_id % 10) * 1000 * 5000 > 40000000 THEN 'too_many_pixels' END AS problem FROM documents")
+@plan(
+    """WITH i AS (SELECT doc_id, n_chars % 9001 AS w, (7 * n_chars + doc_id) % 12007 AS h FROM documents)
+  SELECT doc_id, w AS width, h AS height, CASE WHEN w * h = 0 THEN 'undecodable' WHEN w * h > 40000000 THEN 'too_many_pixels' END AS problem FROM i"""
+)
 def image_rules(spark, d):
-    """PNG heads of (doc_id mod 10) thousand by 5000 pixels."""
-    head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.lpad(F.hex(F.col("doc_id") % 10 * 1000), 8, "0"), F.lit("000013880806000000"))
-    return _documents(spark, d).select("doc_id", assets.image_problem(F.unhex(head)).alias("problem"))
+    """PNG heads whose width and height follow a document's length."""
+    w, h = F.col("n_chars") % 9001, (7 * F.col("n_chars") + F.col("doc_id")) % 12007
+    head = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.lpad(F.hex(w), 8, "0"), F.lpad(F.hex(h), 8, "0"), F.lit("0806000000")))
+    size = assets.image_size(head)
+    return table(spark, d, "documents").select("doc_id", size["width"].cast("long").alias("width"), size["height"].cast("long").alias("height"), assets.image_problem(head).alias("problem"))
 
 
 @plan("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE '{"a": ' || doc_id || ', "b": [1, "}"]}' END AS json FROM documents""")

@@ -169,3 +169,54 @@ def test_density_reason_digits(spark):
     df = spark.createDataFrame([("abc " + "#" * 16 + " d",)], "t string")
     reasons = df.select(T.quality(F.col("t"), F.lit("text"))["reasons"]).first()[0]
     assert "low_text_density (0.18)" in reasons
+
+
+def test_image_placements_and_search(spark):
+    from brindle.operators import layout, retrieve
+
+    pages = spark.createDataFrame([("d", 1, [(7, [[0.0, 0.0, 1.0, 1.0], [2.0, 2.0, 3.0, 3.0]]), (8, [])]), ("d", 2, None)], "doc_id string, page_no int, images array<struct<xref:int,rects:array<array<double>>>>")
+    assert [(r.page_no, r.xref, r.rect_no, r.bbox) for r in layout.placements(pages).orderBy("rect_no").collect()] == [(1, 7, 0, [0.0, 0.0, 1.0, 1.0]), (1, 7, 1, [2.0, 2.0, 3.0, 3.0])]
+    images = [bytes([n]) * 9 for n in range(4)]
+    held = spark.createDataFrame([(f"a{n}", bytearray(b)) for n, b in enumerate(images)], "id string, image binary").select("id", providers.image_embedding(F.col("image")).alias("vec"))
+    asked = spark.createDataFrame([(1, bytearray(images[2])), (2, None)], "qid int, image binary")
+    got = retrieve.search_images(held, asked, providers.image_embedding, "image", 3, None).orderBy("rank").collect()
+    assert (got[0].qid, got[0].id, got[0].score) == (1, "a2", 1.0) and {r.qid for r in got} == {1}
+
+
+def test_chat_view_and_windowed_counts(spark, tmp_path):
+    from brindle.operators import chat
+
+    chats = spark.createDataFrame([("c", "T", "2024-01-01", "2024-01-02", "x")], "chat_id string, title string, created_at string, updated_at string, secret string")
+    assert chat.chat_view(chats).first().asDict() == {"id": "c", "title": "T", "created_at": "2024-01-01", "updated_at": "2024-01-02"}
+    events = spark.createDataFrame([("2024-01-01 00:01:00", "a"), ("2024-01-01 00:04:59", "a"), ("2024-01-01 00:05:00", "a")], "ts string, event_type string").select(F.to_timestamp("ts").alias("ts"), "event_type")
+    assert sorted(r.n for r in incremental.windowed_counts(events).collect()) == [1, 2]
+    events.write.parquet(str(tmp_path / "e"))
+    once = incremental.new_documents(incremental.read_stream(spark, str(tmp_path / "e"), "ts timestamp, event_type string"), "event_type")
+    once.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 1
+
+
+def test_captions_are_tried_again(spark, tmp_path):
+    """A service that fails twice is asked a third time, each wait twice the one before; one that never answers gives null."""
+    import time
+
+    folder = str(tmp_path)
+
+    def ask(image):
+        import os
+        import time
+
+        image = bytes(image).decode()
+        with open(os.path.join(folder, image), "a") as f:
+            f.write(f"{time.time()}\n")
+        if image == "never" or len(open(os.path.join(folder, image)).readlines()) < 3:
+            raise OSError("busy")
+        return f"caption of {image}"
+
+    rows = spark.createDataFrame([(bytearray(b"slow"),), (bytearray(b"never"),)], "image binary").coalesce(1)
+    began = time.time()
+    got = {bytes(r.image).decode(): r.c for r in rows.select("image", providers.captioner(ask, 3, 0.2)(F.col("image")).alias("c")).collect()}
+    assert got == {"slow": "caption of slow", "never": None} and time.time() - began >= 1.2
+    for name in got:
+        at = [float(x) for x in (tmp_path / name).read_text().split()]
+        assert len(at) == 3 and at[1] - at[0] >= 0.2 and at[2] - at[1] >= 0.4
