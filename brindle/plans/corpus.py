@@ -16,7 +16,7 @@ from brindle.sources.store import Store
 _BUILT: dict[tuple, Store] = {}
 
 
-def _own_folder(spark: SparkSession, name: str) -> str:
+def own_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one, which goes when the application ends."""
     root = f"{shared_dir(spark)}/brindle-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     at, fs = files.at(spark, root)
@@ -31,7 +31,7 @@ def corpus_index(spark: SparkSession, folder: str) -> Store:
     state = tuple(sorted(files.times(spark, f"{folder}/documents.parquet").items())) if status.isDirectory() else (status.getLen(), status.getModificationTime())
     key = (spark.sparkContext.applicationId, folder, state)
     if key not in _BUILT:
-        store = Store(spark, _own_folder(spark, "corpus"))
+        store = Store(spark, own_folder(spark, "corpus"))
         docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), retrieve.term_vector(F.col("text")).alias("v"))
         with store.commit() as c:
             sparse_index.add(store, c, docs.select("id", F.col("v.indices").alias("terms"), F.col("v.values").alias("values")))
@@ -41,6 +41,6 @@ def corpus_index(spark: SparkSession, folder: str) -> Store:
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: what follows may use it twice and computes it once."""
-    path = _own_folder(df.sparkSession, name)
+    path = own_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
