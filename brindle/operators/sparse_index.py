@@ -29,13 +29,14 @@ SHARD, FIRST = 128, 4
 QUERIES = 256
 
 
-def add(store: Store, change: Change, rows: DataFrame) -> int:
-    """rows (id, terms array, values array of the same length; a term at most once per row) in place of those with their ids; returns how many."""
+def add(store: Store, change: Change, rows: DataFrame, fresh: bool = False) -> int:
+    """rows (id, terms array, values array of the same length; a term at most once per row) in place of those with their ids; returns how many. fresh: the index is new, or begun anew, and holds none of them."""
     n = rows.count()
     base = change.state["marks"].get("shards", 0)
     shards = -(-n // SHARD)
     change.state["marks"]["shards"] = base + shards
-    _bury(store, change, rows.select("id"))
+    if not fresh:
+        _bury(store, change, rows.select("id"))
     place = F.lit(base) + F.pmod(F.xxhash64("id"), F.lit(max(1, shards)))
     vectors = rows.select("id", place.cast("long").alias("shard"), "terms", F.transform("values", lambda v: v.cast("double")).alias("values"))
     n = change.upsert("vectors", vectors, ["id"], by="id")
@@ -75,6 +76,21 @@ def _bury(store: Store, change: Change, ids: DataFrame) -> int:
     return n
 
 
+def rebuild(store: Store, share: float = 0.0) -> bool:
+    """The index anew from the vectors that it holds, without dead rows and with full shards; only where more than a share of its rows are dead. Returns whether it was."""
+    tables = store.head()["tables"]
+    rows = lambda name: sum(x["rows"] for x in tables.get(name, {"layers": []})["layers"])
+    if rows("dead") <= share * rows("vectors"):
+        return False
+    held = store.read("vectors").select("id", "terms", "values")
+    with store.commit() as c:
+        for name in ("vectors", "postings", "terms", "dead"):
+            c.state["tables"].pop(name, None)
+        c.state["marks"]["shards"] = 0
+        add(store, c, held, fresh=True)
+    return True
+
+
 def statistics(store: Store) -> DataFrame:
     """term, df: the rows that hold each term; under a null term, how many rows there are."""
     return store.read("terms").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")

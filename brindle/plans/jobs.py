@@ -156,9 +156,9 @@ def index_assets(spark: SparkSession, manifest: DataFrame, docs: DataFrame, chun
 
 
 def maintain(spark: SparkSession, root: str, share: float = 0.2, keep: int = 2, hours: float = 24.0) -> dict:
-    """Fold the changes of a store's tables where they are more than a share of the rows, and delete old versions."""
+    """Fold the changes of a store's tables where they are more than a share of the rows, rebuild a sparse index of which more than that share is dead, and delete old versions."""
     store = Store(spark, root)
-    return {"compacted": store.compact(share=share), "deleted": store.expire(keep, hours)}
+    return {"rebuilt": sparse_index.rebuild(store, share), "compacted": store.compact(share=share), "deleted": store.expire(keep, hours)}
 
 
 def evaluate_run(gold: DataFrame, retrieved: DataFrame, k_values: list[int], elements: DataFrame | None = None) -> DataFrame:

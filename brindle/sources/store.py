@@ -100,15 +100,15 @@ class Store:
         """Whether a batch of a stream has been committed: one that is replayed has nothing to add."""
         return self.head()["marks"].get(stream, -1) >= batch
 
-    def compact(self, *names: str, share: float = 0.0) -> list[str]:
-        """Fold the changes of tables into whole rows; only where they are more than a share of the whole rows. Returns the tables' names."""
+    def compact(self, *names: str, share: float = 0.0, most: int = 16) -> list[str]:
+        """Fold the layers of tables into one of whole rows, where the changes are more than a share of the whole rows or there are more than `most` layers. Returns the tables' names."""
         state = self.head()
         done = []
         for name in names or sorted(state["tables"]):
             spec = state["tables"][name]
             changed = sum(x["rows"] for x in spec["layers"] if x["changes"])
             whole = sum(x["rows"] for x in spec["layers"] if not x["changes"])
-            if changed and changed > share * whole:
+            if changed > share * whole or len(spec["layers"]) > most:
                 with self.commit() as c:
                     c.replace(name, self.read(name), spec["keys"], spec["by"], spec["buckets"])
                 done.append(name)

@@ -70,6 +70,8 @@ def test_sparse_index(spark, tmp_path):
     rare = next(t for t in sorted({t for v in held.values() for t in v[0]}) if sum(t in v[0] for v in held.values()) in (3, 4))
     told = sparse_index.opened(s, spark.createDataFrame([(0, 1, 0.1), (0, rare, 10.0)], weights.schema), 3, first=3).first()
     assert told.opened < 0.7 * told.blocks
+    assert sparse_index.rebuild(s, 0.5) is False and sparse_index.rebuild(s) and s.read("dead") is None and s.head()["marks"]["shards"] == -(-len(held) // sparse_index.SHARD)
+    check(10)
     plan = sparse_index.top_k(s, weights, 5)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan and "/vectors/" not in plan
 

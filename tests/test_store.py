@@ -37,6 +37,10 @@ def test_upserts_and_tombstones(spark, tmp_path):
     assert rows_of(s.read("t", version=1), "chunk_id", "v") == [("1", 1), ("2", 2), ("3", 4)]
     assert s.compact() == ["t"] and s.compact() == [] and rows_of(s.read("t"), "chunk_id", "v") == want
     assert all(not x["changes"] for x in s.head()["tables"]["t"]["layers"])
+    for n in range(3):
+        with s.commit() as c:
+            c.append("log", spark.createDataFrame([(n,)], "n int"))
+    assert s.compact("log", most=2) == ["log"] and len(s.head()["tables"]["log"]["layers"]) == 1 and rows_of(s.read("log"), "n") == [(0,), (1,), (2,)]
     one = spark.createDataFrame([("a",)], "doc_id string")
     assert rows_of(s.read("t", one), "chunk_id") == [("1",), ("2",)]
     with pytest.raises(ValueError):
