@@ -9,7 +9,7 @@ from brindle.plans import jobs
 from brindle.plans.corpus import own_folder
 from brindle.plans.registry import plan
 from brindle.plans.retrieval_plans import DENSE, TOKENS
-from brindle.sources import ledger, readers, sinks
+from brindle.sources import document_source, ledger, readers, sinks
 from brindle.sources.chats import Chats
 from brindle.sources.readers import table
 from brindle.sources.store import Store
@@ -134,3 +134,17 @@ def ingest_failures(spark, d):
     page = F.regexp_extract(F.col("path"), "page-(\\d+)", 1).cast("long").alias("page_id")
     held = store.read("documents").select(F.col("source_uri").alias("path")).select(page, F.lit(1).alias("registered"), F.lit(0).alias("tries"), F.lit(None).cast("string").alias("error"))
     return held.unionByName(store.read("failures").select(page, F.lit(0).alias("registered"), "tries", "error"))
+
+
+@plan(
+    """SELECT page_id, CASE WHEN html LIKE '%lang="de"%' THEN 'ValueError: no parser for .bin files' END AS error, CASE WHEN html LIKE '%lang="de"%' THEN 0 ELSE 1 END AS parsed FROM pages"""
+)
+def document_files(spark, d):
+    """Pages as files, German ones of a kind without a parser, read by the data source of documents: an outcome for each file."""
+    raw = own_folder(spark, "files")
+    suffix = F.when(F.col("html").contains('lang="de"'), ".bin").otherwise(".html")
+    name = F.concat(F.lit("page-"), F.col("page_id").cast("string"))
+    sinks.save_blobs(table(spark, d, "pages").select(name.alias("asset_id"), F.concat(name, suffix).alias("file_path"), F.col("html").cast("binary").alias("blob")), raw)
+    tried = document_source.documents(spark, raw, pattern="page-*", bytes=str(2**20))
+    page = F.regexp_extract("path", "page-(\\d+)", 1).cast("long").alias("page_id")
+    return tried.groupBy(page).agg(F.max("error").alias("error"), F.max((F.col("kind").isNotNull()).cast("int")).alias("parsed"))

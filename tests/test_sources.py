@@ -83,3 +83,25 @@ def test_every_query_has_columns(spark):
     assert set(o) <= set(q) and len(q) > 50
     df = e.entry(spark)
     assert df.limit(1).count() == 1
+
+
+def test_document_source(spark, tmp_path):
+    """Files in ranges, one task each; files that can't be parsed are rows with an error."""
+    from brindle.sources import document_source
+
+    (tmp_path / "sub").mkdir()
+    for n in range(6):
+        (tmp_path / "sub" / f"{n}.md").write_text(f"# Title {n}\n\nText {n}")
+    (tmp_path / "bad.pdf").write_bytes(b"%PDF")
+    (tmp_path / "empty.txt").write_bytes(b"")
+    rows = document_source.documents(spark, str(tmp_path), bytes="40")
+    assert rows.rdd.getNumPartitions() >= 3
+    tried = rows.cache()
+    assert sorted((r.kind, r.label, r.text) for r in readers.items_of(tried).collect()) == sorted(x for n in range(6) for x in (("text", "SECTION_HEADER", f"Title {n}"), ("text", "TEXT", f"Text {n}")))
+    failed = readers.failures_of(tried).collect()
+    assert [(r.path.rpartition("/")[2], r.error) for r in failed] == [("bad.pdf", "ValueError: no parser for .pdf files")] and len(failed[0].doc_id) == 32
+    assert tried.where("path like '%empty.txt'").count() == 1
+    plain = readers.parse_files(readers.raw_files(spark, str(tmp_path), "*"), readers.plain_parser)
+    key = lambda df: sorted((r.doc_id, r.error or "", r.text or "", r.item_ord or 0) for r in df.collect())
+    assert key(plain) == key(tried.where("path not like '%empty.txt'")), "Spark's binary reader leaves empty files out"
+    assert document_source.documents(spark, str(tmp_path), pattern="*.md").select("path").distinct().count() == 6
