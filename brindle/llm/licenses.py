@@ -1,18 +1,21 @@
 """License scan by exact set-similarity join, in DataFrame functions alone.
 
-A block is a line of a text, or a run of up to MOST_LINES adjacent lines that have MOST_WORDS words
-at most together, since notices are wrapped; comment leaders are no words. Its set holds its distinct
-words. Every block that contains at least THRESHOLD of a template's distinct words is found. Words are
-ordered by the number of documents that hold them, rarest first, over the whole table. A block that
-has need = ceil(THRESHOLD * |template|) words of a template must hold one of the template's first
-|template| - need + 1 words (prefix filter); it must have at least need words (length filter); and
-from the first shared prefix word on, both sets must have enough words left (positional filter). What
-remains is counted exactly. Of a longer run, only one that begins and ends with a line that adds a
-word of some template is looked at: any other has the words of a shorter one.
-
-labels lists each template that is met; one whose words are all among another's (the general notice
-of a family and its variants) is met wherever the other is. specific leaves it out where, in the same
-block, a wider one is met at least as fully.
+A block is a run of adjacent words of a text, however they are wrapped; comment leaders are no words.
+Of a template of n words, repeats counted, a block has at most n / THRESHOLD of them, so words that
+are scattered through a long line or text make no notice. Every block that contains at least
+THRESHOLD of a template's distinct words is found, at each of its words that begins one.
+
+Words are ordered by the number of documents that hold them, rarest first, over the whole table. A
+block that has need = ceil(THRESHOLD * |template|) words of a template must hold one of the template's
+first |template| - need + 1 words (prefix filter). Each place of such a word in a text is joined with
+the templates that it leads; the words around it must hold need of the template's (length filter).
+Only blocks of which this is the first prefix word are looked at there, so each is met once; from the
+previous prefix word's place on, enough of the template's words must be left (positional filter). What
+remains is counted exactly.
+
+labels lists each template that is met. specific leaves one out where its words are all among another's
+(the general notice of a family and its variants) and a block of the other covers it and is met at
+least as fully.
 
 Beside the join, phrases stand where their words follow one another, whatever lies between words.
 
@@ -29,11 +32,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import let, stored
+from brindle.llm.common import stored
 
 THRESHOLD = 0.9
-#: Lines and words of a run of lines.
-MOST_LINES, MOST_WORDS = 6, 96
 #: Fixed phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Notices as their licenses word them, and the labels that a block containing them gets.
@@ -55,6 +56,19 @@ TEMPLATES = (
     ("gpl-warranty", "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("bsd-disclaimer", "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    (
+        "mit-body",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "The Software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software.",
+    ),
+    (
+        "bsd-body",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage.",
+    ),
     ("no-reuse", "All rights reserved. No part of this publication may be reproduced"),
 )
 #: Characters outside words, before lower-casing.
@@ -62,9 +76,19 @@ GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-case words, in order."""
+    return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+
+
 def tokens(text: str) -> list[str]:
     """Distinct lower-case words in order of appearance."""
-    return list(dict.fromkeys(w for w in re.split("[^a-z0-9]+", text.lower()) if w))
+    return list(dict.fromkeys(words_of(text)))
+
+
+def width_of(text: str, threshold: float = THRESHOLD) -> int:
+    """Words of a template's longest block."""
+    return math.floor(len(words_of(text)) / threshold + 1e-9)
 
 
 def word_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -76,74 +100,62 @@ def word_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def prefixes(frequency: dict[str, int], templates=TEMPLATES, threshold: float = THRESHOLD) -> list[dict]:
-    """Per template: its words in global order, how many a block needs, and the prefix."""
+    """Per template: its words in global order, how many a block needs, the longest block, the prefix, and the templates that have all its words and more."""
     order = {w: i for i, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
     out = []
     for label, text in templates:
         words = sorted(tokens(text), key=order.__getitem__)
         need = math.ceil(threshold * len(words) - 1e-9)
-        out.append({"label": label, "words": words, "need": need, "prefix": words[: len(words) - need + 1]})
+        out.append({"label": label, "words": words, "need": need, "width": width_of(text, threshold), "prefix": words[: len(words) - need + 1]})
+    for p in out:
+        # one whose blocks are shorter can't cover this one's
+        p["wider"] = [(o["words"], o["need"], o["width"]) for o in out if set(p["words"]) < set(o["words"]) and o["width"] >= p["width"]]
+        p["reach"] = max([p["width"], *(w for _, _, w in p["wider"])])
     return out
 
 
+INDEX = "word string, label string, template array<string>, prefix array<string>, need int, width int, reach int, wider array<struct<template:array<string>,need:int,width:int>>"
+
+
 def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per block and template that meets the threshold: doc_id, block (its first line), n_lines, label, containment, specific."""
+    """One row per place and template where a block begins that meets the threshold: doc_id, label, at (its first word's place), containment, specific."""
     vocabulary = sorted({w for _, t in templates for w in tokens(t)})
-    frequency = word_frequencies(docs, vocabulary)
-    plans = prefixes(frequency, templates, threshold)
-    in_order = sorted(frequency, key=lambda w: (frequency[w], w))
-    starts = sorted({w for p in plans for w in p["prefix"]})
+    plans = prefixes(word_frequencies(docs, vocabulary), templates, threshold)
+    leads = sorted({w for p in plans for w in p["prefix"]})
     low = docs.select(docs["doc_id"].alias("doc_id"), F.lower(docs["text"]).alias("low"))
     # a text without any prefix word has no matching block
     edge = GAP[:-1]
-    some = low.where(F.col("low").rlike(f"(?:^|{edge})(?:{'|'.join(map(re.escape, starts))})(?:$|{edge})"))
-
-    def words(line: Column) -> Column:
-        # the words of a line that some template has: others never add to an overlap
-        return let(F.filter(F.split(line, GAP), lambda w: w != ""), lambda all_: F.struct(F.array_intersect(F.lit(in_order), all_).alias("w"), F.size(all_).alias("n")))
-
-    def runs(lines: Column) -> Column:
-        def at(i: Column) -> Column:
-            spans = F.sequence(F.lit(1), F.least(F.lit(MOST_LINES), F.size(lines) - i))
-            return F.transform(spans, lambda k: let(F.slice(lines, i + 1, k), lambda part: F.struct(i.alias("block"), k.alias("n_lines"), (k == 1) | (F.aggregate(part, F.lit(0), lambda n, x: n + x["n"]) <= MOST_WORDS), F.array_distinct(F.flatten(F.transform(part, lambda x: x["w"]))).alias("w"), F.element_at(part, -1)["w"].alias("last"))))
-
-        from_here = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.size(F.get(lines, i)["w"]) > 0)
-        return F.flatten(F.transform(from_here, at))
-
-    least = min(p["need"] for p in plans)
-    found = some.select("doc_id", F.explode(let(F.transform(F.split("low", "\n"), words), runs)).alias("r")).select("doc_id", "r.*").toDF("doc_id", "block", "n_lines", "short", "w", "last")
-    blocks = found.where(F.col("short") & (F.size("last") > 0) & (F.size("w") >= least) & F.arrays_overlap("w", F.lit(starts)))
-    # rarest first
-    blocks = blocks.select("doc_id", "block", "n_lines", F.array_intersect(F.lit(in_order), F.col("w")).alias("words"))
-    spark = docs.sparkSession
+    some = low.where(F.col("low").rlike(f"(?:^|{edge})(?:{'|'.join(map(re.escape, leads))})(?:$|{edge})"))
+    words = some.select("doc_id", F.array_remove(F.split("low", GAP), "").alias("words"))
     # the inverted index over the templates' prefixes: its size is fixed by the templates
-    index = spark.createDataFrame([(w, i, p["label"], p["words"], p["need"]) for p in plans for i, w in enumerate(p["prefix"])], "word string, place int, label string, template array<string>, need int")
-    probe = blocks.select("doc_id", "block", "n_lines", "words", F.posexplode("words").alias("at", "probe"))
+    index = docs.sparkSession.createDataFrame([(w, p["label"], p["words"], p["prefix"], p["need"], p["width"], p["reach"], p["wider"]) for p in plans for w in p["prefix"]], INDEX)
+    # outer, lest a filter on the words' number split the text a second time; the join drops what is null
+    probe = words.select("doc_id", "words", F.posexplode_outer("words").alias("place", "probe"))
     met = probe.join(F.broadcast(index), F.col("probe") == F.col("word"))
-    # length filter, and for the first shared word the positional one: enough must be left on both sides
-    met = met.where((F.size("words") >= F.col("need")) & (F.size("words") - F.col("at") >= F.col("need")) & (F.size("template") - F.col("place") >= F.col("need")))
-    left = F.size(F.array_intersect("words", F.slice("template", F.col("place") + 1, F.size("template"))))
-    first = met.groupBy("doc_id", "block", "n_lines", "label", "template", "need", "words").agg(F.min("place").alias("place"))
-    shared = first.withColumn("shared", left).where(F.col("shared") >= F.col("need"))
-    hits = shared.groupBy("doc_id", "block", "n_lines").agg(F.collect_list(F.struct("label", (F.col("shared") / F.size("template")).alias("containment"))).alias("hits"))
-    wider = wider_than(templates)
-
-    def general(h: Column, all_: Column) -> Column:
-        out = F.lit(False)
-        for label, more in wider.items():
-            at_least = F.filter(all_, lambda o: o["containment"] >= h["containment"])
-            out = out | ((h["label"] == label) & F.arrays_overlap(F.transform(at_least, lambda o: o["label"]), F.lit(more)))
-        return out
-
-    told = F.transform("hits", lambda h: F.struct(h["label"].alias("label"), h["containment"].alias("containment"), (~general(h, F.col("hits"))).alias("specific")))
-    return hits.select("doc_id", "block", "n_lines", F.explode(told).alias("h")).select("doc_id", "block", "n_lines", "h.*")
-
-
-def wider_than(templates=TEMPLATES) -> dict[str, list[str]]:
-    """Of each template whose distinct words are all among others': the labels of those."""
-    sets = [(label, set(tokens(t))) for label, t in templates]
-    found = {label: [other for other, more in sets if own < more] for label, own in sets}
-    return {label: more for label, more in found.items() if more}
+    from_ = F.greatest(F.col("place") - F.col("reach") + 1, F.lit(0))
+    around = F.slice("words", from_ + 1, F.col("place") - from_ + F.col("reach"))
+    near = met.select("doc_id", "label", "template", "prefix", "need", "width", "wider", from_.alias("from_"), (F.col("place") - from_).alias("centre"), around.alias("around"))
+    near = near.where(F.size(F.array_intersect("template", "around")) >= F.col("need"))
+    # blocks that begin up to the previous prefix word's place have that one first
+    lowest = F.greatest(F.col("centre") - F.col("width") + 1, F.lit(0))
+    led = F.transform(F.slice("around", lowest + 1, F.col("centre") - lowest), lambda w, i: F.when(F.array_contains("prefix", w), i))
+    near = near.withColumn("first", lowest + F.coalesce(F.array_max(led), F.lit(-1)) + 1)
+    left = F.slice("around", F.col("first") + 1, F.col("centre") - F.col("first") + F.col("width"))
+    near = near.where(F.size(F.array_intersect("template", left)) >= F.col("need"))
+
+    def shared(template: Column, width: Column, at: Column) -> Column:
+        return F.size(F.array_intersect(template, F.slice("around", at + 1, width)))
+
+    starts = F.filter(F.sequence("first", "centre"), lambda j: F.array_contains("template", F.get("around", j)))
+    counted = F.transform(starts, lambda j: F.struct(j.alias("j"), shared(F.col("template"), F.col("width"), j).alias("n")))
+    blocks = near.withColumn("b", F.explode(F.filter(counted, lambda b: b["n"] >= F.col("need"))))
+
+    def covers(o: Column, at: Column) -> Column:
+        n = shared(o["template"], o["width"], at)
+        return (n >= o["need"]) & (n * F.size("template") >= F.col("b.n") * F.size(o["template"]))
+
+    covered = F.exists("wider", lambda o: F.exists(F.sequence(F.greatest(F.col("b.j") + F.col("width") - o["width"], F.lit(0)), F.col("b.j")), lambda k: covers(o, k)))
+    return blocks.select("doc_id", "label", (F.col("from_") + F.col("b.j")).alias("at"), (F.col("b.n") / F.size("template")).alias("containment"), (~covered).alias("specific"))
 
 
 def phrase_places(text: Column, phrases=PHRASES) -> Column:

@@ -47,15 +47,21 @@ SELECT doc_id, len(s0) AS n_assign, len(s1) AS n_access, len(s2) AS n_hex, sha25
 
 _WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _PLACES = ", ".join(f"(list_transform(list_filter(range(1, len(w) + 1), lambda i: array_to_string(w[i:i + {len(p.split()) - 1}], ' ') = '{p}'), lambda i: {{'i': i - 1, 'l': '{label}'}}))" for p, label in licenses.PHRASES)
-_TEMPLATES = ", ".join(f"({_text(label)}, [{', '.join(map(_text, licenses.tokens(t)))}])" for label, t in licenses.TEMPLATES)
+_TEMPLATES = ", ".join(f"({_text(label)}, [{', '.join(map(_text, licenses.tokens(t)))}], {licenses.width_of(t)})" for label, t in licenses.TEMPLATES)
 LICENSES = f"""
 WITH d AS (SELECT doc_id, {_WORDS.format(_ASCII_LOW)} AS w FROM documents),
   b AS (SELECT doc_id, len(w) AS n_words, flatten([{_PLACES}]) AS p FROM d),
-  t(label, need) AS (VALUES {_TEMPLATES}),
-  s AS (SELECT doc_id, list_transform(string_split(lower(text), chr(10)), lambda line: {_WORDS.format("line")}) AS ls FROM documents),
-  l AS (SELECT doc_id, i, k, flatten(ls[i + 1:i + k]) AS w FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM s), range(1, {licenses.MOST_LINES} + 1) ks(k) WHERE i + k <= len(ls) AND (k = 1 OR len(flatten(ls[i + 1:i + k])) <= {licenses.MOST_WORDS})),
-  h AS (SELECT doc_id, i, k, label, need, len(list_intersect(need, w))::DOUBLE / len(need) AS c FROM l JOIN t ON len(list_intersect(need, w)) >= {licenses.THRESHOLD} * len(need) - 1e-9),
-  m AS (SELECT doc_id, list(DISTINCT label) AS more, list(DISTINCT label) FILTER (NOT EXISTS (SELECT 1 FROM h o WHERE o.doc_id = h.doc_id AND o.i = h.i AND o.k = h.k AND o.c >= h.c AND len(o.need) > len(h.need) AND list_has_all(o.need, h.need))) AS narrow, max(c) AS best FROM h GROUP BY 1)
+  t(label, need, width) AS (VALUES {_TEMPLATES}),
+  s AS (SELECT doc_id, {_WORDS.format("lower(text)")} AS w FROM documents),
+  c AS (SELECT doc_id, w, label, need, width FROM s JOIN t ON len(list_intersect(need, w)) >= {licenses.THRESHOLD} * len(need) - 1e-9),
+  i AS (SELECT doc_id, label, need, width, i, x FROM (SELECT doc_id, label, need, width, unnest(w) AS x, unnest(range(len(w))) AS i FROM c) WHERE list_contains(need, x)),
+  h AS (SELECT a.doc_id, a.label, a.i, count(DISTINCT b.x)::DOUBLE / len(any_value(a.need)) AS c FROM i a JOIN i b ON a.doc_id = b.doc_id AND a.label = b.label AND b.i BETWEEN a.i AND a.i + a.width - 1
+    GROUP BY 1, 2, 3 HAVING count(DISTINCT b.x) >= {licenses.THRESHOLD} * len(any_value(a.need)) - 1e-9),
+  k AS (SELECT h.doc_id, h.label, h.i, h.c, o.label AS wider, o.need, o.width, unnest(range(greatest(h.i + t.width - o.width, 0), h.i + 1)) AS k
+    FROM h JOIN t ON t.label = h.label JOIN t o ON len(o.need) > len(t.need) AND list_has_all(o.need, t.need) AND o.width >= t.width),
+  v AS (SELECT DISTINCT doc_id, label, i FROM (SELECT k.doc_id, k.label, k.i, k.wider, k.k FROM k JOIN i x ON x.doc_id = k.doc_id AND x.label = k.wider AND x.i BETWEEN k.k AND k.k + k.width - 1
+    GROUP BY ALL HAVING count(DISTINCT x.x) >= greatest({licenses.THRESHOLD}, any_value(k.c)) * len(any_value(k.need)) - 1e-9)),
+  m AS (SELECT doc_id, list(DISTINCT label) AS more, list(DISTINCT label) FILTER (v.label IS NULL) AS narrow, max(c) AS best FROM h LEFT JOIN v USING (doc_id, label, i) GROUP BY 1)
 SELECT doc_id, n_words, len(p) AS n_base, list_min(list_transform(p, lambda z: z.i)) AS first_word, list_max(list_transform(p, lambda z: z.i)) AS last_word,
   array_to_string(list_sort(list_distinct(list_transform(p, lambda z: z.l))), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda z: z.l), coalesce(more, [])))), ',') AS labels,

@@ -191,11 +191,66 @@ def test_license_repeats_and_wrapped_notices(spark):
     got = {}
     for x in licenses.scan(docs(spark, rows)).collect():
         got.setdefault(x.doc_id, []).append((x.labels, x.specific))
-    assert got[1] == [("mit-grant", "mit-grant")] and got[2] == [("cc-by-nc,creative-commons", "cc-by-nc")] and got[3] == [("creative-commons", "creative-commons")]
-    assert got[4] == [("", "")]  # a word a line, more lines than a run has
+    assert got[1] == [("mit-grant", "mit-grant")] and got[2] == [("cc-by-nc", "cc-by-nc")] and got[3] == [("creative-commons", "creative-commons")]
+    assert got[4] == [("mit-grant", "mit-grant")]  # a word a line
     assert sorted(got[5]) == [("", ""), ("mit", "mit")] and got[None] == [("apache", "apache")]
 
 
+def brute_blocks(text, templates):
+    """(label, at, containment, specific) of each block that meets the threshold, by trying every word."""
+    w, out = licenses.words_of(text), []
+
+    def held(template, at):
+        need = set(licenses.tokens(template))
+        return len(need & set(w[at : at + licenses.width_of(template)])) / len(need)
+
+    for label, t in templates:
+        for at in (i for i, x in enumerate(w) if x in licenses.tokens(t)):
+            c = held(t, at)
+            if c < licenses.THRESHOLD - 1e-9:
+                continue
+            stop, covered = at + licenses.width_of(t), False
+            for _, o in templates:
+                if set(licenses.tokens(t)) < set(licenses.tokens(o)) and licenses.width_of(o) >= licenses.width_of(t):
+                    covered |= any(held(o, k) >= max(c, licenses.THRESHOLD) - 1e-9 for k in range(max(0, stop - licenses.width_of(o)), at + 1))
+            out.append((label, at, round(c, 9), not covered))
+    return sorted(out)
+
+
+def test_license_blocks_by_brute_force(spark):
+    """Blocks of a family of templates in texts of their words, shuffled, spread and cut."""
+    draw = random.Random(3)
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    templates = (("general", base), ("variant", base + " lambda"), ("twice", base + " alpha beta alpha"), ("short", "zeta mu"))
+    rows = []
+    for i in range(60):
+        w = base.split() + draw.choice([[], ["lambda"], ["alpha", "mu"]])
+        if i % 3 == 0:
+            draw.shuffle(w)
+        for _ in range(draw.randrange(4)):
+            draw.choice([lambda: w.insert(draw.randrange(len(w)), draw.choice(["x", "zeta", "mu"])), lambda: w.pop(draw.randrange(len(w)))])()
+        rows.append((i, draw.choice([" ", "\n", "\n# "]).join(["x"] * draw.randrange(9) + w * draw.randrange(1, 4))))
+    got = {}
+    for x in licenses.matches(docs(spark, rows), templates).collect():
+        got.setdefault(x.doc_id, []).append((x.label, x.at, round(x.containment, 9), x.specific))
+    want = {i: brute_blocks(t, templates) for i, t in rows}
+    assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in want.items() if x}
+    assert any(not x[3] for b in want.values() for x in b) and any(x[2] < 1 for b in want.values() for x in b)
+
+
+def test_license_wrapped_narrow_and_scattered_words(spark):
+    """A notice of any number of lines is met; its words scattered through a line or a text are not."""
+    texts = dict(licenses.TEMPLATES)
+    bsd = texts["bsd-disclaimer"].split()
+    narrow = "\n".join("# " + " ".join(bsd[i : i + 5]) for i in range(0, len(bsd), 5))
+    far = " ".join(w + " z" * 2000 for w in texts["mit-notice"].split())
+    rows = [(1, narrow), (2, "The MIT students released a driving license under the rain"), (3, far), (4, texts["mit-body"]), (5, "x " * 20000 + narrow)]
+    got = {x.doc_id: x for x in licenses.scan(docs(spark, rows)).collect()}
+    assert got[1].labels == got[5].labels == "bsd-disclaimer" and got[1].score == 1.0
+    assert [(got[i].labels, got[i].score) for i in (2, 3)] == [("", 0.0)] * 2
+    assert got[4].labels == "mit-body,mit-condition,mit-grant,mit-warranty" and got[4].specific == "mit-body"
+
+
 def test_every_license_body_wrapped(spark):
     """At 70 columns with comment leaders, each notice is found."""
     rows = []

@@ -353,12 +353,12 @@ def test_licenses(spark):
         assert (x["first_word"], x["last_word"]) == (min((k for k, _ in places), default=None), max((k for k, _ in places), default=None))
         assert x["base_labels"] == ",".join(sorted({lab for _, lab in places}))
         want = {}
-        for line in (t or "").lower().split("\n"):
-            have = set(licenses.tokens(line))
-            for lab, text in licenses.TEMPLATES:
-                need = set(licenses.tokens(text))
-                if len(have & need) >= licenses.THRESHOLD * len(need):
-                    want[lab] = max(want.get(lab, 0), len(have & need) / len(need))
+        for lab, text in licenses.TEMPLATES:
+            need = set(licenses.tokens(text))
+            for k in range(len(w)):
+                have = need & set(w[k : k + licenses.width_of(text)])
+                if len(have) >= licenses.THRESHOLD * len(need):
+                    want[lab] = max(want.get(lab, 0), len(have) / len(need))
         assert x["labels"] == ",".join(sorted({lab for _, lab in places} | set(want))), t
         assert x["score"] == pytest.approx(max([0.0, *want.values(), float(bool(places))]))
     assert licenses.scan(docs_of(spark, [])).count() == 0
