@@ -32,9 +32,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import stored
+from brindle.llm.common import let, stored
 
 THRESHOLD = 0.9
+#: Words of a text that one row holds, beside those within reach; changes no result.
+SLICE = 1024
 #: Fixed phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Notices as their licenses word them, and the labels that a block containing them gets.
@@ -126,15 +128,33 @@ def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     # a text without any prefix word has no matching block
     edge = GAP[:-1]
     some = low.where(F.col("low").rlike(f"(?:^|{edge})(?:{'|'.join(map(re.escape, leads))})(?:$|{edge})"))
-    words = some.select("doc_id", F.array_remove(F.split("low", GAP), "").alias("words"))
     # the inverted index over the templates' prefixes: its size is fixed by the templates
     index = docs.sparkSession.createDataFrame([(w, p["label"], p["words"], p["prefix"], p["need"], p["width"], p["reach"], p["wider"]) for p in plans for w in p["prefix"]], INDEX)
-    # outer, lest a filter on the words' number split the text a second time; the join drops what is null
-    probe = words.select("doc_id", "words", F.posexplode_outer("words").alias("place", "probe"))
+    reach = max(p["reach"] for p in plans)
+
+    def parts(words: Column) -> Column:
+        # SLICE words and what lies within reach of them, so that a very long text never stands in many rows
+        def part(k: Column) -> Column:
+            from_ = F.greatest(k - reach, F.lit(0))
+            return F.struct(from_.alias("from_"), (k - from_).alias("own"), F.slice(words, from_ + 1, k - from_ + SLICE + reach).alias("words"))
+
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(SLICE)), part)
+
+    def places(c: Column) -> Column:
+        def around(i: Column) -> Column:
+            low_ = F.greatest(i - reach + 1, F.lit(0))
+            return F.struct((c["from_"] + low_).alias("from_"), (i - low_).alias("centre"), F.get(c["words"], i).alias("probe"), F.slice(c["words"], low_ + 1, i - low_ + reach).alias("around"))
+
+        own = F.sequence(c["own"], F.least(c["own"] + SLICE, F.size(c["words"])) - 1)
+        return F.transform(F.filter(own, lambda i: F.get(c["words"], i).isin(leads)), around)
+
+    # outer, lest a filter on the arrays' sizes make them a second time; the join drops what is null
+    sliced = some.select("doc_id", F.explode_outer(let(F.array_remove(F.split("low", GAP), ""), parts)).alias("c"))
+    probe = sliced.select("doc_id", F.explode_outer(let(F.col("c"), places)).alias("p")).select("doc_id", "p.*")
     met = probe.join(F.broadcast(index), F.col("probe") == F.col("word"))
-    from_ = F.greatest(F.col("place") - F.col("reach") + 1, F.lit(0))
-    around = F.slice("words", from_ + 1, F.col("place") - from_ + F.col("reach"))
-    near = met.select("doc_id", "label", "template", "prefix", "need", "width", "wider", from_.alias("from_"), (F.col("place") - from_).alias("centre"), around.alias("around"))
+    skip = F.greatest(F.col("centre") - F.col("reach") + 1, F.lit(0))
+    nearer = F.slice("around", skip + 1, F.col("centre") - skip + F.col("reach"))
+    near = met.select("doc_id", "label", "template", "prefix", "need", "width", "wider", (F.col("from_") + skip).alias("from_"), (F.col("centre") - skip).alias("centre"), nearer.alias("around"))
     near = near.where(F.size(F.array_intersect("template", "around")) >= F.col("need"))
     # blocks that begin up to the previous prefix word's place have that one first
     lowest = F.greatest(F.col("centre") - F.col("width") + 1, F.lit(0))

@@ -217,8 +217,10 @@ def brute_blocks(text, templates):
     return sorted(out)
 
 
-def test_license_blocks_by_brute_force(spark):
-    """Blocks of a family of templates in texts of their words, shuffled, spread and cut."""
+@pytest.mark.parametrize("slice_", [1, 7, 1024])
+def test_license_blocks_by_brute_force(spark, monkeypatch, slice_):
+    """Blocks of a family of templates in texts of their words, shuffled, spread and cut; texts in slices of any size."""
+    monkeypatch.setattr(licenses, "SLICE", slice_)
     draw = random.Random(3)
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     templates = (("general", base), ("variant", base + " lambda"), ("twice", base + " alpha beta alpha"), ("short", "zeta mu"))
