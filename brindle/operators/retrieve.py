@@ -9,6 +9,8 @@ from brindle.functions.text import let
 
 #: Queries that meet the corpus at once; a block of them is one row of the join.
 QUERY_BLOCK = 256
+#: Terms of a block of sparse queries that are multiplied at once.
+TERMS = 4096
 #: Words in a row by which a text and a passage inside it are brought together.
 ANCHOR = 3
 #: Passages without an anchor that are compared with every text by broadcast.
@@ -137,11 +139,98 @@ def sparse_postings(vectors: DataFrame, id_col: str = "id", col: str = "sparse")
     return vectors.select(F.col(id_col).alias("id"), F.explode(F.arrays_zip(F.col(f"{col}.indices").alias("term"), F.col(f"{col}.values").alias("value"))).alias("e")).select(F.col("e.term").alias("term"), "id", F.col("e.value").cast("double").alias("value"))
 
 
+def sparse_packed(vectors: DataFrame, key: str, rows: int = 4 * QUERY_BLOCK) -> DataFrame:
+    """vectors (key, sparse): rows of up to so many of them: ids (an array), n (how many entries each has), terms and values (of all, one after the other). Vectors that share a key count as one; entries without an index or a value don't count."""
+    entries = F.filter(F.arrays_zip(F.col("sparse.indices").alias("term"), F.col("sparse.values").alias("value")), lambda e: e["term"].isNotNull() & e["value"].isNotNull())
+    held = vectors.select(key, entries.alias("e")).where(F.size("e") > 0).groupBy(key).agg(F.flatten(F.collect_list("e")).alias("e"))
+    cut = held.select(key, F.col("e.term").alias("terms"), F.col("e.value").cast("array<double>").alias("values"))
+    kinds = cut.schema[key].dataType.simpleString(), cut.schema["terms"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                ids, terms, values = batch.slice(at, rows).columns
+                parts = ids, pc.list_value_length(terms), terms.flatten(), values.flatten()
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in parts], names=["ids", "n", "terms", "values"])
+
+    return cut.mapInArrow(run, f"ids array<{kinds[0]}>, n array<int>, terms {kinds[1]}, values array<double>")
+
+
+def sparse_blocks_top_k(pairs: DataFrame, k: int) -> DataFrame:
+    """pairs of a block of sparse rows (ids, n, terms, values) and one of queries (qids, qn, qterms, qvalues): qid, id, score of what can be among a query's k best, of rows that share a term with it. Scores are rounded to ten places.
+
+    The two blocks are multiplied as small matrices, TERMS terms at a time. What a task has seen of a block of queries is the least that its further rows must reach.
+    """
+    kinds = [pairs.schema[c].dataType.elementType.simpleString() for c in ("qids", "ids")]
+    sides = ("qids", "qn", "qterms", "qvalues"), ("ids", "n", "terms", "values")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def product(left, right, rows, whole):
+            """Scores, and which rows share a term; left and right: (row, term, value) of the entries of some terms."""
+            width = rows[2]
+            grid = lambda side, n, w=None: np.bincount(side[0] * width + side[1], w, n * width).reshape(n, width)
+            a, b = grid(left, rows[0], left[2]), grid(right, rows[1], right[2])
+            if whole:
+                s = a @ b.T
+                return s, s > 0
+            in_a, in_b = grid(left, rows[0]) > 0, grid(right, rows[1]) > 0
+            odd_a, odd_b = ~np.isfinite(a).all(1), ~np.isfinite(b).all(1)
+            with np.errstate(invalid="ignore", over="ignore"):
+                s = np.where(odd_a[:, None], 0, np.nan_to_num(a, posinf=0, neginf=0)) @ np.where(odd_b[:, None], 0, np.nan_to_num(b, posinf=0, neginf=0)).T
+                # a value that isn't finite counts only where both sides have its term
+                for j in np.flatnonzero(odd_b):
+                    s[:, j] = np.where(in_a & in_b[j], a * b[j], 0).sum(1)
+                for i in np.flatnonzero(odd_a):
+                    s[i] = np.where(in_b & in_a[i], b * a[i], 0).sum(1)
+            return s, in_a.astype(np.float32) @ in_b.T.astype(np.float32) > 0
+
+        least: dict = {}
+        for batch in batches:
+            at = {name: batch.column(batch.schema.get_field_index(name)) for names in sides for name in names}
+            for r in range(batch.num_rows):
+                (qids, qn, qterms, qvalues), (ids, n, terms, values) = ([at[name][r].values for name in names] for names in sides)
+                known = qterms.unique()
+                found = pc.index_in(terms, value_set=known)
+                some = found.is_valid().to_numpy(zero_copy_only=False)
+                right = np.repeat(np.arange(len(ids)), n.to_numpy())[some], found.drop_null().to_numpy(), values.to_numpy()[some]
+                left = np.repeat(np.arange(len(qids)), qn.to_numpy()), pc.index_in(qterms, value_set=known).to_numpy(), qvalues.to_numpy()
+                # without zeros, signs and what isn't finite, a shared term shows in the score
+                plain = all(len(x[2]) == 0 or (1e-100 < x[2].min() and x[2].max() < 1e100) for x in (left, right))
+                score, met = np.zeros((len(qids), len(ids))), np.zeros((len(qids), len(ids)), bool)
+                for lo in range(0, len(known), TERMS):
+                    cut = [tuple(c[(x[1] >= lo) & (x[1] < lo + TERMS)] - (lo if i == 1 else 0) for i, c in enumerate(x)) for x in (left, right)]
+                    s, m = product(*cut, (len(qids), len(ids), min(TERMS, len(known) - lo)), plain)
+                    score += s
+                    met |= m
+                order = np.where(met, np.where(np.isnan(score), np.inf, score), -np.inf)
+                # ties are told apart after rounding: all that may round to the k-th best go on
+                last = np.partition(order, order.shape[1] - k, axis=1)[:, -k] - 1e-9 if order.shape[1] > k else np.full(len(order), -np.inf)
+                block = qids[0].as_py()
+                last = least[block] = np.maximum(last, least.get(block, -np.inf))
+                i, j = np.nonzero(met & (order >= last[:, None]))
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(score[i, j])], names=["qid", "id", "score"])
+
+    scored = pairs.select(*sides[0], *sides[1]).mapInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, score double")
+    return scored.withColumn("score", F.round("score", 10))
+
+
 def sparse_vector_top_k(corpus: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
-    """corpus (id, sparse), queries (qid, sparse): qid, id, score (dot product to ten places), rank; rows that share no index never appear."""
-    weighted = sparse_postings(queries, "qid").select(F.col("id").alias("qid"), "term", F.col("value").alias("w"))
-    scored = _meet(sparse_postings(corpus), weighted).groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * F.col("value")), 10).alias("score"))
-    return top(scored, k)
+    """corpus (id, sparse), queries (qid, sparse): qid, id, score (dot product to ten places), rank; rows that share no index never appear.
+
+    As in dense_top_k, blocks of rows are dealt into groups and the queries' blocks are sent to each: no pair of a query and a row becomes a row of a table.
+    """
+    groups = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = sparse_packed(corpus.select("id", "sparse"), "id").withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)))
+    q = sparse_packed(queries.select("qid", "sparse"), "qid", QUERY_BLOCK).toDF("qids", "qn", "qterms", "qvalues")
+    pairs = d.join(q.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))), "g")
+    return top(sparse_blocks_top_k(pairs, k), k)
 
 
 def _meet(postings: DataFrame, weighted: DataFrame, salts: int = 16) -> DataFrame:
