@@ -134,6 +134,11 @@ def term_vector(text: Column) -> Column:
     return let(F.array_sort(tokens(F.coalesce(text, F.lit("")))), _counted)
 
 
+def term_vectors(docs: DataFrame, *columns: Column | str, text_col: str = "text") -> DataFrame:
+    """columns of docs, terms and values of each text. A generator makes them, so that a text is cut once, however many of its columns are asked for."""
+    return docs.select(*columns, F.inline(F.array(term_vector(F.col(text_col)))).alias("terms", "values"))
+
+
 def sparse_postings(vectors: DataFrame, id_col: str = "id", col: str = "sparse") -> DataFrame:
     """Stored sparse vectors (id, struct<indices, values>) as the rows of an inverted index: term, id, value."""
     return vectors.select(F.col(id_col).alias("id"), F.explode(F.arrays_zip(F.col(f"{col}.indices").alias("term"), F.col(f"{col}.values").alias("value"))).alias("e")).select(F.col("e.term").alias("term"), "id", F.col("e.value").cast("double").alias("value"))

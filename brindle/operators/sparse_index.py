@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.retrieve import top
+from brindle.sources.scratch import kept
 from brindle.sources.store import Change, Store
 
 #: Rows of a shard, about; shards that are scored before there is a threshold.
@@ -29,26 +30,55 @@ SHARD, FIRST = 128, 4
 QUERIES = 256
 
 
-def add(store: Store, change: Change, rows: DataFrame, fresh: bool = False) -> int:
-    """rows (id, terms array, values array of the same length; a term at most once per row) in place of those with their ids; returns how many. fresh: the index is new, or begun anew, and holds none of them."""
-    n = rows.count()
+def add(store: Store, change: Change, rows: DataFrame, fresh: bool = False, ids: DataFrame | None = None) -> int:
+    """rows (id, terms array, values array of the same length; a term at most once per row) in place of those with their ids; returns how many. fresh: the index is new, or begun anew, and holds none of them. ids: the rows' ids, where these are cheaper to read."""
+    counts = (rows if ids is None else ids).groupBy("id").count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+    n = counts["n"] or 0
     base = change.state["marks"].get("shards", 0)
     shards = -(-n // SHARD)
     change.state["marks"]["shards"] = base + shards
     if not fresh:
-        _bury(store, change, rows.select("id"))
+        _bury(store, change, (rows if ids is None else ids).select("id"))
     place = F.lit(base) + F.pmod(F.xxhash64("id"), F.lit(max(1, shards)))
     vectors = rows.select("id", place.cast("long").alias("shard"), "terms", F.transform("values", lambda v: v.cast("double")).alias("values"))
-    n = change.upsert("vectors", vectors, ["id"], by="id")
-    held = change.written("vectors").select("id", "shard", F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("values").alias("value"))).alias("e"))
-    pairs = held.groupBy(F.col("e.term").alias("term"), "shard").agg(F.sort_array(F.collect_list(F.struct("id", F.col("e.value").alias("value")))).alias("p"))
-    listed = pairs.select("term", "shard", F.col("p.id").alias("ids"), F.col("p.value").alias("values"), F.array_max("p.value").alias("most"))
+    n = change.upsert("vectors", vectors, ["id"], by="id", unique=counts["most"] == 1)
+    listed = _inverted(change.written("vectors"))
     change.append("postings", listed, by="term")
     counts = change.written("postings").groupBy("term").agg(F.sum(F.size("ids")).alias("df"))
     change.append("terms", counts.unionByName(_total(change, "postings", n)), by="term")
     return n
 
 
+def _inverted(vectors: DataFrame) -> DataFrame:
+    """The postings of vectors (id, shard, terms, values): a shard's rows are brought together and inverted in one go, so no entry of a vector is a row of a shuffle."""
+    kinds = [vectors.schema[c].dataType for c in ("id", "terms")]
+
+    def invert(rows):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rows = rows.sort_by("id")
+        lists = rows.column("terms").combine_chunks()
+        n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        coded = lists.flatten().dictionary_encode()
+        some = coded.is_valid().to_numpy(zero_copy_only=False)
+        row, value = np.repeat(np.arange(len(n)), n)[some], rows.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False)[some]
+        codes = coded.drop_null().indices.to_numpy()
+        at = np.argsort(codes, kind="stable")  # rows of a term stay in order of id
+        codes, row, value = codes[at], row[at], value[at]
+        begin = np.flatnonzero(np.diff(codes, prepend=-1))
+        ends = pa.array(np.append(begin, len(codes)), pa.int32())
+        most = np.maximum.reduceat(value, begin) if len(begin) else value
+        ids = rows.column("id").combine_chunks().take(pa.array(row))
+        shard = pa.repeat(pa.scalar(rows.column("shard")[0].as_py(), pa.int64()), len(begin))
+        cols = [coded.dictionary.take(pa.array(codes[begin])), shard, pa.ListArray.from_arrays(ends, ids), pa.ListArray.from_arrays(ends, pa.array(value)), pa.array(most)]
+        return pa.table(cols, names=["term", "shard", "ids", "values", "most"])
+
+    schema = f"term {kinds[1].elementType.simpleString()}, shard long, ids array<{kinds[0].simpleString()}>, values array<double>, most double"
+    return vectors.select("id", "shard", "terms", "values").groupBy("shard").applyInArrow(invert, schema)
+
+
 def remove(store: Store, change: Change, ids: DataFrame) -> int:
     """Rows that leave the index; returns how many of the ids it held."""
     n = _bury(store, change, ids)
@@ -163,11 +193,13 @@ def top_k(store: Store, weights: DataFrame, k: int = 50, scope: bool = False, fi
 
     With scope, only the buckets of postings that can hold the queries' terms are opened: for few queries.
     """
+    weights = kept(weights, "weights")
     postings, dead = store.read("postings", weights.select("term") if scope else None, exact=False), store.read("dead")
-    asked = _asked(weights)
-    bounds = _bounds(asked, postings)
+    # what several steps read is written once; few queries' terms are sent to the postings, which stay where they lie
+    asked = kept(_asked(weights), "asked")
+    bounds = kept(_bounds(asked, postings), "bounds")
     begun = top(bounds, first, "qid", "bound", "shard").select("qid", "block", "shard")
-    early = _scored(asked, postings, begun, dead, k)
+    early = kept(_scored(asked, postings, begun, dead, k), "early")
     enough = top(early, k).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
     # bounds are sums in another order: a little more than rounding can take is allowed
     left = bounds.join(enough, "qid", "left").where(F.col("least").isNull() | (F.col("bound") * (1 + 1e-9) >= F.col("least")))

@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import retrieve, sparse_index
-from brindle.session import shared_dir
 from brindle.sources import files
 from brindle.sources.readers import table
+from brindle.sources.scratch import kept, own_folder  # noqa: F401
 from brindle.sources.store import Store
 
 _BUILT: dict[tuple, Store] = {}
 
 
-def own_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, which goes when the application ends."""
-    root = f"{shared_dir(spark)}/brindle-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    at, fs = files.at(spark, root)
-    fs.deleteOnExit(at)
-    return root
-
-
 def corpus_index(spark: SparkSession, folder: str) -> Store:
     """Stored term vectors and postings of the documents in a folder; a table whose files have changed is indexed anew."""
     at, fs = files.at(spark, f"{folder}/documents.parquet")
@@ -32,15 +22,8 @@ def corpus_index(spark: SparkSession, folder: str) -> Store:
     key = (spark.sparkContext.applicationId, folder, state)
     if key not in _BUILT:
         store = Store(spark, own_folder(spark, "corpus"))
-        docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), retrieve.term_vector(F.col("text")).alias("v"))
+        docs = table(spark, folder, "documents").withColumnRenamed("doc_id", "id")
         with store.commit() as c:
-            sparse_index.add(store, c, docs.select("id", F.col("v.indices").alias("terms"), F.col("v.values").alias("values")))
+            sparse_index.add(store, c, retrieve.term_vectors(docs, "id"), fresh=True, ids=docs.select("id"))
         _BUILT[key] = store
     return _BUILT[key]
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: what follows may use it twice and computes it once."""
-    path = own_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -73,7 +73,8 @@ def _fused(spark, d):
 def _reranked(spark, d):
     """Candidates meet their stored terms; no text is read."""
     terms = corpus_index(spark, d).read("vectors").select("id", "terms")
-    found = _fused(spark, d).join(terms, "id").join(_queries(spark, d).withColumnRenamed("text", "query"), "qid")
+    # the candidates, few beside the corpus, are written first: they are sent to the stored terms, which stay where they lie
+    found = kept(_fused(spark, d), "fused").join(terms, "id").join(_queries(spark, d).withColumnRenamed("text", "query"), "qid")
     return retrieve.rerank(found, 5, retrieve.overlap_of_terms(F.col("query"), F.col("terms")))
 
 

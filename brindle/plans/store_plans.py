@@ -74,14 +74,17 @@ KEPT = f"dt AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnes
 def sparse_index_topk(spark, d):
     """The stored sparse index after documents of one language were removed and those of another replaced: weights and results are those of what is left."""
     store = _store(spark, "sparse")
-    docs = table(spark, d, "documents")
-    rows = docs.select(F.col("doc_id").alias("id"), "lang", retrieve.term_vector(F.col("text")).alias("v")).select("id", "lang", F.col("v.indices").alias("terms"), F.col("v.values").alias("values"))
+    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "id")
+
+    def add(c, some):
+        sparse_index.add(store, c, retrieve.term_vectors(some, "id"), ids=some.select("id"))
+
     with store.commit() as c:
-        sparse_index.add(store, c, rows.drop("lang"))
+        add(c, docs)
     with store.commit() as c:
-        sparse_index.remove(store, c, rows.where("lang = 'fr'"))
+        sparse_index.remove(store, c, docs.where("lang = 'fr'"))
     with store.commit() as c:
-        sparse_index.add(store, c, rows.where("lang = 'de'").drop("lang"))
+        add(c, docs.where("lang = 'de'"))
     asked = retrieve.term_counts(table(spark, d, "benchmark"), "item_id").withColumnRenamed("id", "qid")
     found = sparse_index.top_k(store, sparse_index.weighted(store, asked), 10)
     return found.select("qid", "id", "rank", F.col("score").cast("long").alias("score"))
