@@ -34,25 +34,41 @@ def asset_points(assets: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataF
     return joined.select(point_id(F.concat(F.lit("asset:"), F.col("asset_id"))).alias("point_id"), "asset_id", "element_id", "doc_id", "doc_slug", "title", "source_uri", "type", "page_label", "file_path", "caption", F.transform("embedding", lambda x: x.cast("float")).alias("vector"))
 
 
-def resolve(docs: DataFrame, manifest: DataFrame) -> DataFrame:
+#: Groups of queries that meet a page's assets apart, and tasks of that join for each shuffle partition: its output is far larger than what it reads.
+SALTS, TASKS = 16, 4
+
+
+def resolve(docs: DataFrame, manifest: DataFrame, most: int | None = None) -> DataFrame:
     """docs (qid, rank, linked_asset_id, element_id, doc_id, page_label, page_number), manifest (pos, asset_id, element_id, doc_id, page_label, type, file_path): the assets of each query in order of first sight.
 
     By linked asset, else by element, else all assets of the document's page; of manifest rows that
-    repeat a key the last one counts.
+    repeat a key the last one counts. With most, only each query's first ones are found: of a page, no
+    more of its assets can be among them.
     """
+    tasks = TASKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     item = F.struct("asset_id", "type", "file_path", "page_label", F.col("element_id").alias("element"), "pos")
     by_asset = last_by(manifest.where(F.coalesce("asset_id", F.lit("")) != ""), ["asset_id"], "pos").select(F.col("asset_id").alias("k1"), item.alias("m1"))
     by_element = last_by(manifest.where(F.coalesce("element_id", F.lit("")) != ""), ["element_id"], "pos").select(F.col("element_id").alias("k2"), item.alias("m2"))
-    by_page = manifest.where(F.col("doc_id").isNotNull() & F.col("page_label").isNotNull()).select(F.col("doc_id").alias("k3"), F.col("page_label").alias("k4"), item.alias("m3"))
+    paged = manifest.where(F.col("doc_id").isNotNull() & F.col("page_label").isNotNull() & (F.coalesce("asset_id", F.lit("")) != ""))
+    if most is not None:
+        paged = first_by(paged, ["doc_id", "page_label", "asset_id"], "pos")
+        paged = paged.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "page_label").orderBy("pos"))).where(F.col("_nth") <= most).drop("_nth")
+    by_page = paged.select(F.col("doc_id").alias("k3"), F.col("page_label").alias("k4"), item.alias("m3"))
     d = docs.withColumn("page", F.coalesce(present(F.col("page_label")), F.col("page_number").cast("string"))).select("qid", "rank", F.col("linked_asset_id").alias("linked"), F.col("element_id").alias("elem"), F.col("doc_id").alias("doc"), "page")
     direct = d.join(by_asset, d["linked"] == F.col("k1"), "left").join(by_element, d["elem"] == F.col("k2"), "left").withColumn("m", F.coalesce("m1", "m2"))
     one = direct.where(F.col("m").isNotNull()).select("qid", "rank", F.lit(0).alias("at"), "m")
-    rest = direct.where(F.col("m").isNull()).select("qid", "rank", "doc", "page")
-    many = rest.join(by_page, (rest["doc"] == F.col("k3")) & (rest["page"] == F.col("k4"))).select("qid", "rank", F.col("m3.pos").alias("at"), F.col("m3").alias("m"))
+    # a query meets a page once, at its first rank
+    rest = direct.where(F.col("m").isNull()).groupBy("qid", "doc", "page").agg(F.min("rank").alias("rank"))
+    rest = rest.withColumn("salt", F.pmod(F.xxhash64("qid"), F.lit(SALTS)).cast("int")).repartition(tasks, "doc", "page", "salt")
+    by_page = by_page.withColumn("k5", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(tasks, "k3", "k4", "k5")
+    many = rest.join(by_page, (rest["doc"] == F.col("k3")) & (rest["page"] == F.col("k4")) & (rest["salt"] == F.col("k5"))).select("qid", "rank", F.col("m3.pos").alias("at"), F.col("m3").alias("m"))
     found = one.unionByName(many.withColumn("at", F.col("at").cast("int"))).where(F.coalesce(F.col("m.asset_id"), F.lit("")) != "")
+    # one shuffle, by query, does for both windows
+    found = found.repartition(tasks, "qid")
     seen = first_by(found.select("qid", "rank", "at", "m.asset_id", "m.type", "m.file_path", F.coalesce("m.page_label", F.lit("?")).alias("page_label"), F.col("m.element").alias("element_id")), ["qid", "asset_id"], "rank", "at")
     order = Window.partitionBy("qid").orderBy("rank", "at")
-    return seen.withColumn("pos", F.row_number().over(order)).select("qid", "pos", "asset_id", "type", "file_path", "page_label", "element_id")
+    placed = seen.withColumn("pos", F.row_number().over(order))
+    return (placed if most is None else placed.where(F.col("pos") <= most)).select("qid", "pos", "asset_id", "type", "file_path", "page_label", "element_id")
 
 
 def attachments(linked: DataFrame, hits: DataFrame, docs: DataFrame, manifest: DataFrame, most: int = 6) -> DataFrame:
