@@ -66,7 +66,7 @@ def attachments_filter(spark, d):
     n = i * 7
     hits = table(spark, d, "documents").select(F.floor(i / 5).alias("qid"), (i % 5 + 1).cast("int").alias("rank"), ids.asset_id(F.concat(F.lit("e"), (n % 500).cast("string"))).alias("asset_id"), F.concat(F.lit("d"), (n % 100).cast("string")).alias("doc_id"), F.lit(None).cast("string").alias("doc_slug"), (n % 7).cast("string").alias("page_label"), F.concat(F.lit("assets/"), (n % 500).cast("string")).alias("file_path"), F.lit("image_asset").alias("type"))
     docs, m = _retrieved(spark, d), _manifest(spark, d)
-    return assets.attachments(assets.resolve(docs, m), hits, docs, m).select("qid", "pos", "asset_id", "doc_id", "file_path", "page_label", "url")
+    return assets.attachments(assets.resolve(docs, m, 6), hits, docs, m, 6).select("qid", "pos", "asset_id", "doc_id", "file_path", "page_label", "url")
 
 
 CAPTIONED = """reg AS (SELECT doc_id AS pos, 'd' || (doc_id % 90) AS doc_id, source AS doc_slug, lang AS title FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id % 90 ORDER BY doc_id DESC) = 1),
