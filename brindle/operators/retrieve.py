@@ -116,6 +116,14 @@ def inverse_frequency(postings: DataFrame, n_docs: int) -> DataFrame:
     return df.select("term", F.floor(F.log(F.lit(float(n_docs + 1)) / (F.col("df") + 1)) * 1000 + 1000).cast("long").alias("idf"))
 
 
+def term_statistics(postings: DataFrame, corpus: DataFrame) -> DataFrame:
+    """postings (term, id, tf) of a corpus: term, df, tf, idf, all from one pass over the postings; the corpus is counted within the plan."""
+    size = corpus.agg(F.count("*").alias("n_docs")).withColumn("one", F.lit(1))
+    counts = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).withColumn("one", F.lit(1)).join(F.broadcast(size), "one")
+    idf = F.floor(F.log((F.col("n_docs") + 1).cast("double") / (F.col("df") + 1)) * 1000 + 1000).cast("long")
+    return counts.select("term", "df", "tf", idf.alias("idf"))
+
+
 def sparse_encode(text: Column, terms: int = 2**31 - 1) -> Column:
     """The offline sparse encoder: struct<indices, values> of a text's terms (hashed into 0 .. terms - 1, sorted) and their counts; both arrays empty for an empty text."""
     at = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(terms)).cast("int"))

@@ -267,9 +267,7 @@ def citation_gate(spark, d):
 @plan(f"WITH {SPARSE}, g AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM dt GROUP BY 1) SELECT term, df, tf, idf FROM g JOIN idf USING (term)")
 def term_statistics(spark, d):
     """The inverted index by term."""
-    p = retrieve.term_counts(_corpus(spark, d))
-    idf = retrieve.inverse_frequency(p, _corpus(spark, d).count())
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).join(idf, "term").select("term", "df", "tf", "idf")
+    return retrieve.term_statistics(retrieve.term_counts(_corpus(spark, d)), _corpus(spark, d))
 
 
 @plan()
