@@ -73,14 +73,15 @@ def blocks_top_k(pairs: DataFrame, k: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            names = ["dim", "ids", "m", "qids", "qm"]
-            ids_type, qids_type = (batch.schema.field(c).type.value_type for c in ("ids", "qids"))
-            for dim, ids, m, qids, qm in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
-                s = np.frombuffer(qm).reshape(-1, dim) @ np.frombuffer(m).reshape(-1, dim).T
+            # one pair of blocks at a time, as they lie in the batch: Python holds no copy of them
+            at = {c: batch.column(batch.schema.get_field_index(c)) for c in ("dim", "ids", "m", "qids", "qm")}
+            for r in range(batch.num_rows):
+                dim, ids, qids = at["dim"][r].as_py(), at["ids"][r].values, at["qids"][r].values
+                s = np.frombuffer(at["qm"][r].as_buffer()).reshape(-1, dim) @ np.frombuffer(at["m"][r].as_buffer()).reshape(-1, dim).T
                 # ties are told apart after rounding: all that may round to the k-th best go on
                 last = np.partition(s, s.shape[1] - k, axis=1)[:, -k] - 1e-9 if s.shape[1] > k else np.full(len(s), -np.inf)
                 i, j = np.nonzero(s >= last[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(qids, qids_type).take(pa.array(i)), pa.array(ids, ids_type).take(pa.array(j)), pa.array(s[i, j])], names=["qid", "id", "score"])
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(s[i, j])], names=["qid", "id", "score"])
 
     scored = pairs.select("dim", "ids", "m", "qids", "qm").mapInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, score double")
     return scored.withColumn("score", F.round("score", 10))
