@@ -144,7 +144,8 @@ class Stars:
 
     Together this finds the connected components of all links within groups; a group of copies of
     one text costs one comparison per row, and only rows unlike the pivot cost more. Of groups with the
-    same members (by a 128-bit hash) one is compared.
+    same members (by a 128-bit hash) one is compared; large groups of one pivot that overlap are compared
+    as one.
     """
 
     def __init__(self, members: DataFrame, name: str):
@@ -168,11 +169,11 @@ class Stars:
     def rest(self, near: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
         """near: a stored table (id, pivot) of the pairs that are linked. (key, bi, bj, blk, id): what is still to be compared."""
         same = (self.members["id"] == near["id"]) & (self.members["pivot"] == near["pivot"])
-        flagged = self.members.join(near.withColumn("hit", F.lit(True)).hint("merge"), same, "left").select("key", self.members["id"], F.col("hit").isNull().alias("far"))
+        flagged = self.members.join(near.withColumn("hit", F.lit(True)).hint("merge"), same, "left").select("key", self.members["id"], self.members["pivot"], F.col("hit").isNull().alias("far"))
         flagged = stored(flagged, "star-rest")
-        far = F.sum(F.col("far").cast("long")).alias("n_far")
-        groups = flagged.groupBy("key").agg(F.count("*").alias("n"), far).where("n >= 2 and n_far >= 1")
-        some = join_groups(flagged, groups, ["key"], self.total)
+        sizes = [F.count("*").alias("n"), F.sum(F.col("far").cast("long")).alias("n_far")]
+        groups = stored(flagged.groupBy("key").agg(*sizes, F.min("pivot").alias("pivot")).where("n >= 2 and n_far >= 1"), "star-sizes")
+        some = self._dealt(flagged, groups, sizes, rows)
         n_far = F.ceil(F.col("n_far") / F.lit(rows)).cast("long")
         n_near = F.ceil((F.col("n") - F.col("n_far")) / F.lit(rows)).cast("long")
         place = F.xxhash64("id", F.lit(7))
@@ -182,6 +183,28 @@ class Stars:
         dealt = some.withColumn("n_f", n_far).withColumn("n_n", n_near).withColumn("blk", blk.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), top.cast("int"))))
         return _paired(dealt).select("key", "bi", "bj", "blk", "id")
 
+    def _dealt(self, flagged: DataFrame, groups: DataFrame, sizes: list[Column], rows: int) -> DataFrame:
+        """(key, id, far, n, n_far): the rows of groups. Large groups of one pivot hold much the same rows, and are one group, each row once, where that makes fewer copies of rows."""
+        shared = groups.where(F.col("n") > rows).withColumn("copies", _copies(rows))
+        families = shared.groupBy("pivot").agg(F.count("*").alias("k"), F.sum("copies").alias("copies")).where("k > 1").select("pivot", "copies")
+        families = stored(families, "star-families")
+        alone = lambda g: join_groups(flagged.select("key", "id", "far"), g.select("key", "n", "n_far"), ["key"], self.total)
+        if families.isEmpty():
+            return alone(groups)
+        shared = shared.join(families.select("pivot").hint("merge"), "pivot").select("key", "n")
+        union = stored(join_groups(flagged, shared, ["key"], self.total).select("pivot", "id", "far").distinct(), "star-unions")
+        met = union.groupBy("pivot").agg(*sizes).join(families.hint("merge"), "pivot").where(_copies(rows) < F.col("copies"))
+        met = stored(met.select("pivot", "n", "n_far"), "star-met")
+        own = groups.join(met.select("pivot").withColumn("met", F.lit(True)).hint("merge"), "pivot", "left").where((F.col("n") <= rows) | F.col("met").isNull())
+        return alone(own).unionByName(join_groups(union, met, ["pivot"], self.total).withColumnRenamed("pivot", "key"))
+
+
+def _copies(rows: int) -> Column:
+    """How many rows Stars.rest makes of a group's n, n_far of which are far."""
+    n, far = F.col("n"), F.col("n_far")
+    n_f, n_n = F.ceil(far / F.lit(rows)), F.ceil((n - far) / F.lit(rows))
+    return F.when(n <= rows, n).otherwise(far * (n_f + n_n) + (n - far) * n_f)
+
 
 def grouped_batches(batches, keys: list[str], least_rows: int = 4096):
     """Re-cut an iterator of pandas frames, sorted by keys, so that no group straddles two frames."""

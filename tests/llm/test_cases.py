@@ -81,6 +81,22 @@ def test_groups_beyond_one_block(spark):
     assert got == {i: root(i) for x in links for i in x}
 
 
+def test_overlapping_groups_are_dealt_once(spark):
+    """Large groups of one pivot with much the same rows cost what one of them does, whatever their number, and every two of their rows still meet."""
+    rows = [(k, i) for k in range(10, 16) for i in range(100) if i != k] + [(20, i) for i in range(0, 100, 2)] + [(30 + k, i) for k in range(3) for i in (200, *range(201 + 40 * k, 241 + 40 * k))]
+    stars = common.Stars(common.stored(spark.createDataFrame(rows, "key long, id long"), "t"), "t")
+    near = common.stored(spark.createDataFrame([(1, 0), (2, 0)], "id long, pivot long"), "t")
+    dealt = [tuple(x) for x in stars.rest(near, rows=8).select("key", "bi", "bj", "blk", "id").collect()]
+    met = set()
+    for task in {x[:3] for x in dealt}:
+        some = [x[3:] for x in dealt if x[:3] == task]
+        met |= {(a, b) for p, a in some for q, b in some if a < b and (task[1] == task[2] or p != q)}
+    groups = {k: [i for key, i in rows if key == k] for k, _ in rows}
+    assert {(a, b) for g in groups.values() for a in g for b in g if min(g) < a < b} - met <= {(1, 2)}
+    # 97 far rows and 2 near ones in 13 blocks and one, and 40 rows in 5 blocks three times: those share no more than their pivot
+    assert len(dealt) == 97 * 14 + 2 * 13 + 3 * 40 * 5
+
+
 def test_hot_groups_are_joined_whole(spark):
     rows = [(1, i) for i in range(500)] + [(2, 1), (3, 1), (3, 2)]
     df = common.stored(spark.createDataFrame(rows, "k long, v long"), "t")
