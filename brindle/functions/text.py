@@ -29,7 +29,10 @@ def strip(text: Column) -> Column:
 
 def _joined_words(text: Column) -> Column:
     """Without soft hyphens, and with words whole that a line break had cut at a hyphen."""
-    return F.regexp_replace(F.replace(text, F.lit("­"), F.lit("")), f"{_U}({WORD}+)-{SPACE}*\\n{SPACE}*({WORD}+)", "$1$2")
+    # the search for words is dear: texts without a hyphen before a line break pass it by
+    broken = f"{_U}-{SPACE}*\\n"
+    joined = lambda t: F.when(~t.rlike(broken), t).otherwise(F.regexp_replace(t, f"{_U}({WORD}+)-{SPACE}*\\n{SPACE}*({WORD}+)", "$1$2"))
+    return let(F.replace(text, F.lit("­"), F.lit("")), joined)
 
 
 def normalize(text: Column) -> Column:
@@ -40,7 +43,7 @@ def normalize(text: Column) -> Column:
 def normalize_paragraphs(text: Column) -> Column:
     """Like normalize, but lines stay and blank lines shrink to one."""
     t = F.regexp_replace(_joined_words(F.coalesce(text, F.lit(""))), "\\r\\n?", "\n")
-    lines = F.transform(F.split(t, "\n"), lambda x: strip(F.regexp_replace(x, "[ \\t]+", " ")))
+    lines = F.transform(F.split(t, "\n"), lambda x: strip(F.regexp_replace(x, " [ \\t]+|\\t[ \\t]*", " ")))
     return strip(F.regexp_replace(F.array_join(lines, "\n"), "\\n{3,}", "\n\n"))
 
 
@@ -73,13 +76,12 @@ TECH_TERMS = (
 
 
 def tech_terms(text: Column) -> Column:
-    """Matches over all patterns; one place may count for several."""
-    return reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(p)) for p in TECH_TERMS])
+    """Matches over all patterns; one place may count for several. Each of them asks for a digit, so a text without one has none."""
+    return F.when(~text.rlike("(?U)\\d"), 0).otherwise(reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(p)) for p in TECH_TERMS]))
 
 
 def illegible(text: Column) -> Column:
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, [low.contains(p) for p in C.ILLEGIBLE])
+    return let(F.lower(text), lambda low: reduce(lambda a, b: a | b, [low.contains(p) for p in C.ILLEGIBLE]))
 
 
 def quality(text: Column, kind: Column, ocr: Column | None = None, q: C.Quality = C.Quality()) -> Column:

@@ -86,16 +86,33 @@ def recursive_split(text: Column, conf: C.Chunking = C.Chunking()) -> Column:
     return run(text)
 
 
+def recursive_splits(texts: Column, conf: C.Chunking = C.Chunking()) -> Column:
+    """recursive_split of each text of an array; null stays null."""
+    size, overlap, separators = conf.size, conf.overlap, conf.separators
+
+    @F.pandas_udf("array<array<string>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda some: None if some is None else [None if t is None else split_text(t, size, overlap, separators) for t in some])
+
+    return run(texts)
+
+
 def chunk_texts(elements: DataFrame, conf: C.Chunking = C.Chunking()) -> DataFrame:
     """elements (element_id, type, content, ...): one row per chunk text with its index; captions stay whole, elements without content go."""
-    some = elements.where(F.coalesce("content", F.lit("")) != "")
-    packed = some.withColumn("packed", F.when(F.col("type").isin(*C.SPLIT_TYPES), pack_paragraphs(F.col("content"), conf.min_paragraph_words, conf.max_paragraph_chars)).otherwise(F.array("content")))
-    parts = packed.select(*elements.columns, F.posexplode("packed").alias("part", "text"))
+    split = F.col("type").isin(*C.SPLIT_TYPES)
+
+    def packed(content: Column) -> Column:
+        parts = F.when(split, pack_paragraphs(content, conf.min_paragraph_words, conf.max_paragraph_chars)).otherwise(F.array(content))
+        return F.when(content != "", parts)
+
+    # contents are read once, parts are dealt once: a row per part of which none is made twice
+    parts = elements.select(*elements.columns, T.let(F.col("content"), packed).alias("packed"))
     # only what is over the size goes through the splitter
-    long_ = (F.length("text") > conf.size) & F.col("type").isin(*C.SPLIT_TYPES)
-    cut = parts.where(long_).withColumn("pieces", recursive_split(F.col("text"), conf)).select(*elements.columns, "part", F.posexplode("pieces").alias("piece", "chunk_text"))
-    whole = parts.where(~long_).select(*elements.columns, "part", F.lit(0).alias("piece"), F.col("text").alias("chunk_text"))
-    all_ = whole.unionByName(cut)
+    over = lambda p: (F.length(p) > conf.size) & split
+    parts = parts.withColumn("cut", recursive_splits(F.transform("packed", lambda p: F.when(over(p), p)), conf))
+    at = F.zip_with("packed", "cut", lambda p, c: F.coalesce(c, F.array(p)))
+    numbered = parts.select(*elements.columns, F.posexplode(at).alias("part", "pieces"))
+    all_ = numbered.select(*elements.columns, "part", F.posexplode("pieces").alias("piece", "chunk_text"))
     order = F.row_number().over(Window.partitionBy("element_id").orderBy("part", "piece")) - 1
     return all_.withColumn("chunk_index", order.cast("int")).drop("part", "piece")
 
@@ -103,7 +120,9 @@ def chunk_texts(elements: DataFrame, conf: C.Chunking = C.Chunking()) -> DataFra
 def chunk_records(elements: DataFrame, conf: C.Chunking = C.Chunking(), q: C.Quality = C.Quality(), version: str = "1") -> DataFrame:
     """Scored, gated and identified chunks. Indexes are given before the gate, so refused chunks leave gaps."""
     texts = chunk_texts(elements, conf)
-    scored = texts.withColumn("q", T.quality(F.col("chunk_text"), F.col("type"), q=q)).where(F.col("q.score") >= q.min_score)
+    # scored and gated in one: a filter on the score would score each text again
+    gated = F.filter(F.array(T.quality(F.col("chunk_text"), F.col("type"), q=q)), lambda x: x["score"] >= q.min_score)
+    scored = texts.select("*", F.explode(gated).alias("q"))
     hashed = scored.withColumn("content_hash", ids.content_hash(F.col("chunk_text")))
     kept = [c for c in elements.columns if c not in ("content", "type", "page_idx", "page_number", "page_label", "section", "linked_asset_id", "element_id")]
 

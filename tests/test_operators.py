@@ -34,6 +34,22 @@ def test_split_text_overlaps():
     assert all(set(a.split()[-2:]) & set(b.split()) for a, b in zip(out, out[1:]))
 
 
+def test_chunk_records_work_once(spark):
+    """Long parts between short ones keep their place; each content is read once and each chunk scored once."""
+    long_ = ["word%d " % k * 300 for k in range(3)]
+    body = "\n\n".join(["few words here " * 12, long_[0], "more words there " * 12, long_[1], long_[2], "the end of it " * 12])
+    rows = [("e1", "d", "text", body), ("e2", "d", "image_caption", "x" * 1200), ("e3", "d", "text", ""), ("e4", "d", "text", None)]
+    el = spark.createDataFrame(rows, "element_id string, doc_id string, type string, content string")
+    conf = C.Chunking()
+    got = {(r.element_id, r.chunk_index): r.chunk_text for r in chunking.chunk_texts(el, conf).collect()}
+    want = []
+    for part in [x.strip() for x in body.split("\n\n")]:
+        want += chunking.split_text(part, conf.size, conf.overlap, conf.separators) if len(part) > conf.size else [part]
+    assert got == {("e1", i): t for i, t in enumerate(want)} | {("e2", 0): "x" * 1200}
+    plan = chunking.chunk_records(el)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and plan.count("not legible") == 1
+
+
 def test_chunk_records(spark):
     el = spark.createDataFrame([("doc_p0_01_text", "doc", "text", "Short text content.", 1), ("doc_p0_02_table", "doc", "table_md", "|a|b| |1|2|", 1), ("doc_p0_03_image", "doc", "image_caption", "Image caption for test.", 1), ("doc_p0_04_text", "doc", "text", "", 1)], "element_id string, doc_id string, type string, content string, page_number int")
     got = chunking.chunk_records(el, q=C.Quality(min_score=0.0)).orderBy("element_id").collect()
