@@ -45,6 +45,10 @@ def in_order(files: DataFrame) -> DataFrame:
 PARSED = f"path string, error string, {S.LAYOUT_ITEM}"
 
 
+#: Rows of parsed files that a task gathers before they go on.
+FRAME_ROWS = 2000
+
+
 def parse_files(files: DataFrame, parser) -> DataFrame:
     """Layout items from files by a provider: parser(path, content) yields (page_no, item_ord, kind, label, text, bbox). A file that fails gives one row with its error, and none of what it gave before; a file without items one row without a kind."""
 
@@ -52,13 +56,20 @@ def parse_files(files: DataFrame, parser) -> DataFrame:
         import pandas as pd
 
         names = [c.split()[0] for c in PARSED.split(", ")]
+        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"page_no": "Int32", "item_ord": "Int64"})
         for pdf in batches:
+            held: list = []  # the rows of several small files go out together: a frame costs more than a file
             for path, content, doc in zip(pdf["path"], pdf["content"], pdf["doc_id"], strict=True):
                 try:
                     rows = [(path, None, doc, *r) for r in parser(path, bytes(content))] or [(path, None, doc, None, None, None, None, None, None)]
                 except Exception as x:  # noqa: BLE001  a broken file must not stop the others
                     rows = [(path, f"{type(x).__name__}: {x}", doc, None, None, None, None, None, None)]
-                yield pd.DataFrame(rows, columns=names).astype({"page_no": "Int32", "item_ord": "Int64"})
+                held += rows
+                if len(held) >= FRAME_ROWS:
+                    yield frame(held)
+                    held = []
+            if held:
+                yield frame(held)
 
     return files.select("path", "content", "doc_id").mapInPandas(run, PARSED)
 

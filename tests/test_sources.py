@@ -105,3 +105,27 @@ def test_document_source(spark, tmp_path):
     key = lambda df: sorted((r.doc_id, r.error or "", r.text or "", r.item_ord or 0) for r in df.collect())
     assert key(plain) == key(tried.where("path not like '%empty.txt'")), "Spark's binary reader leaves empty files out"
     assert document_source.documents(spark, str(tmp_path), pattern="*.md").select("path").distinct().count() == 6
+
+
+def test_small_files_share_frames():
+    """What a batch of small files holds goes on in few frames, in order, with a row for each file that fails or is empty."""
+    import pandas as pd
+
+    from brindle.sources import readers
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            return run
+
+    run = readers.parse_files(Files(), readers.plain_parser)
+    kinds = ("txt", "pdf", "md")
+    pdf = pd.DataFrame([(f"f{i}.{kinds[i % 3]}", b"" if i % 3 == 2 else b"one\n\ntwo", f"d{i}") for i in range(3000)], columns=["path", "content", "doc_id"])
+    frames = list(run([pdf]))
+    assert [len(f) for f in frames] == [readers.FRAME_ROWS, 4000 - readers.FRAME_ROWS]
+    rows = pd.concat(frames)
+    assert rows["path"].drop_duplicates().tolist() == pdf["path"].tolist()
+    assert rows.groupby("doc_id").size().loc[["d0", "d1", "d2"]].tolist() == [2, 1, 1]
+    assert rows["error"].notna().sum() == 1000 and rows["kind"].notna().sum() == 2000
