@@ -39,7 +39,7 @@ def ingest(spark: SparkSession, raw: str, out: str, parser: Callable, settings:
     how many documents, elements and chunks were written and files failed, as counted while they were written.
     """
     store, run = Store(spark, out), runs.run_id()
-    files = readers.raw_files(spark, raw, pattern)
+    files, place = readers.located_files(spark, raw, pattern)
     held = (lambda name: None) if reset else store.read
     known, failed = held("documents"), held("failures")
     fresh = index.not_ingested(files, known if known is not None else files.limit(0), reingest)
@@ -47,7 +47,7 @@ def ingest(spark: SparkSession, raw: str, out: str, parser: Callable, settings:
         if reset:
             c.state["tables"].clear()
         # parsing is the dear part: its rows are written once and everything else reads them
-        c.replace("parsed", readers.parse_files(fresh, parser))
+        c.replace("parsed", readers.parse_files(fresh, parser, place))
         tried = c.written("parsed")
         n = {"elements": c.replace("elements", elements_of(readers.items_of(tried), settings.paragraph_gap))}
         elements = c.written("elements")

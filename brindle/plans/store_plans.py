@@ -125,11 +125,11 @@ def chat_store(spark, d):
     """SELECT page_id, CASE WHEN html LIKE '%lang="fr"%' THEN 0 ELSE 1 END AS registered, CASE WHEN html LIKE '%lang="fr"%' THEN 2 ELSE 0 END AS tries, CASE WHEN html LIKE '%lang="fr"%' THEN 'ValueError: no parser for .pdf files' END AS error FROM pages"""
 )
 def ingest_failures(spark, d):
-    """Pages as files, French ones of a kind that has no parser, ingested twice: files that can't be read are failures, are offered again, and are not registered."""
+    """Pages as files in 256 folders, French ones of a kind that has no parser, ingested twice: files that can't be read are failures, are offered again, and are not registered."""
     raw, out = own_folder(spark, "raw"), own_folder(spark, "ingested")
     suffix = F.when(F.col("html").contains('lang="fr"'), ".pdf").otherwise(".html")
     name = F.concat(F.lit("page-"), F.col("page_id").cast("string"))
-    files = table(spark, d, "pages").select(name.alias("asset_id"), F.concat(name, suffix).alias("file_path"), F.concat(F.lit("<!-- "), name, F.lit(" -->"), "html").cast("binary").alias("blob"))
+    files = table(spark, d, "pages").select(name.alias("asset_id"), F.concat(F.format_string("%03d/", F.pmod("page_id", F.lit(256))), name, suffix).alias("file_path"), F.concat(F.lit("<!-- "), name, F.lit(" -->"), "html").cast("binary").alias("blob"))
     sinks.save_blobs(files, raw)
     for _ in range(2):
         jobs.ingest(spark, raw, out, readers.plain_parser, pattern="page-*")

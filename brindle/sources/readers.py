@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +15,8 @@ from pyspark.sql.types import ArrayType, StructType
 
 from brindle import schemas as S
 from brindle.functions import ids, text as T
+from brindle.sources import files as own
+from brindle.sources.scratch import kept
 
 
 #: A table of fewer bytes than SPREAD per core may stand in a single row group, which one task reads; under LEAST it isn't worth a shuffle.
@@ -27,11 +34,146 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def raw_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """One row per file below a folder: path, content, doc_id, slug, title, created_at."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    return _titled(files, "content", "length", ids.doc_id(F.col("content")).alias("doc_id"))
+
+
+def _titled(files: DataFrame, *columns) -> DataFrame:
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.[^.]*$", "")
-    out = files.select("path", "content", "length", ids.doc_id(F.col("content")).alias("doc_id"), T.slug(stem).alias("doc_slug"), ids.iso_seconds(F.col("modificationTime")).alias("created_at"))
+    out = files.select("path", *columns, T.slug(stem).alias("doc_slug"), ids.iso_seconds(F.col("modificationTime")).alias("created_at"))
     return out.withColumn("title", T.title_of(F.col("doc_slug")))
 
 
+class Place(NamedTuple):
+    """Where files lie: a folder as Spark's readers name it, and how many tasks their contents are dealt to."""
+
+    root: str
+    tasks: int
+
+    @staticmethod
+    def opened(root: str):
+        """The folder's file system and its path there; fails where pyarrow doesn't know the store."""
+        from pyarrow import fs
+
+        if root.startswith("file:"):
+            return fs.LocalFileSystem(), root.removeprefix("file:")
+        scheme, _, rest = root.partition("://")
+        return fs.FileSystem.from_uri(f"{scheme}://{quote(rest, safe='/:@')}")
+
+    def contents(self):
+        """A function that opens a file by its path."""
+        store, base = self.opened(self.root)
+        return lambda path: store.open_input_file(base + path.removeprefix(self.root))
+
+
+#: Bytes and files that one task reads.
+TASK_BYTES, TASK_FILES = 32 * 2**20, 2000
+
+
+def located_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> tuple[DataFrame, Place | None]:
+    """raw_files without their contents, and the place from which parse_files reads those.
+
+    Tasks list the folder and read the files for their doc_id, so the driver holds no row per file, as the
+    index of Spark's readers does. A store that pyarrow can't open, or a folder with wildcards, is left to
+    raw_files, with contents and without a place.
+    """
+    at, store = own.at(spark, folder)
+    root = store.makeQualified(at).toString().rstrip("/")
+    try:
+        Place.opened(root)
+    except Exception:  # noqa: BLE001  Spark's readers may know the store
+        return raw_files(spark, folder, pattern), None
+    if re.search(r"[*?\[\]{}]", folder):
+        return raw_files(spark, folder, pattern), None
+    listed = kept(_listed(spark, root, pattern), "listed")
+    n, size = listed.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    cores = spark.sparkContext.defaultParallelism
+    place = Place(root, max(1, min(n, cores), -(-n // TASK_FILES), -(-size // TASK_BYTES)))
+
+    def digests(batches):
+        import pyarrow as pa
+
+        opened = place.contents()
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                with opened(path) as f:
+                    found.append(hashlib.file_digest(f, "md5").hexdigest())
+            yield batch.append_column("doc_id", pa.array(found, pa.string()))
+
+    dealt = listed.repartition(place.tasks, "path").mapInArrow(digests, f"{LISTED}, doc_id string")
+    at = dealt.withColumn("modificationTime", F.timestamp_micros("modified"))
+    return kept(_titled(at, "length", "doc_id"), "files"), place
+
+
+LISTED = "path string, length long, modified long"
+
+
+def _listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """path, length, modified (microseconds) of the files below a folder that Spark's binary reader would give: one task lists the folder itself, others what lies in its folders."""
+    schema = f"{LISTED}, folder boolean"
+    # the pattern as Spark's readers understand it
+    wanted = re.compile(spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern(), re.DOTALL)
+
+    def batches_of(rows: Iterator[tuple]):
+        import pyarrow as pa
+        from itertools import islice
+
+        while some := list(islice(rows, 10000)):
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=["path", "length", "modified", "folder"])
+
+    def named(rows: Iterator[tuple], base: str):
+        return ((root + path.removeprefix(base), *rest) for path, *rest in rows)
+
+    def first(batches):
+        store, base = Place.opened(root)
+        for _ in batches:
+            yield from batches_of(named(_entries(store, base, wanted), base))
+
+    def below(batches):
+        store, base = Place.opened(root)
+        for batch in batches:
+            folders = [base + path.removeprefix(root) for path in batch.column("path").to_pylist()]
+            yield from batches_of(named(_walk(store, folders, wanted), base))
+
+    top = kept(spark.range(1, numPartitions=1).mapInArrow(first, schema), "top")
+    inner = top.where("folder").repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInArrow(below, schema)
+    return top.where("not folder").unionByName(inner).where("length > 0").drop("folder")
+
+
+def _walk(store, folders: list[str], wanted: re.Pattern) -> Iterator[tuple]:
+    while folders:
+        for entry in _entries(store, folders.pop(), wanted):
+            if entry[3]:
+                folders.append(entry[0])
+            else:
+                yield entry
+
+
+def _entries(store, folder: str, wanted: re.Pattern) -> Iterator[tuple]:
+    """(path, length, modified, whether it is a folder) of what a folder (or a file's own path) holds, but for hidden names and files of unwanted ones. A local folder is gone through entry by entry, others come whole."""
+    from pyarrow import fs
+
+    def seen(name: str, is_folder: bool) -> bool:
+        hidden = name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+        return not hidden and (is_folder or wanted.fullmatch(name) is not None)
+
+    if isinstance(store, fs.LocalFileSystem) and os.path.isdir(folder):
+        with os.scandir(folder) as found:
+            for x in found:
+                if seen(x.name, x.is_dir()):
+                    try:
+                        s = x.stat()
+                    except FileNotFoundError:
+                        continue  # gone since, or a link to nothing
+                    yield x.path, s.st_size, s.st_mtime_ns // 1000, x.is_dir()
+        return
+    itself = store.get_file_info(folder)
+    for x in [itself] if itself.type == fs.FileType.File else store.get_file_info(fs.FileSelector(folder)):
+        if seen(x.base_name, x.type == fs.FileType.Directory):
+            yield x.path, x.size or 0, (x.mtime_ns or 0) // 1000, x.type == fs.FileType.Directory
+
+
 def resolve_raw(name: str, folder: str) -> str:
     """A raw file's path: absolute paths and URIs as they are, others below folder."""
     return name if re.match("^(/|[A-Za-z][A-Za-z0-9+.-]*:)", name) else f"{folder.rstrip('/')}/{name}"
@@ -49,8 +191,20 @@ PARSED = f"path string, error string, {S.LAYOUT_ITEM}"
 FRAME_ROWS = 2000
 
 
-def parse_files(files: DataFrame, parser) -> DataFrame:
-    """Layout items from files by a provider: parser(path, content) yields (page_no, item_ord, kind, label, text, bbox). A file that fails gives one row with its error, and none of what it gave before; a file without items one row without a kind."""
+def parse_files(files: DataFrame, parser, place: Place | None = None) -> DataFrame:
+    """Layout items from files by a provider: parser(path, content) yields (page_no, item_ord, kind, label, text, bbox). A file that fails gives one row with its error, and none of what it gave before; a file without items one row without a kind.
+
+    With a place, the tasks that parse read the contents from there, one file at a time; a file that is not what its doc_id was made of has failed.
+    """
+
+    def given(pdf):
+        return zip(pdf["path"], map(bytes, pdf["content"]), pdf["doc_id"], strict=True)
+
+    def read(pdf):
+        opened = place.contents()
+        for path, doc in zip(pdf["path"], pdf["doc_id"], strict=True):
+            with opened(path) as f:
+                yield path, f.read(), doc
 
     def run(batches):
         import pandas as pd
@@ -59,9 +213,11 @@ def parse_files(files: DataFrame, parser) -> DataFrame:
         frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"page_no": "Int32", "item_ord": "Int64"})
         for pdf in batches:
             held: list = []  # the rows of several small files go out together: a frame costs more than a file
-            for path, content, doc in zip(pdf["path"], pdf["content"], pdf["doc_id"], strict=True):
+            for path, content, doc in given(pdf) if place is None else read(pdf):
                 try:
-                    rows = [(path, None, doc, *r) for r in parser(path, bytes(content))] or [(path, None, doc, None, None, None, None, None, None)]
+                    if place is not None and hashlib.md5(content).hexdigest() != doc:
+                        raise ValueError("the file was changed since it was listed")
+                    rows = [(path, None, doc, *r) for r in parser(path, content)] or [(path, None, doc, None, None, None, None, None, None)]
                 except Exception as x:  # noqa: BLE001  a broken file must not stop the others
                     rows = [(path, f"{type(x).__name__}: {x}", doc, None, None, None, None, None, None)]
                 held += rows
@@ -71,6 +227,8 @@ def parse_files(files: DataFrame, parser) -> DataFrame:
             if held:
                 yield frame(held)
 
+    if place is not None:
+        return files.select("path", "doc_id").repartition(place.tasks, "path").mapInPandas(run, PARSED)
     return files.select("path", "content", "doc_id").mapInPandas(run, PARSED)
 
 
